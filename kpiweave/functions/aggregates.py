@@ -68,7 +68,12 @@ def _avg(spec: Aggregation, column: Column, kind: T.DataType) -> Column:
     if isinstance(kind, _NUMERIC):
         return F.avg(column.cast("double"))
     if is_clock(kind):
-        return micros_clock(F.avg(clock_micros(column, kind).cast("decimal(20,0)")), kind)
+        # Nearest microsecond, halves towards the epoch; a decimal sum keeps every digit.
+        micros = clock_micros(column, kind)
+        total, n = F.sum(micros.cast("decimal(20,0)")), F.count(micros)
+        rest = total % n
+        step = F.when(2 * F.abs(rest) > n, F.signum(rest).cast("int")).otherwise(0)
+        return micros_clock((total - rest) / n + step, kind)
     raise _reject(spec, kind)
 
 
@@ -85,7 +90,7 @@ def _median(spec: Aggregation, column: Column, kind: T.DataType) -> Column:
     if isinstance(kind, T.FloatType):
         return F.median(column).cast("float")
     if is_clock(kind):
-        return micros_clock(F.median(clock_micros(column, kind)), kind)
+        return micros_clock(F.round(F.median(clock_micros(column, kind))), kind)
     if isinstance(kind, _NUMERIC) and not isinstance(kind, T.DecimalType):
         return F.median(column)
     raise _reject(spec, kind)

@@ -12,6 +12,7 @@ the median is found in three bounded steps instead:
 from __future__ import annotations
 
 from collections.abc import Sequence
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -44,10 +45,13 @@ def _sortable(column: Column, kind: T.DataType) -> Column:
 
 def _midpoint(low: Column, high: Column, kind: T.DataType) -> Column:
     if is_clock(kind):
-        return micros_clock(low + F.floor((high - low) / 2), kind)
+        # Half a microsecond goes away from the epoch.
+        return micros_clock(F.round((low + high) / 2), kind)
     if isinstance(kind, T.DecimalType):
-        half = F.floor((high - low) / F.lit(2), F.lit(kind.scale))
-        return (low + half).cast(kind)
+        # Half a unit of the last digit is cut towards zero.
+        both = low + high
+        unit = F.lit(Decimal(2).scaleb(-kind.scale)).cast(T.DecimalType(38, kind.scale))
+        return ((both - both % unit) / 2).cast(kind)
     middle = (low.cast("double") + high.cast("double")) / 2
     return middle.cast("float") if isinstance(kind, T.FloatType) else middle
 

@@ -5,11 +5,11 @@ from __future__ import annotations
 import json
 import threading
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Mapping
 from contextlib import contextmanager
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -68,21 +68,37 @@ class LoadOptions:
 # --- transforms -------------------------------------------------------------------
 
 
-def transform_frame(store: TableStore, sql: str) -> tuple[DataFrame, dict[str, int]]:
-    """A checked SELECT over the loaded tables, and the versions it reads."""
-    checked = check_select(store.spark, sql)
-    session = transform_session(store.spark)
-    known = {name.lower(): name for name in store.tables()}
-    versions = {}
+Reader = Callable[[SparkSession], DataFrame]
+
+
+def select_over(spark: SparkSession, readers: Mapping[str, Reader], sql: str) -> tuple[DataFrame, tuple[str, ...]]:
+    """A checked SELECT over named inputs, and the inputs it names.
+
+    It runs in a sibling session, where double quotes mark identifiers and only the
+    named inputs are visible as views.
+    """
+    checked = check_select(spark, sql)
+    known = {name.lower(): name for name in readers}
+    session = transform_session(spark)
+    used = []
     for name in checked.tables:
         if name.lower() not in known:
             raise SpecError(f"unknown table {name!r}")
-        table = known[name.lower()]
-        manifest = store.manifest(table)
-        versions[table] = manifest.version
-        inside = TableStore(session, store.root)
-        inside.read(table, manifest.version).createOrReplaceTempView(table)
-    return session.sql(checked.text), versions
+        used.append(known[name.lower()])
+        readers[used[-1]](session).createOrReplaceTempView(used[-1])
+    return session.sql(checked.text), tuple(used)
+
+
+def transform_frame(store: TableStore, sql: str) -> tuple[DataFrame, dict[str, int]]:
+    """A checked SELECT over the loaded tables, and the versions it reads."""
+    # Versions are fixed before the SELECT is planned, so that one run sees one state.
+    heads = {table: store.versions(table)[-1] for table in store.tables()}
+
+    def reader(table: str, version: int) -> Reader:
+        return lambda session: TableStore(session, store.root).read(table, version)
+
+    frame, used = select_over(store.spark, {t: reader(t, v) for t, v in heads.items()}, sql)
+    return frame, {table: heads[table] for table in used}
 
 
 def preview_sql(store: TableStore, sql: str, cap: int = 200) -> DataFrame:
@@ -92,10 +108,17 @@ def preview_sql(store: TableStore, sql: str, cap: int = 200) -> DataFrame:
 # --- one load -----------------------------------------------------------------------
 
 
-def load(store: TableStore, command: LoadCommand, options: LoadOptions | None = None) -> LoadResult:
+def load(
+    store: TableStore,
+    command: LoadCommand,
+    options: LoadOptions | None = None,
+    note: str | None = None,
+    inputs: dict[str, int] | None = None,
+) -> LoadResult:
     """Apply one load command and record its run.
 
-    A failure leaves the table at its last version and the run marked failed.
+    A failure leaves the table at its last version and the run marked failed. ``note``
+    and ``inputs`` are kept with the new version.
     """
     options = options or LoadOptions()
     before = store.head(command.table)
@@ -109,7 +132,7 @@ def load(store: TableStore, command: LoadCommand, options: LoadOptions | None =
         landing_path=command.landing_path,
     )
     try:
-        return _load(store, command, options, run)
+        return _load(store, command, options, run, note, dict(inputs or {}))
     except SchemaDrift as drift:
         status = "failed"
         if options.on_drift == "quarantine":
@@ -122,8 +145,14 @@ def load(store: TableStore, command: LoadCommand, options: LoadOptions | None =
         raise
 
 
-def _load(store: TableStore, command: LoadCommand, options: LoadOptions, run: runs.Run) -> LoadResult:
-    inputs: dict[str, int] = {}
+def _load(
+    store: TableStore,
+    command: LoadCommand,
+    options: LoadOptions,
+    run: runs.Run,
+    note: str | None,
+    inputs: dict[str, int],
+) -> LoadResult:
     landing = command.landing_path
     if command.transform_sql:
         # The SELECT runs once; everything after reads what it wrote.
@@ -142,6 +171,7 @@ def _load(store: TableStore, command: LoadCommand, options: LoadOptions, run: ru
             runs.finish(store, run, "success", rows_written=0, watermark_after=head.watermark_value)
             return LoadResult(command.table, 0, head.row_count, head.version)
         planned = _next_version(store, command, options, head, batch, landing, inputs, run)
+        planned = replace(planned, note=note)
         try:
             done = store.commit(planned)
         except CommitConflict:

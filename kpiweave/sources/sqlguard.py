@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import SparkSession
 
+from kpiweave.session import transform_session
 from kpiweave.specs import SpecError
 
 _PLANS = "org.apache.spark.sql.catalyst.plans.logical."
@@ -79,6 +80,23 @@ def _is_bounded(plan) -> bool:
     return any(n in ("Filter", "GlobalLimit", "LocalLimit") for n in names)
 
 
+def _parse(spark: SparkSession, text: str):
+    """Parse tree under the settings the SELECT will run with."""
+    session = transform_session(spark)
+    sessions = SparkSession._get_j_spark_session_class(spark._jvm)
+    before = sessions.getActiveSession()
+    sessions.setActiveSession(session._jsparkSession)
+    try:
+        return session._jsparkSession.sessionState().sqlParser().parsePlan(text)
+    except Exception as error:
+        raise GuardError(f"could not parse SQL: {str(error).strip().splitlines()[0]}") from error
+    finally:
+        if before.isDefined():
+            sessions.setActiveSession(before.get())
+        else:
+            sessions.clearActiveSession()
+
+
 def check_select(
     spark: SparkSession,
     sql: str,
@@ -96,10 +114,7 @@ def check_select(
         text = text[:-1].rstrip()
     if not text:
         raise GuardError("exactly one statement is allowed")
-    try:
-        plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(text)
-    except Exception as error:
-        raise GuardError(f"could not parse SQL: {str(error).strip().splitlines()[0]}") from error
+    plan = _parse(spark, text)
     loader = spark.sparkContext._jvm.org.apache.spark.util.Utils
     forbidden = [loader.classForName(name, True, False) for name in _FORBIDDEN_NODES]
     ctes = _cte_names(plan)
