@@ -13,8 +13,9 @@ from pyspark.sql import types as T
 
 from kpiweave.functions.timing import STALE_FACTOR, age_seconds, interval_column, stale_column
 from kpiweave.operators.query import unpaged
-from kpiweave.plans.loads import LoadResult, load
+from kpiweave.plans.loads import load
 from kpiweave.plans.store import Manifest, TableStore, iso, new_run_id
+from kpiweave.sources.landing import land
 from kpiweave.specs import JobSpec, LoadCommand, QuerySpec
 
 REGISTRY_SCHEMA = T.StructType(
@@ -177,8 +178,7 @@ def refresh_rollup(store: TableStore, name: str, spec: QuerySpec) -> tuple[Manif
         return head, False
     rows = unpaged(store.read(spec.table, source.version), spec)
     run_id = new_run_id()
-    landing = store.landing_path(name, run_id)
-    rows.write.parquet(landing)
-    command = LoadCommand(run_id=run_id, table=name, load_mode="full", landing_path=landing, job_name=f"rollup_{name}")
-    result: LoadResult = load(store, command, note=key, inputs={spec.table: source.version})
+    landed = land(rows, store.landing_path(name, run_id))
+    command = LoadCommand(run_id, name, "full", landed.path, rows_read=landed.rows_read, job_name=f"rollup_{name}")
+    result = load(store, command, note=key, inputs={spec.table: source.version}, landed=landed)
     return store.manifest(name, result.table_version), True

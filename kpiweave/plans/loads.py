@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kpiweave.functions.predicates import field_of
+from kpiweave.functions.sizing import estimated_bytes
 from kpiweave.operators.incremental import capped
 from kpiweave.operators.merge import latest_per_key, upserted
 from kpiweave.operators.schemas import SchemaDrift, aligned, compare
@@ -30,7 +31,7 @@ from kpiweave.plans.store import (
     utc_now,
 )
 from kpiweave.session import transform_session
-from kpiweave.sources.landing import land
+from kpiweave.sources.landing import Landed, land
 from kpiweave.sources.registry import Surroundings, read_source
 from kpiweave.sources.sqlguard import check_select
 from kpiweave.specs import JobSpec, LoadCommand, SpecError, WatermarkSpec
@@ -105,6 +106,28 @@ def preview_sql(store: TableStore, sql: str, cap: int = 200) -> DataFrame:
     return transform_frame(store, sql)[0].limit(cap)
 
 
+@dataclass(frozen=True)
+class Batch:
+    """The rows of a load; ``path`` where they lie unchanged, ``known`` their count."""
+
+    rows: DataFrame
+    path: str | None
+    known: int | None
+
+    def count(self) -> int:
+        # Of Parquet files as they lie, a count reads the footers only.
+        return self.rows.count() if self.known is None else self.known
+
+    def bytes(self, store: TableStore) -> int:
+        return store.files.size(self.path) if self.path else estimated_bytes(self.rows)
+
+    def aligned(self, schema: T.StructType) -> Batch:
+        """In the table's form; still as it lies when only the column order differs."""
+        own = {f.name: f.dataType for f in self.rows.schema.fields}
+        same = own == {f.name: f.dataType for f in schema.fields}
+        return Batch(aligned(self.rows, schema), self.path if same else None, self.known)
+
+
 # --- one load -----------------------------------------------------------------------
 
 
@@ -114,11 +137,13 @@ def load(
     options: LoadOptions | None = None,
     note: str | None = None,
     inputs: dict[str, int] | None = None,
+    landed: Landed | None = None,
 ) -> LoadResult:
     """Apply one load command and record its run.
 
     A failure leaves the table at its last version and the run marked failed. ``note``
-    and ``inputs`` are kept with the new version.
+    and ``inputs`` are kept with the new version; ``landed`` saves looking up the schema
+    and row count of a batch that was landed just now.
     """
     options = options or LoadOptions()
     before = store.head(command.table)
@@ -132,7 +157,7 @@ def load(
         landing_path=command.landing_path,
     )
     try:
-        return _load(store, command, options, run, note, dict(inputs or {}))
+        return _load(store, command, options, run, note, dict(inputs or {}), landed)
     except SchemaDrift as drift:
         status = "failed"
         if options.on_drift == "quarantine":
@@ -152,26 +177,29 @@ def _load(
     run: runs.Run,
     note: str | None,
     inputs: dict[str, int],
+    landed: Landed | None,
 ) -> LoadResult:
-    landing = command.landing_path
     if command.transform_sql:
         # The SELECT runs once; everything after reads what it wrote.
         frame, inputs = transform_frame(store, command.transform_sql)
-        landing = store.landing_path(command.table, f"{command.run_id}-{uuid.uuid4().hex[:8]}")
-        frame.write.parquet(landing)
-    batch = store.spark.read.parquet(landing)
+        landed = land(frame, store.landing_path(command.table, f"{command.run_id}-{uuid.uuid4().hex[:8]}"))
+    landing = landed.path if landed else command.landing_path
+    reader = store.spark.read.schema(landed.schema) if landed else store.spark.read
+    source = Batch(reader.parquet(landing), landing, landed.rows_read if landed else None)
+    batch = source.rows
     clash = [c for c in batch.columns if c.lower() in RESERVED]
     if clash:
         raise SpecError(f"column names kept for table layout: {', '.join(clash)}")
     if options.dedupe_by:
         batch = latest_per_key(batch, command.key_columns, options.dedupe_by)
+        source = Batch(batch, None, None)
     for _ in range(COMMIT_TRIES):
         head = store.head(command.table)
         if head and options.exactly_once and command.run_id in head.applied_runs:
             runs.finish(store, run, "success", rows_written=0, watermark_after=head.watermark_value)
             return LoadResult(command.table, 0, head.row_count, head.version)
-        planned = _next_version(store, command, options, head, batch, landing, inputs, run)
-        planned = replace(planned, note=note)
+        planned = _next_version(store, command, options, head, source, inputs, run)
+        planned = replace(planned, note=note, landing_path=landing)
         try:
             done = store.commit(planned)
         except CommitConflict:
@@ -193,11 +221,11 @@ def _next_version(
     command: LoadCommand,
     options: LoadOptions,
     head: Manifest | None,
-    batch: DataFrame,
-    landing: str,
+    source: Batch,
     inputs: dict[str, int],
     run: runs.Run,
 ) -> Manifest:
+    batch = source.rows
     fresh = head is None or command.load_mode == "full"
     keys = tuple(field_of(batch.schema, k).name for k in command.key_columns)
     mark_column = command.watermark.column if command.watermark else (head.watermark_column if head else None)
@@ -208,17 +236,17 @@ def _next_version(
         if mark_column is not None and mark_column.lower() not in {n.lower() for n in schema.names}:
             mark_column = None
         mode = "upsert" if keys else command.load_mode
-        layout = options.layout or choose_layout(schema, mode, keys, mark_column, store.files.size(landing))
+        layout = options.layout or choose_layout(schema, mode, keys, mark_column, source.bytes(store))
         old_parts: tuple[Part, ...] = ()
     else:
         schema, layout = head.struct, head.layout
-        batch = aligned(batch, schema)
+        source = source.aligned(schema)
         old_parts = head.parts
 
     if command.load_mode == "upsert" and old_parts:
-        new_parts, kept_parts, written = _merge(store, command, options, head, batch, layout, keys)
+        new_parts, kept_parts, written = _merge(store, command, options, head, source, layout, keys)
     else:
-        new_parts = _add(store, command, batch, landing, layout, schema, bool(options.dedupe_by))
+        new_parts = _add(store, command, source, layout)
         kept_parts, written = old_parts, sum(p.rows for p in new_parts)
     parts = (*kept_parts, *new_parts)
     return Manifest(
@@ -235,7 +263,6 @@ def _next_version(
         watermark_column=mark_column,
         watermark_value=command.watermark_value or (head.watermark_value if head else None),
         source_job=command.job_name or (head.source_job if head else None),
-        landing_path=landing,
         applied_runs=(*(() if fresh or not head else head.applied_runs), command.run_id),
         inputs=inputs,
         started_at=run.started_at,
@@ -243,24 +270,13 @@ def _next_version(
     )
 
 
-def _add(
-    store: TableStore,
-    command: LoadCommand,
-    batch: DataFrame,
-    landing: str,
-    layout: Layout,
-    schema: T.StructType,
-    changed: bool,
-) -> list[Part]:
+def _add(store: TableStore, command: LoadCommand, source: Batch, layout: Layout) -> list[Part]:
     """The batch as new parts. A landing directory of the store that already has the
     table's form becomes a part as it is, so that rows are not written twice."""
-    landed = store.spark.read.parquet(landing).schema
-    same = {f.name: f.dataType for f in landed.fields} == {f.name: f.dataType for f in schema.fields}
-    inside = landing.startswith(f"{store.root}/landing/")
-    if same and inside and not layout.columns and not changed:
-        count = store.spark.read.schema(landed).parquet(landing).count()
-        return [Part(landing.removeprefix(f"{store.root}/"), count)] if count else []
-    return store.write_segment(command.table, command.run_id, batch, layout)
+    if source.path and source.path.startswith(f"{store.root}/landing/") and not layout.columns:
+        count = source.count()
+        return [Part(source.path.removeprefix(f"{store.root}/"), count)] if count else []
+    return store.write_segment(command.table, command.run_id, source.rows, layout)
 
 
 def _merge(
@@ -268,14 +284,14 @@ def _merge(
     command: LoadCommand,
     options: LoadOptions,
     head: Manifest,
-    batch: DataFrame,
+    source: Batch,
     layout: Layout,
     keys: tuple[str, ...],
 ) -> tuple[list[Part], tuple[Part, ...], int]:
     """Copy-on-write upsert of the parts whose place the batch touches."""
     if set(k.lower() for k in layout.keys) != set(k.lower() for k in keys) and layout.columns:
         raise SpecError(f"{command.table} is laid out by keys {layout.keys}; upsert gave {keys}")
-    written = batch.count()
+    batch, written = source.rows, source.count()
     if layout.columns:
         # One row per touched day or bucket, bounded by the layout and not by the batch.
         places = layout.place(batch).select(*layout.columns).distinct().collect()
@@ -326,7 +342,7 @@ def load_frame(
         rows_read=landed.rows_read,
         job_name=job_name,
     )
-    return load(store, command, options)
+    return load(store, command, options, landed=landed)
 
 
 def _free_landing(store: TableStore, table: str, run_id: str) -> str:
@@ -354,15 +370,15 @@ def time_limit(store: TableStore, seconds: int | None, label: str) -> Iterator[N
         context.setLocalProperty("spark.job.description", None)
 
 
-def incremental_command(store: TableStore, job: JobSpec, around: Surroundings, run_id: str) -> LoadCommand:
-    """Extract what is new since the table's mark and land it."""
+def extract(store: TableStore, job: JobSpec, around: Surroundings, run_id: str) -> tuple[LoadCommand, Landed]:
+    """Land what is new since the table's mark; returns the load it asks for."""
     head = store.head(job.target_table)
     mark = head.watermark_value if head and job.watermark else None
     column = job.watermark.column if job.watermark else None
     frame = read_source(store.spark, job, around, mark)
     frame = capped(frame, column if column in frame.columns else None, job.guards.row_cap)
     landed = land(frame, store.landing_path(job.target_table, run_id), column, mark)
-    return LoadCommand(
+    command = LoadCommand(
         run_id=run_id,
         table=job.target_table,
         load_mode=job.load_mode,
@@ -373,6 +389,7 @@ def incremental_command(store: TableStore, job: JobSpec, around: Surroundings, r
         rows_read=landed.rows_read,
         job_name=job.name,
     )
+    return command, landed
 
 
 def run_job(
@@ -384,6 +401,7 @@ def run_job(
     """Extract, land, load; the mark advances only with the commit."""
     around = around or Surroundings()
     run_id = new_run_id()
+    landed = None
     if job.source.kind == "duckdb_query":
         command = LoadCommand(
             run_id=run_id,
@@ -397,12 +415,12 @@ def run_job(
     else:
         try:
             with time_limit(store, job.guards.timeout_s, job.name):
-                command = incremental_command(store, job, around, run_id)
+                command, landed = extract(store, job, around, run_id)
         except Exception as error:
             run = runs.begin(store, run_id=run_id, table_name=job.target_table, job_name=job.name)
             runs.finish(store, run, "failed", error=f"extract failed: {error}"[:2000])
             raise
-    return load(store, command, options)
+    return load(store, command, options, landed=landed)
 
 
 def load_csv(store: TableStore, path: str, table: str, columns: tuple[str, ...] = ()) -> LoadResult:

@@ -208,16 +208,16 @@ def _shown(spark: SparkSession, folder: str, widget: Widget, names: tuple[str, .
     return shape(widget, apply_query(kpi_feed(spark, folder), widget.query), names or None)
 
 
-@registered("D5 D9", f"SELECT round(avg(traffic), 6) AS value FROM {KPI_SQL}")
+@registered("D5 D9", f"SELECT round(avg(traffic), 9) AS value FROM {KPI_SQL}")
 def widget_average_traffic(spark: SparkSession, folder: str) -> DataFrame:
     widget = _widget("kpi", {"aggregations": [{"fn": "avg", "col": "traffic", "as": "value"}]})
-    return rounded(_shown(spark, folder, widget), 6, "value")
+    return rounded(_shown(spark, folder, widget), 9, "value")
 
 
-@registered("D5 D9", f"SELECT round(avg(drops), 6) AS value FROM {KPI_SQL}")
+@registered("D5 D9", f"SELECT round(avg(drops), 9) AS value FROM {KPI_SQL}")
 def widget_average_drops(spark: SparkSession, folder: str) -> DataFrame:
     widget = _widget("kpi", {"aggregations": [{"fn": "avg", "col": "drops", "as": "value"}]})
-    return rounded(_shown(spark, folder, widget), 6, "value")
+    return rounded(_shown(spark, folder, widget), 9, "value")
 
 
 @registered("D5 D9", f"SELECT round(sum(traffic), 2) AS value FROM {KPI_SQL}")
@@ -226,7 +226,7 @@ def widget_total_traffic(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(_shown(spark, folder, widget), 2, "value")
 
 
-_PIVOT_COLUMNS = ", ".join(f"round(avg(traffic) FILTER (region = '{r}'), 6) AS \"{r}\"" for r in REGION_NAMES)
+_PIVOT_COLUMNS = ", ".join(f"round(avg(traffic) FILTER (region = '{r}'), 9) AS \"{r}\"" for r in REGION_NAMES)
 
 
 @registered("D1 D3 D4 D9", f"SELECT hour_ts, {_PIVOT_COLUMNS} FROM {KPI_SQL} GROUP BY hour_ts")
@@ -240,7 +240,7 @@ def widget_traffic_lines(spark: SparkSession, folder: str) -> DataFrame:
             "limit": 100_000,
         },
     )
-    return rounded(_shown(spark, folder, widget, REGION_NAMES), 6, *REGION_NAMES)
+    return rounded(_shown(spark, folder, widget, REGION_NAMES), 9, *REGION_NAMES)
 
 
 @registered("D4 series found in the rows", f"SELECT hour_ts, {_PIVOT_COLUMNS} FROM {KPI_SQL} GROUP BY hour_ts")
@@ -254,10 +254,10 @@ def pivot_found_series(spark: SparkSession, folder: str) -> DataFrame:
         }
     )
     rows = apply_query(kpi_feed(spark, folder), spec)
-    return rounded(pivot_series(rows, "hour_ts", "region", "traffic"), 6, *REGION_NAMES)
+    return rounded(pivot_series(rows, "hour_ts", "region", "traffic"), 9, *REGION_NAMES)
 
 
-@registered("D7 D9", f"SELECT region, round(avg(drops), 6) AS drop_rate FROM {KPI_SQL} GROUP BY region")
+@registered("D7 D9", f"SELECT region, round(avg(drops), 9) AS drop_rate FROM {KPI_SQL} GROUP BY region")
 def widget_drop_bars(spark: SparkSession, folder: str) -> DataFrame:
     widget = _widget(
         "bar",
@@ -267,7 +267,7 @@ def widget_drop_bars(spark: SparkSession, folder: str) -> DataFrame:
             "sort": [{"col": "region", "dir": "asc"}],
         },
     )
-    return rounded(_shown(spark, folder, widget), 6, "drop_rate")
+    return rounded(_shown(spark, folder, widget), 9, "drop_rate")
 
 
 @registered(
@@ -317,7 +317,7 @@ def widget_scatter(spark: SparkSession, folder: str) -> DataFrame:
 
 @registered(
     "D1 D2 D9 F18 a whole dashboard from the store, with a shared filter",
-    f"""SELECT 'bars' AS widget, region AS x, round(avg(traffic), 6) AS y FROM {KPI_SQL} WHERE region IN ('view', 'click') GROUP BY region
+    f"""SELECT 'bars' AS widget, region AS x, round(avg(traffic), 9) AS y FROM {KPI_SQL} WHERE region IN ('view', 'click') GROUP BY region
     UNION ALL SELECT 'calls', 'all', count(*) FROM {KPI_SQL} WHERE region IN ('view', 'click')
     UNION ALL SELECT 'sites', 'all', count(*) FROM customer""",
 )
@@ -337,7 +337,7 @@ def dashboard_run(spark: SparkSession, folder: str) -> DataFrame:
         }
     )
     shown = run_dashboard(store, board, [Filter("region", "in", ["view", "click"])])
-    bar_rows = shown["bars"].data.select(F.lit("bars").alias("widget"), F.col("region").alias("x"), F.round("traffic", 6).alias("y"))
+    bar_rows = shown["bars"].data.select(F.lit("bars").alias("widget"), F.col("region").alias("x"), F.round("traffic", 9).alias("y"))
     tiles = [
         shown[name].data.select(F.lit(name).alias("widget"), F.lit("all").alias("x"), F.col("value").alias("y"))
         for name in ("calls", "sites")

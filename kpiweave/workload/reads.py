@@ -22,11 +22,11 @@ FLAGSHIP = {
 
 @registered(
     "A2 A7 A9 O1 O2 D9 line chart",
-    f"""SELECT hour_ts, region, round(avg(traffic), 6) AS traffic, count(*) AS samples
+    f"""SELECT hour_ts, region, round(avg(traffic), 9) AS traffic, count(*) AS samples
     FROM {KPI_SQL} GROUP BY hour_ts, region ORDER BY hour_ts, region LIMIT 100000""",
 )
 def kpi_by_hour_and_region(spark: SparkSession, folder: str) -> DataFrame:
-    return rounded(apply_query(kpi_feed(spark, folder), QuerySpec.from_json(FLAGSHIP)), 6, "traffic")
+    return rounded(apply_query(kpi_feed(spark, folder), QuerySpec.from_json(FLAGSHIP)), 9, "traffic")
 
 
 # --- projection -----------------------------------------------------------------------
