@@ -6,7 +6,8 @@ the median is found in three bounded steps instead:
 1. a quantile sketch per group (map-side combined) gives a value range that is
    guaranteed to hold the middle ranks;
 2. one aggregation counts the rows below the range and the values inside it;
-3. a window over the few values inside the range picks the exact ranks.
+3. the range is cut into equal slices; counting them finds the one or two that hold the
+   middle ranks, and a window over those picks the exact values.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from kpiweave.functions.predicates import column_of, field_of
 from kpiweave.specs import SpecError
 
 SKETCH_ACCURACY = 20_000
+SLICES = 1024
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
@@ -56,6 +58,14 @@ def _midpoint(low: Column, high: Column, kind: T.DataType) -> Column:
     return middle.cast("float") if isinstance(kind, T.FloatType) else middle
 
 
+def _slice_of(inside: Column) -> Column:
+    """Number of the equal-width slice of the range a value lies in; below it, -1."""
+    width = (F.col("__hi") - F.col("__lo")).cast("double")
+    offset = (inside - F.col("__lo")).cast("double")
+    number = F.when(width > 0, F.floor(offset / width * SLICES)).otherwise(0)
+    return F.when(inside.isNotNull(), F.least(number, F.lit(SLICES - 1)).cast("int")).otherwise(-1)
+
+
 def exact_median(
     df: DataFrame,
     keys: Sequence[str],
@@ -80,15 +90,25 @@ def exact_median(
 
     # NULL in __c collects the rows below the range in a single counted entry.
     near = null_safe_join(rows, bounds, groups).filter(F.col("__v") <= F.col("__hi"))
+    inside = F.when(F.col("__v") >= F.col("__lo"), F.col("__v"))
     counted = (
-        near.withColumn("__c", F.when(F.col("__v") >= F.col("__lo"), F.col("__v")))
-        .groupBy(*groups, "__n", "__c")
+        near.select(*groups, "__n", inside.alias("__c"), _slice_of(inside).alias("__s"))
+        .groupBy(*groups, "__n", "__s", "__c")
         .agg(F.count(F.lit(1)).alias("__rows"))
     )
-    running = Window.partitionBy(*groups).orderBy(F.col("__c").asc_nulls_first())
-    ranked = counted.withColumn("__cum", F.sum("__rows").over(running))
     low_rank = F.floor((F.col("__n") + 1) / 2)
     high_rank = F.floor(F.col("__n") / 2) + 1
+
+    # Which slices hold the middle ranks, and how many rows lie before each.
+    slices = counted.groupBy(*groups, "__n", "__s").agg(F.sum("__rows").alias("__size"))
+    upto = F.sum("__size").over(Window.partitionBy(*groups).orderBy("__s"))
+    placed = slices.withColumn("__before", upto - F.col("__size"))
+    holding = placed.filter((F.col("__before") < high_rank) & (F.col("__before") + F.col("__size") >= low_rank))
+
+    # Only those slices are put in order.
+    chosen = null_safe_join(counted, holding.select(*groups, "__s", "__before"), [*groups, "__s"])
+    running = Window.partitionBy(*groups, "__s").orderBy(F.col("__c").asc_nulls_first())
+    ranked = chosen.withColumn("__cum", F.col("__before") + F.sum("__rows").over(running))
     picked = ranked.groupBy(*groups).agg(
         F.min(F.when(F.col("__cum") >= low_rank, F.col("__c"))).alias("__low"),
         F.min(F.when(F.col("__cum") >= high_rank, F.col("__c"))).alias("__high"),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import threading
+import time
 import uuid
 from collections.abc import Callable, Iterator, Mapping
 from contextlib import contextmanager
@@ -138,6 +139,7 @@ def load(
     note: str | None = None,
     inputs: dict[str, int] | None = None,
     landed: Landed | None = None,
+    attempt: int = 1,
 ) -> LoadResult:
     """Apply one load command and record its run.
 
@@ -152,6 +154,7 @@ def load(
         run_id=command.run_id,
         table_name=command.table,
         job_name=command.job_name,
+        attempt=attempt,
         rows_read=command.rows_read,
         watermark_before=before.watermark_value if before else None,
         landing_path=command.landing_path,
@@ -397,10 +400,12 @@ def run_job(
     job: JobSpec,
     around: Surroundings | None = None,
     options: LoadOptions | None = None,
+    run_id: str | None = None,
+    attempt: int = 1,
 ) -> LoadResult:
     """Extract, land, load; the mark advances only with the commit."""
     around = around or Surroundings()
-    run_id = new_run_id()
+    run_id = run_id or new_run_id()
     landed = None
     if job.source.kind == "duckdb_query":
         command = LoadCommand(
@@ -417,10 +422,43 @@ def run_job(
             with time_limit(store, job.guards.timeout_s, job.name):
                 command, landed = extract(store, job, around, run_id)
         except Exception as error:
-            run = runs.begin(store, run_id=run_id, table_name=job.target_table, job_name=job.name)
+            run = runs.begin(store, run_id=run_id, table_name=job.target_table, job_name=job.name, attempt=attempt)
             runs.finish(store, run, "failed", error=f"extract failed: {error}"[:2000])
             raise
-    return load(store, command, options, landed=landed)
+    return load(store, command, options, landed=landed, attempt=attempt)
+
+
+def run_job_retrying(
+    store: TableStore,
+    job: JobSpec,
+    around: Surroundings | None = None,
+    options: LoadOptions | None = None,
+    tries: int = 5,
+    first_wait_s: float = 1.0,
+    longest_wait_s: float = 600.0,
+    sleep: Callable[[float], None] = time.sleep,
+) -> LoadResult:
+    """Run a job again after failures, waiting twice as long each time.
+
+    Every try has its own run record. All share one stem, and a try that finds an earlier
+    one committed after all takes its result, so no batch is loaded twice. A definition
+    or a batch that cannot be loaded is not tried again.
+    """
+    stem = new_run_id()
+    taken = replace(options or LoadOptions(), exactly_once=True)
+    for attempt in range(1, tries + 1):
+        head = store.head(job.target_table)
+        if head and head.run_id.startswith(stem):
+            return LoadResult(head.table, head.rows_written, head.row_count, head.version)
+        try:
+            return run_job(store, job, around, taken, f"{stem}-try{attempt}", attempt)
+        except (SpecError, SchemaDrift, LookupError):
+            raise
+        except Exception:
+            if attempt == tries:
+                raise
+            sleep(min(longest_wait_s, first_wait_s * 2 ** (attempt - 1)))
+    raise AssertionError("unreachable")
 
 
 def load_csv(store: TableStore, path: str, table: str, columns: tuple[str, ...] = ()) -> LoadResult:

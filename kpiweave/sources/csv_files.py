@@ -81,13 +81,10 @@ def suggested_table(file_name: str) -> str:
 
 def sniff(spark: SparkSession, paths: Paths, delimiter: str | None = None) -> Dialect:
     """Delimiter and header of a set of files with one format, from the first lines."""
-    text = spark.read.text(as_list(paths))
-    first_file = text.inputFiles()[:1]
-    if not first_file:
-        raise SpecError(f"no files under {paths}")
-    lines = [r.value for r in spark.read.text(first_file).limit(SAMPLE_LINES).collect()]
-    if not lines:
+    found = spark.read.text(as_list(paths)).select("_metadata.file_path").first()
+    if found is None:
         return Dialect(delimiter or ",")
+    lines = [r.value for r in spark.read.text(found[0]).limit(SAMPLE_LINES).collect()]
     candidates = [delimiter] if delimiter else DELIMITERS
     split = {d: list(csv.reader(lines, delimiter=d)) for d in candidates}
     best = max(candidates, key=lambda d: _consistency(split[d]))

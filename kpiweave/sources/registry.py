@@ -12,10 +12,11 @@ from pyspark.sql import functions as F
 
 from kpiweave.functions.predicates import column_of, where
 from kpiweave.operators.incremental import since
+from kpiweave.operators.query import unpaged
 from kpiweave.sources import csv_files, jdbc, synthetic
 from kpiweave.sources.csv_files import InferredColumn, InferredSchema, json_row
 from kpiweave.sources.sqlguard import check_select
-from kpiweave.specs import JobSpec, SpecError
+from kpiweave.specs import JobSpec, QuerySpec, SpecError
 
 
 @dataclass(frozen=True)
@@ -79,7 +80,16 @@ def read_source(spark: SparkSession, job: JobSpec, around: Surroundings, mark: s
     if job.watermark is not None and not job.source.is_rdbms and job.watermark.column in frame.columns:
         lag = job.source.options.get("lag")
         frame = since(frame, job.watermark.column, mark, lag)
-    return frame
+    return summarised(frame, job)
+
+
+def summarised(frame: DataFrame, job: JobSpec) -> DataFrame:
+    """The rows grouped before they are landed, where the source's options ask for it."""
+    wanted = job.source.options.get("aggregations")
+    if not wanted:
+        return frame
+    query = {"table": job.target_table, "aggregations": wanted, "groupBy": job.source.options.get("groupBy") or []}
+    return unpaged(frame, QuerySpec.from_json(query))
 
 
 def preview_source(spark: SparkSession, job: JobSpec, around: Surroundings, n: int = 20) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from kpiweave.functions.timing import interval_seconds
 from kpiweave.operators.merge import replayed
 from kpiweave.plans.loads import LoadOptions, LoadResult, load_frame
 from kpiweave.plans.store import TableStore
@@ -48,7 +49,7 @@ def load_batches(
 ) -> StreamingQuery:
     """Start applying the stream's batches to the table.
 
-    Without ``every`` all waiting batches are applied and the query ends. Runs that
+    Without ``every`` ("15m", "1h") all waiting batches are applied and the query ends. Runs that
     arrive in one micro-batch keep their order: of a key, the last run's rows stay. With
     ``on_error`` a failing batch is reported and skipped (its run stays failed in the
     log); without it the query stops there and resumes from the same batch.
@@ -85,5 +86,8 @@ def load_batches(
 
     writer = stream.writeStream.foreachBatch(apply).queryName(f"load_{table}")
     writer = writer.option("checkpointLocation", checkpoint or f"{store.root}/checkpoints/{table}")
-    writer = writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)
+    if every:
+        writer = writer.trigger(processingTime=f"{interval_seconds(every)} seconds")
+    else:
+        writer = writer.trigger(availableNow=True)
     return writer.start()

@@ -11,7 +11,7 @@ from kpiweave.operators.merge import latest_per_key, replayed, upserted
 from kpiweave.operators.schemas import SchemaDrift, compare
 from kpiweave.plans import loads
 from kpiweave.plans.exports import export_table
-from kpiweave.plans.loads import LoadOptions, load, load_csv, load_frame, preview_sql, run_job, time_limit
+from kpiweave.plans.loads import LoadOptions, load, load_csv, load_frame, preview_sql, run_job, run_job_retrying, time_limit
 from kpiweave.plans.maintain import (
     apply_retention,
     compact,
@@ -448,3 +448,43 @@ def test_time_limit_cancels(spark, store):
         spark.range(8).select(F.call_function("java_method", F.lit("java.lang.Thread"), F.lit("sleep"), F.lit(20000).cast("bigint"))).collect()
     assert loads.COMMIT_TRIES > 1
     assert spark.range(3).count() == 3
+
+
+def test_retries_wait_longer_and_keep_one_result(spark, store, tmp_path, monkeypatch):
+    path = str(tmp_path / "in")
+    spark.createDataFrame([(i,) for i in range(5)], "n int").write.option("header", True).csv(path)
+    job = JobSpec("r", JobSource("csv", upload_id="u"), "t", Schedule(every="1h"), "append", WatermarkSpec("n", "integer"))
+    around = Surroundings(uploads={"u": path})
+    real, failures, waits = TableStore.commit, [OSError("a"), OSError("b")], []
+
+    def commit(self, manifest):
+        if failures:
+            raise failures.pop()
+        return real(self, manifest)
+
+    monkeypatch.setattr(TableStore, "commit", commit)
+    result = run_job_retrying(store, job, around, sleep=waits.append, longest_wait_s=1.5)
+    assert result.row_count == 5 and waits == [1.0, 1.5]
+    assert [(r.attempt, r.status) for r in run_log(store).orderBy("attempt").collect()] == [
+        (1, "failed"), (2, "failed"), (3, "success"),
+    ]
+
+    def commit_then_fail(self, manifest):
+        real(self, manifest)
+        raise OSError("answer lost")
+
+    monkeypatch.setattr(TableStore, "commit", commit_then_fail)
+    spark.createDataFrame([(9,)], "n int").write.mode("append").option("header", True).csv(path)
+    assert run_job_retrying(store, job, around, sleep=waits.append).row_count == 6
+    assert store.read("t").count() == 6
+    with pytest.raises(LookupError):
+        run_job_retrying(store, job, Surroundings(), sleep=waits.append)
+
+
+def test_rows_can_be_grouped_before_landing(spark, store, tmp_path):
+    path = str(tmp_path / "in")
+    spark.createDataFrame([("N", 1), ("N", 3), ("S", 5)], "region string, v int").write.option("header", True).csv(path)
+    grouping = {"groupBy": ["region"], "aggregations": [{"fn": "sum", "col": "v", "as": "total"}]}
+    source = JobSource("csv", upload_id="u", filters=(Filter("v", ">", 1),), options=grouping)
+    run_job(store, JobSpec("g", source, "t", Schedule(every="1h"), "full"), Surroundings(uploads={"u": path}))
+    assert [(r.region, int(r.total)) for r in store.read("t").orderBy("region").collect()] == [("N", 3), ("S", 5)]

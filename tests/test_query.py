@@ -201,7 +201,7 @@ def test_explain_shape_surfaces_errors(frame):
         explain_shape(QuerySpec("t", sort=(Sort("nope"),)), frame)
 
 
-@settings(max_examples=10, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture, HealthCheck.too_slow])
+@settings(max_examples=5, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture, HealthCheck.too_slow])
 @given(
     st.lists(
         st.tuples(st.sampled_from(["a", "b", None]), st.one_of(st.none(), st.integers(-50, 50).map(lambda i: i / 4))),
