@@ -104,21 +104,32 @@ def map_cells(
     size: float,
     weight: str | None = None,
     box: tuple[float, float, float, float] | None = None,
+    points: str | None = None,
 ) -> DataFrame:
     """Rows per grid cell of ``size`` degrees, with the summed weight.
 
-    ``box`` is (south, west, north, east), borders included.
+    ``box`` is (south, west, north, east), borders included. Where rows are totals of
+    many, ``points`` names the column with their number.
     """
     if box:
         south, west, north, east = box
         rows = rows.filter(F.col(lat).between(south, north) & F.col(lon).between(west, east))
     cell = [F.floor(F.col(c) / F.lit(size)).cast("bigint").alias(f"{c}_cell") for c in (lat, lon)]
-    measures = [F.count(F.lit(1)).alias("points")]
+    measures = [(F.sum(points) if points else F.count(F.lit(1))).alias("points")]
     if weight:
         measures.append(F.sum(weight).alias("weight"))
     return rows.filter(F.col(lat).isNotNull() & F.col(lon).isNotNull()).groupBy(*cell).agg(*measures)
 
 
+def site_totals(facts: DataFrame, key: str, weight: str) -> DataFrame:
+    """``points`` and ``weight`` per site.
+
+    Taken before the sites are joined: one row per site then meets the dimension, so
+    neither the size of the facts nor one busy site weighs on the join.
+    """
+    return facts.groupBy(key).agg(F.count(F.lit(1)).alias("points"), F.sum(weight).alias("weight"))
+
+
 def with_sites(facts: DataFrame, sites: DataFrame, key: str) -> DataFrame:
     """KPI rows with their site's columns; facts without a known site stay.
 

@@ -228,12 +228,13 @@ def _next_version(
     inputs: dict[str, int],
     run: runs.Run,
 ) -> Manifest:
-    batch = source.rows
     fresh = head is None or command.load_mode == "full"
-    keys = tuple(field_of(batch.schema, k).name for k in command.key_columns)
+    if not fresh:
+        source = source.aligned(head.struct)
+    keys = tuple(field_of(source.rows.schema, k).name for k in command.key_columns)
     mark_column = command.watermark.column if command.watermark else (head.watermark_column if head else None)
     if fresh:
-        schema = batch.schema
+        schema = source.rows.schema
         previous_keys = head.key_columns if head else ()
         keys = keys or tuple(k for k in previous_keys if k in schema.names)
         if mark_column is not None and mark_column.lower() not in {n.lower() for n in schema.names}:
@@ -243,7 +244,6 @@ def _next_version(
         old_parts: tuple[Part, ...] = ()
     else:
         schema, layout = head.struct, head.layout
-        source = source.aligned(schema)
         old_parts = head.parts
 
     if command.load_mode == "upsert" and old_parts:

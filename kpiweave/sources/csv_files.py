@@ -28,6 +28,7 @@ DATE_SHAPE = r"^\d{1,4}-\d{1,2}-\d{1,4}$"
 STAMP_SHAPE = r"^(\d{1,4}-\d{1,2}-\d{1,4})[ T](\d{1,2}:\d{2}(:\d{2}(\.\d{1,6})?)?)(Z|[+-]\d{2}:?\d{2})?$"
 TIME_SHAPE = r"^\d{1,2}:\d{2}:\d{2}(\.\d{1,6})?$"
 DATE_ORDERS = ("yyyy-M-d", "d-M-yyyy", "M-d-yyyy")
+ORDER_SHAPES = (r"^\d{4}-\d{1,2}-\d{1,2}$", r"^\d{1,2}-\d{1,2}-\d{4}$", r"^\d{1,2}-\d{1,2}-\d{4}$")
 MAX_BIGINT_DIGITS = 18
 BAD_RECORD = "_bad_record"
 SAMPLE_LINES = 200
@@ -166,10 +167,6 @@ def read_text_columns(
     return frame.select(*columns)
 
 
-def _date_part(text: Column) -> Column:
-    return F.regexp_extract(_dashed(text), r"^(\d{1,4}-\d{1,2}-\d{1,4})", 1)
-
-
 def _dashed(text: Column) -> Column:
     """Date separators as dashes; the fraction dot of a time stays."""
     trimmed = F.trim(text)
@@ -177,25 +174,30 @@ def _dashed(text: Column) -> Column:
     return F.concat(F.translate(day, "/.", "--"), F.substr(trimmed, F.length(day) + 1))
 
 
-def _parsed_day(text: Column, order: str) -> Column:
-    return F.to_date(F.try_to_timestamp(F.nullif(_date_part(text), F.lit("")), F.lit(order)))
+def _parsed_day(dashed: Column, order: str) -> Column:
+    """The leading date of a dashed text; only texts of the order's shape are parsed."""
+    day = F.substring_index(F.substring_index(dashed, " ", 1), "T", 1)
+    shaped = F.when(day.rlike(ORDER_SHAPES[DATE_ORDERS.index(order)]), day)
+    return F.to_date(F.try_to_timestamp(shaped, F.lit(order)))
 
 
-def _tests(text: Column) -> dict[str, Column]:
+def _tests(text: Column, dashed: Column) -> dict[str, Column]:
     """Named row tests; a column has a type when all its non-NULL texts pass."""
     lowered = F.lower(F.trim(text))
-    dashed = _dashed(text)
+    whole = text.rlike(INTEGER_SHAPE)
+    stamped = dashed.rlike(STAMP_SHAPE)
+    dated = dashed.rlike(DATE_SHAPE)
     tests = {
         "boolean": lowered.isin(*TRUE_WORDS, *FALSE_WORDS),
-        "bigint": text.rlike(INTEGER_SHAPE) & (F.length(F.trim(text)) <= MAX_BIGINT_DIGITS),
-        "hugeint": text.rlike(INTEGER_SHAPE) & (F.length(F.trim(text)) <= 38),
+        "bigint": whole & (F.length(F.trim(text)) <= MAX_BIGINT_DIGITS),
+        "hugeint": whole & (F.length(F.trim(text)) <= 38),
         "double": lowered.rlike(NUMBER_SHAPE),
-        "date": dashed.rlike(DATE_SHAPE),
-        "stamp": dashed.rlike(STAMP_SHAPE) | dashed.rlike(DATE_SHAPE),
-        "zoned": dashed.rlike(r"(Z|[+-]\d{2}:?\d{2})$") & dashed.rlike(STAMP_SHAPE),
+        "date": dated,
+        "stamp": stamped | dated,
+        "zoned": stamped & dashed.rlike(r"(Z|[+-]\d{2}:?\d{2})$"),
     }
     for i, order in enumerate(DATE_ORDERS):
-        tests[f"order{i}"] = _parsed_day(text, order).isNotNull()
+        tests[f"order{i}"] = _parsed_day(dashed, order).isNotNull()
     return tests
 
 
@@ -220,9 +222,12 @@ def column_profile(texts: DataFrame, names: Sequence[str]) -> tuple[int, dict[st
     """One aggregation over all rows: the row count and, per column, NULLs and type."""
     measures = [F.count(F.lit(1)).alias("rows")]
     tests: list[str] = []
-    for i, name in enumerate(names):
-        text = F.col(f"`{name}`")
-        checks = _tests(text)
+    # Numbered columns, with the dashed form made once per text.
+    numbered = [F.col(f"`{name}`").alias(f"t{i}") for i, name in enumerate(names)]
+    texts = texts.select(*numbered).select("*", *[_dashed(F.col(f"t{i}")).alias(f"d{i}") for i in range(len(names))])
+    for i in range(len(names)):
+        text = F.col(f"t{i}")
+        checks = _tests(text, F.col(f"d{i}"))
         tests = list(checks)
         measures.append(F.count(text).alias(f"n{i}"))
         measures += [F.count_if(check).alias(f"{label}{i}") for label, check in checks.items()]
@@ -243,9 +248,9 @@ def typed(text: Column, kind: str, order: str | None = None) -> Column:
         word = F.lower(F.trim(text))
         return F.when(word.isin(*TRUE_WORDS), True).when(word.isin(*FALSE_WORDS), False)
     if kind == "date":
-        return _parsed_day(text, order or DATE_ORDERS[0])
+        return _parsed_day(_dashed(text), order or DATE_ORDERS[0])
     if kind in ("timestamp", "timestamp_ntz"):
-        day = _parsed_day(text, order or DATE_ORDERS[0]).cast("string")
+        day = _parsed_day(_dashed(text), order or DATE_ORDERS[0]).cast("string")
         clock = F.regexp_extract(_dashed(text), r"[ T](.*)$", 1)
         return F.concat(day, F.lit(" "), clock).try_cast(kind)
     return text.try_cast(kind)

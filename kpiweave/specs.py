@@ -380,6 +380,36 @@ class LoadCommand:
         if self.load_mode == "upsert" and not self.key_columns:
             raise SpecError("upsert needs key_columns")
 
+    @classmethod
+    def from_json(cls, data: Mapping[str, Any]) -> LoadCommand:
+        mark = data.get("watermark")
+        return cls(
+            run_id=data["run_id"],
+            table=data["table"],
+            load_mode=data["load_mode"],
+            landing_path=data.get("landing_path"),
+            transform_sql=data.get("duckdb_sql"),
+            key_columns=tuple(data.get("key_columns") or ()),
+            watermark=WatermarkSpec(**mark) if mark else None,
+            watermark_value=data.get("watermark_value"),
+            rows_read=data.get("rows_read", 0),
+            job_name=data.get("job_name"),
+        )
+
+    def to_json(self) -> dict[str, Any]:
+        return {
+            "run_id": self.run_id,
+            "table": self.table,
+            "load_mode": self.load_mode,
+            "landing_path": self.landing_path,
+            "duckdb_sql": self.transform_sql,
+            "key_columns": list(self.key_columns),
+            "watermark": vars(self.watermark).copy() if self.watermark else None,
+            "watermark_value": self.watermark_value,
+            "rows_read": self.rows_read,
+            "job_name": self.job_name,
+        }
+
 
 @dataclass(frozen=True)
 class Widget:

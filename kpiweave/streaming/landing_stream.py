@@ -1,8 +1,7 @@
-"""Landed batches applied to a table as they arrive.
+"""Landed files appended to a table as they arrive.
 
-The file stream over a table's landing folder is the load queue, its checkpoint the
-queue position. Each micro-batch becomes one load whose run id is the batch number, so a
-batch that Spark repeats after a failure changes nothing.
+Rows are independent of each other in an append, so a micro-batch may hold any files.
+Upserts, where a run must be applied as a whole, go through ``load_queue``.
 """
 
 from __future__ import annotations
@@ -10,84 +9,60 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from kpiweave.functions.timing import interval_seconds
-from kpiweave.operators.merge import replayed
 from kpiweave.plans.loads import LoadOptions, LoadResult, load_frame
 from kpiweave.plans.store import TableStore
-from kpiweave.specs import SpecError, WatermarkSpec
-
-RUN_COLUMN = "__landed"
+from kpiweave.specs import WatermarkSpec
 
 
 def landed_stream(
     store: TableStore, folder: str, schema: T.StructType, files_per_trigger: int | None = None
 ) -> DataFrame:
-    """Rows of newly landed files, with the directory they came from."""
+    """Rows of newly landed files."""
     reader = store.spark.readStream.schema(schema).option("recursiveFileLookup", True)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    rows = reader.parquet(folder)
-    folder_of = F.regexp_replace(F.col("_metadata.file_path"), "/[^/]*$", "")
-    return rows.select("*", F.struct(F.col("_metadata.file_modification_time").alias("at"), folder_of.alias("run")).alias(RUN_COLUMN))
+    return reader.parquet(folder)
+
 
+def start(stream_writer, every: str | None) -> StreamingQuery:
+    """Run at an interval ("15m", "1h"), or over what is waiting and then end."""
+    if every:
+        return stream_writer.trigger(processingTime=f"{interval_seconds(every)} seconds").start()
+    return stream_writer.trigger(availableNow=True).start()
 
-def load_batches(
+
+def append_batches(
     store: TableStore,
     table: str,
     stream: DataFrame,
-    load_mode: str = "upsert",
-    key_columns: tuple[str, ...] = (),
     watermark: WatermarkSpec | None = None,
     checkpoint: str | None = None,
     every: str | None = None,
     on_load: Callable[[LoadResult], None] | None = None,
-    on_error: Callable[[int, Exception], None] | None = None,
 ) -> StreamingQuery:
-    """Start applying the stream's batches to the table.
+    """Start appending the stream's micro-batches to the table.
 
-    Without ``every`` ("15m", "1h") all waiting batches are applied and the query ends. Runs that
-    arrive in one micro-batch keep their order: of a key, the last run's rows stay. With
-    ``on_error`` a failing batch is reported and skipped (its run stays failed in the
-    log); without it the query stops there and resumes from the same batch.
+    A micro-batch becomes one load whose run id is the batch number, so that a batch
+    which Spark repeats after a failure changes nothing.
     """
-    if load_mode == "full":
-        raise SpecError("a stream loads by append or upsert")
-    if load_mode == "upsert" and not key_columns:
-        raise SpecError("upsert needs key_columns")
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        if load_mode == "upsert" and RUN_COLUMN in batch.columns:
-            rows = replayed(batch, key_columns, RUN_COLUMN)
-        else:
-            rows = batch.drop(RUN_COLUMN)
-        try:
-            result = load_frame(
-                TableStore(batch.sparkSession, store.root),
-                table,
-                rows,
-                load_mode,
-                key_columns,
-                watermark,
-                run_id=f"stream-{batch_id:010d}",
-                job_name=f"stream_{table}",
-                options=LoadOptions(exactly_once=True),
-            )
-        except Exception as error:
-            if on_error is None:
-                raise
-            on_error(batch_id, error)
-            return
+        result = load_frame(
+            TableStore(batch.sparkSession, store.root),
+            table,
+            batch,
+            "append",
+            watermark=watermark,
+            run_id=f"stream-{batch_id:010d}",
+            job_name=f"stream_{table}",
+            options=LoadOptions(exactly_once=True),
+        )
         if on_load:
             on_load(result)
 
-    writer = stream.writeStream.foreachBatch(apply).queryName(f"load_{table}")
-    writer = writer.option("checkpointLocation", checkpoint or f"{store.root}/checkpoints/{table}")
-    if every:
-        writer = writer.trigger(processingTime=f"{interval_seconds(every)} seconds")
-    else:
-        writer = writer.trigger(availableNow=True)
-    return writer.start()
+    writer = stream.writeStream.foreachBatch(apply).queryName(f"append_{table}")
+    return start(writer.option("checkpointLocation", checkpoint or f"{store.root}/checkpoints/{table}"), every)

@@ -19,7 +19,7 @@ from kpiweave.plans.catalog import (
     stalled_marks,
     with_staleness,
 )
-from kpiweave.plans.dashboard import cascaded, map_cells, pivot_series, run_dashboard, shape, shares, with_sites
+from kpiweave.plans.dashboard import cascaded, map_cells, pivot_series, run_dashboard, shape, shares, site_totals, with_sites
 from kpiweave.plans.loads import load_frame
 from kpiweave.specs import Dashboard, Filter, JobSource, JobSpec, QuerySpec, Schedule, Widget
 from kpiweave.workload import registered
@@ -386,8 +386,8 @@ SITES_SQL = """(SELECT s_suppkey AS site, n_name AS nation, r_name AS region, s_
 )
 def facts_with_sites(spark: SparkSession, folder: str) -> DataFrame:
     facts = table(spark, folder, "lineitem").select(F.col("l_suppkey").alias("site"), "l_quantity")
-    joined = with_sites(facts, _sites(spark, folder), "site")
-    totals = joined.groupBy("region", "nation").agg(F.count(F.lit(1)).alias("n"), F.sum("l_quantity").alias("quantity"))
+    joined = with_sites(site_totals(facts, "site", "l_quantity"), _sites(spark, folder), "site")
+    totals = joined.groupBy("region", "nation").agg(F.sum("points").alias("n"), F.sum("weight").alias("quantity"))
     return rounded(totals, 2, "quantity")
 
 
@@ -398,8 +398,8 @@ def facts_with_sites(spark: SparkSession, folder: str) -> DataFrame:
 )
 def map_grid(spark: SparkSession, folder: str) -> DataFrame:
     facts = table(spark, folder, "lineitem").select(F.col("l_suppkey").alias("site"), "l_quantity")
-    joined = with_sites(facts, _sites(spark, folder), "site")
-    return rounded(map_cells(joined, "lat", "lon", 5.0, "l_quantity", (-30, -180, 40, 60)), 2, "weight")
+    joined = with_sites(site_totals(facts, "site", "l_quantity"), _sites(spark, folder), "site")
+    return rounded(map_cells(joined, "lat", "lon", 5.0, "weight", (-30, -180, 40, 60), "points"), 2, "weight")
 
 
 @registered(

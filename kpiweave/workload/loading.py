@@ -18,7 +18,8 @@ from kpiweave.plans.store import Layout, TableStore
 from kpiweave.session import scratch_path
 from kpiweave.sources.landing import land
 from kpiweave.specs import Aggregation, Filter, LoadCommand, QuerySpec, Retention, WatermarkSpec
-from kpiweave.streaming.landing_stream import landed_stream, load_batches
+from kpiweave.streaming.landing_stream import append_batches, landed_stream
+from kpiweave.streaming.load_queue import apply_commands, command_stream, enqueue
 from kpiweave.workload import registered
 from kpiweave.workload.frames import new_store, rounded, table
 
@@ -313,37 +314,33 @@ def drift_quarantine(spark: SparkSession, folder: str) -> DataFrame:
     return aside.agg(count).select(F.lit("quarantined").alias("place"), "n").unionByName(kept)
 
 
-@registered("T1 T3", UPSERT_SQL)
-def stream_upsert(spark: SparkSession, folder: str) -> DataFrame:
-    store = new_store(spark, "stream")
-    queue = f"{store.root}/queue"
-    orders = table(spark, folder, "orders")
-    land(orders, f"{queue}/1")
-    land(recalculated(spark, folder), f"{queue}/2")
-    stream = landed_stream(store, queue, orders.schema, files_per_trigger=1)
-    load_batches(store, "kpi_orders", stream, "upsert", ("o_orderkey",)).awaitTermination()
+def _queued(spark: SparkSession, folder: str, label: str, per_trigger: int) -> DataFrame:
+    store = new_store(spark, label)
+    for i, rows in enumerate((table(spark, folder, "orders"), recalculated(spark, folder))):
+        path = store.landing_path("kpi_orders", f"run-{i}")
+        land(rows, path)
+        enqueue(store, LoadCommand(f"run-{i}", "kpi_orders", "upsert", path, key_columns=("o_orderkey",)))
+    apply_commands(store, command_stream(store, per_trigger)).awaitTermination()
     return store.read("kpi_orders")
 
 
-@registered("T1 runs of one micro-batch keep their order", UPSERT_SQL)
+@registered("T1 T3 load queue", UPSERT_SQL)
+def stream_upsert(spark: SparkSession, folder: str) -> DataFrame:
+    return _queued(spark, folder, "stream", 1)
+
+
+@registered("T1 commands of one micro-batch keep their order", UPSERT_SQL)
 def stream_upsert_one_batch(spark: SparkSession, folder: str) -> DataFrame:
-    store = new_store(spark, "stream-one")
-    queue = f"{store.root}/queue"
-    orders = table(spark, folder, "orders")
-    land(orders, f"{queue}/1")
-    land(recalculated(spark, folder), f"{queue}/2")
-    stream = landed_stream(store, queue, orders.schema)
-    load_batches(store, "kpi_orders", stream, "upsert", ("o_orderkey",)).awaitTermination()
-    return store.read("kpi_orders")
+    return _queued(spark, folder, "stream-one", 100)
 
 
 @registered("T1 append", "SELECT * FROM events")
 def stream_append(spark: SparkSession, folder: str) -> DataFrame:
     store = new_store(spark, "stream-append")
     events = table(spark, folder, "events")
-    land(events, f"{store.root}/queue/1")
-    stream = landed_stream(store, f"{store.root}/queue", events.schema)
-    load_batches(store, "feed", stream, "append", watermark=MARK).awaitTermination()
+    land(events, f"{store.root}/incoming/1")
+    stream = landed_stream(store, f"{store.root}/incoming", events.schema)
+    append_batches(store, "feed", stream, MARK).awaitTermination()
     return store.read("feed")
 
 

@@ -154,3 +154,8 @@ def test_dashboard_round_trip_and_pins():
     with pytest.raises(SpecError):
         Widget("x", "gauge", QuerySpec("t"))
     assert Aggregation("count", None, "n").to_json() == {"fn": "count", "col": None, "as": "n"}
+
+
+def test_load_command_round_trip():
+    command = LoadCommand("r", "t", "upsert", "p", None, ("a",), WatermarkSpec("n", "integer"), "7", 3, "j")
+    assert LoadCommand.from_json(command.to_json()) == command

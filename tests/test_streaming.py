@@ -1,12 +1,16 @@
 from __future__ import annotations
 
+from datetime import datetime
+
 import pytest
 
-from kpiweave.plans.loads import load_frame
+from kpiweave.plans.demo import demo_jobs
 from kpiweave.plans.runs import run_log
 from kpiweave.sources.landing import land
-from kpiweave.specs import SpecError
-from kpiweave.streaming.landing_stream import landed_stream, load_batches
+from kpiweave.sources.registry import Surroundings
+from kpiweave.specs import LoadCommand
+from kpiweave.streaming.landing_stream import append_batches, landed_stream
+from kpiweave.streaming.load_queue import apply_commands, command_stream, enqueue, extract_and_enqueue, queue_dir
 
 from .conftest import rows_of
 
@@ -14,63 +18,68 @@ SCHEMA = "k string, v int"
 
 
 def rows(spark, *values):
-    return spark.createDataFrame(list(values), SCHEMA).coalesce(1)
+    return spark.createDataFrame(list(values), SCHEMA).repartition(3)
+
+
+def put(store, run_id, frame, mode="upsert"):
+    path = store.landing_path("t", run_id)
+    land(frame, path)
+    enqueue(store, LoadCommand(run_id, "t", mode, path, key_columns=("k",)))
 
 
-def drain(store, table, schema, per_trigger=None, **kwargs):
-    stream = landed_stream(store, f"{store.root}/queue", schema, per_trigger)
-    query = load_batches(store, table, stream, **kwargs)
+def drain(store, per_trigger=100, **kwargs):
+    query = apply_commands(store, command_stream(store, per_trigger), **kwargs)
     query.awaitTermination(120)
-    return query
+    assert query.exception() is None
 
 
-def test_batches_apply_in_order_and_resume(spark, store):
-    first = rows(spark, ("A", 1), ("B", 1))
-    land(first, f"{store.root}/queue/1")
-    land(rows(spark, ("B", 2), ("C", 2)), f"{store.root}/queue/2")
+@pytest.mark.parametrize("per_trigger", [1, 100])
+def test_commands_apply_in_order_and_resume(spark, store, per_trigger):
+    put(store, "a", rows(spark, ("A", 1), ("B", 1), (None, 1)))
+    put(store, "b", rows(spark, ("B", 2), ("B", 3), ("C", 2), (None, 2)))
     seen = []
-    drain(store, "t", first.schema, 1, key_columns=("k",), on_load=seen.append)
+    drain(store, per_trigger, on_load=seen.append)
     assert [r.table_version for r in seen] == [1, 2]
-    assert rows_of(store.read("t")) == [("A", 1), ("B", 2), ("C", 2)]
-    land(rows(spark, ("A", 3)), f"{store.root}/queue/3")
-    drain(store, "t", first.schema, 1, key_columns=("k",))
-    assert rows_of(store.read("t")) == [("A", 3), ("B", 2), ("C", 2)]
-
-
-def test_runs_of_one_batch_keep_their_order(spark, store):
-    first = rows(spark, ("A", 1), (None, 1))
-    land(first, f"{store.root}/queue/1")
-    land(rows(spark, ("A", 2), ("A", 3), (None, 2)), f"{store.root}/queue/2")
-    drain(store, "t", first.schema, key_columns=("k",))
-    assert rows_of(store.read("t")) == [("A", 2), ("A", 3), (None, 1), (None, 2)]
+    # A run is applied as a whole: its own duplicates stay although they lie in several files.
+    assert rows_of(store.read("t")) == [("A", 1), ("B", 2), ("B", 3), ("C", 2), (None, 1), (None, 2)]
+    put(store, "c", rows(spark, ("A", 3)))
+    drain(store, per_trigger, on_load=seen.append)
+    assert len(seen) == 3 and ("A", 3) in rows_of(store.read("t"))
 
 
-def test_a_repeated_batch_changes_nothing(spark, store):
-    first = rows(spark, ("A", 1))
-    land(first, f"{store.root}/queue/1")
+def test_a_queue_read_again_changes_nothing(spark, store):
+    put(store, "a", rows(spark, ("A", 1)), "append")
+    put(store, "b", rows(spark, ("A", 1)), "append")
     for attempt in ("one", "two"):
-        # A lost checkpoint makes the stream start over with batch 0.
-        drain(store, "t", first.schema, load_mode="append", checkpoint=f"{store.root}/check-{attempt}")
-    assert store.read("t").count() == 1
+        # A lost checkpoint makes the queue start over.
+        drain(store, checkpoint=f"{store.root}/check-{attempt}")
+    assert store.read("t").count() == 2 and store.versions("t") == [1, 2]
 
 
-def test_failures_stop_or_skip(spark, store):
-    load_frame(store, "t", spark.range(2), "append")
-    bad = rows(spark, ("A", 1))
-    land(bad, f"{store.root}/queue/1")
+def test_bad_messages_and_failing_loads_are_passed_over(spark, store):
+    put(store, "a", rows(spark, ("A", 1)), "append")
+    store.files.create(f"{queue_dir(store)}/{'9' * 20}-x.json", "{not json")
+    put(store, "b", spark.range(2), "append")
+    put(store, "c", rows(spark, ("C", 1)), "append")
     errors = []
-    drain(store, "t", bad.schema, load_mode="append", checkpoint=f"{store.root}/c1", on_error=lambda i, e: errors.append(i))
-    assert errors == [0] and store.manifest("t").version == 1
-    with pytest.raises(Exception):  # noqa: B017
-        drain(store, "t", bad.schema, load_mode="append", checkpoint=f"{store.root}/c2")
-    assert run_log(store).filter("status = 'failed'").count() >= 1
-
-
-def test_modes(spark, store):
-    batch = rows(spark, ("A", 1))
-    land(batch, f"{store.root}/queue/1")
-    stream = landed_stream(store, f"{store.root}/queue", batch.schema)
-    with pytest.raises(SpecError):
-        load_batches(store, "t", stream, "full")
-    with pytest.raises(SpecError):
-        load_batches(store, "t", stream, "upsert")
+    drain(store, on_error=lambda name, error: errors.append(type(error).__name__))
+    assert sorted(errors) == ["JSONDecodeError", "SchemaDrift"]
+    assert rows_of(store.read("t")) == [("A", 1), ("C", 1)]
+    assert sorted(r.status for r in run_log(store).collect()) == ["failed", "success", "success"]
+
+
+def test_jobs_through_the_queue(spark, store):
+    for job in demo_jobs():
+        extract_and_enqueue(store, job, Surroundings(as_of=datetime(2024, 5, 5)))
+    assert store.tables() == []  # nothing is readable before its load
+    drain(store)
+    assert [store.manifest(t).row_count for t in store.tables()] == [588, 588]
+
+
+def test_appended_micro_batches(spark, store):
+    frame = rows(spark, ("A", 1), ("B", 1), ("C", 2))
+    land(frame, f"{store.root}/incoming/1")
+    for attempt in ("one", "two"):
+        stream = landed_stream(store, f"{store.root}/incoming", frame.schema)
+        append_batches(store, "t", stream, checkpoint=f"{store.root}/check-{attempt}").awaitTermination(120)
+    assert rows_of(store.read("t")) == [("A", 1), ("B", 1), ("C", 2)]
