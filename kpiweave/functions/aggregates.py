@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -9,6 +11,7 @@ from pyspark.sql import types as T
 from kpiweave.functions.predicates import column_of, field_of
 from kpiweave.specs import Aggregation, SpecError
 
+LIMB_BITS = 22
 _NUMERIC = (T.NumericType,)
 _CLOCK = (T.DateType, T.TimestampType, T.TimestampNTZType)
 
@@ -55,8 +58,7 @@ def _sum(spec: Aggregation, column: Column, kind: T.DataType) -> Column:
     if isinstance(kind, T.BooleanType):
         return F.sum(column.cast("int"))
     if isinstance(kind, T.LongType):
-        # Sums of 64-bit integers may pass 64 bits; a decimal holds them.
-        return F.sum(column.cast("decimal(20,0)"))
+        return _wide_sum(column)
     if isinstance(kind, T.FloatType):
         return F.sum(column.cast("double"))
     if isinstance(kind, _NUMERIC):
@@ -64,6 +66,23 @@ def _sum(spec: Aggregation, column: Column, kind: T.DataType) -> Column:
     raise _reject(spec, kind)
 
 
+def _wide_sum(column: Column) -> Column:
+    """Exact sum of 64-bit integers, which may pass 64 bits, as a decimal.
+
+    Three limbs are summed as plain integers inside generated code (good for 2^41 rows
+    per group, and an error past that) and put together once per group.
+    """
+    mask = F.lit((1 << LIMB_BITS) - 1)
+    limbs = (
+        column.bitwiseAND(mask),
+        F.shiftright(column, LIMB_BITS).bitwiseAND(mask),
+        F.shiftright(column, 2 * LIMB_BITS),
+    )
+    low, middle, high = (F.sum(limb).cast("decimal(19,0)") for limb in limbs)
+    step = F.lit(Decimal(1 << LIMB_BITS))
+    return ((high * step).cast("decimal(30,0)") * step + middle * step + low).cast("decimal(38,0)")
+
+
 def _avg(spec: Aggregation, column: Column, kind: T.DataType) -> Column:
     if isinstance(kind, _NUMERIC):
         return F.avg(column.cast("double"))

@@ -247,6 +247,10 @@ def _next_version(
         old_parts = head.parts
 
     if command.load_mode == "upsert" and old_parts:
+        if not layout.serves(keys):
+            # Loaded by other keys so far: spread the table anew for these.
+            size = sum(store.files.size(f"{store.root}/{p.path}") for p in old_parts)
+            layout = options.layout or choose_layout(schema, "upsert", keys, mark_column, size)
         new_parts, kept_parts, written = _merge(store, command, options, head, source, layout, keys)
     else:
         new_parts = _add(store, command, source, layout)
@@ -266,7 +270,7 @@ def _next_version(
         watermark_column=mark_column,
         watermark_value=command.watermark_value or (head.watermark_value if head else None),
         source_job=command.job_name or (head.source_job if head else None),
-        applied_runs=(*(() if fresh or not head else head.applied_runs), command.run_id),
+        applied_runs=(*(head.applied_runs if head else ()), command.run_id),
         inputs=inputs,
         started_at=run.started_at,
         committed_at=iso(utc_now()),
@@ -292,10 +296,8 @@ def _merge(
     keys: tuple[str, ...],
 ) -> tuple[list[Part], tuple[Part, ...], int]:
     """Copy-on-write upsert of the parts whose place the batch touches."""
-    if set(k.lower() for k in layout.keys) != set(k.lower() for k in keys) and layout.columns:
-        raise SpecError(f"{command.table} is laid out by keys {layout.keys}; upsert gave {keys}")
     batch, written = source.rows, source.count()
-    if layout.columns:
+    if layout.columns and layout == head.layout:
         # One row per touched day or bucket, bounded by the layout and not by the batch.
         places = layout.place(batch).select(*layout.columns).distinct().collect()
         touched = {tuple(None if v is None else str(v) for v in row) for row in places}

@@ -19,7 +19,7 @@ from dataclasses import asdict, dataclass, field
 from datetime import UTC, date, datetime
 from typing import Any
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -53,6 +53,14 @@ def new_run_id() -> str:
     return f"{int(time.time() * 1000):013d}-{uuid.uuid4().hex[:8]}"
 
 
+def utc_day(column: Column, kind: T.DataType) -> Column:
+    """The day a row is filed under; the same whatever zone a session has."""
+    if not isinstance(kind, T.TimestampType):
+        return F.to_date(column)
+    days = F.floor(F.unix_micros(column) / F.lit(86_400_000_000)).cast("int")
+    return F.date_add(F.lit("1970-01-01").cast("date"), days)
+
+
 @dataclass(frozen=True)
 class Layout:
     """How a table's rows are spread: by day of a time column, by key hash, or both.
@@ -75,7 +83,7 @@ class Layout:
 
     def place(self, df: DataFrame) -> DataFrame:
         if self.day:
-            df = df.withColumn("_day", F.to_date(F.col(f"`{self.day}`")))
+            df = df.withColumn("_day", utc_day(F.col(f"`{self.day}`"), df.schema[self.day].dataType))
         if self.buckets:
             df = df.withColumn("_bucket", self.bucket_of(*[F.col(f"`{k}`") for k in self.keys]))
         return df
@@ -83,6 +91,12 @@ class Layout:
     def bucket_of(self, *keys):
         return F.pmod(F.xxhash64(*keys), F.lit(self.buckets)).cast("int")
 
+    def serves(self, keys: Iterable[str]) -> bool:
+        """Whether rows with equal keys always share a place."""
+        given = {k.lower() for k in keys}
+        by_keys = not self.buckets or {k.lower() for k in self.keys} == given
+        return by_keys and (self.day is None or self.day.lower() in given)
+
 
 @dataclass(frozen=True)
 class Part:
@@ -296,7 +310,7 @@ def layout_filter(manifest: Manifest, filters: Iterable[Filter]):
 
 def _day_terms(kind: T.DataType, item: Filter) -> list:
     def day(value: Any):
-        return F.to_date(literal(value, kind).cast(kind))
+        return utc_day(literal(value, kind).cast(kind), kind)
 
     column = F.col("_day")
     if item.op == "is_null":

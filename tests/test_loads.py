@@ -488,3 +488,32 @@ def test_rows_can_be_grouped_before_landing(spark, store, tmp_path):
     source = JobSource("csv", upload_id="u", filters=(Filter("v", ">", 1),), options=grouping)
     run_job(store, JobSpec("g", source, "t", Schedule(every="1h"), "full"), Surroundings(uploads={"u": path}))
     assert [(r.region, int(r.total)) for r in store.read("t").orderBy("region").collect()] == [("N", 3), ("S", 5)]
+
+
+def test_upsert_by_other_keys_spreads_the_table_anew(spark, store):
+    mark = WatermarkSpec("ts")
+    load_frame(store, "t", hourly(spark, 3), "full", watermark=mark)
+    assert store.manifest("t").layout == Layout(day="ts")
+    # The day is part of the new key: the layout still serves.
+    load_frame(store, "t", hourly(spark, 1).withColumn("v", F.lit(-1.0)), "upsert", ("cell", "ts"), mark)
+    assert store.manifest("t").layout == Layout(day="ts") and store.read("t").count() == 72
+    # A key without the day may match rows of any day.
+    one = hourly(spark, 1, start=datetime(2024, 6, 1)).limit(1)
+    load_frame(store, "t", one, "upsert", ("cell",), mark)
+    assert store.manifest("t").layout.columns == [] and store.read("t").count() == 1
+
+
+def test_days_do_not_depend_on_the_session_zone(spark, store):
+    make = lambda: hourly(spark, 2).withColumn("ts", F.timestamp_micros(F.unix_micros(F.lit("2024-01-01T00:00:00Z").cast("timestamp")) + F.col("v").cast("bigint") * 3_600_000_000))
+    mark = WatermarkSpec("ts")
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for name in ("UTC", "America/New_York", "Asia/Kolkata"):
+            spark.conf.set("spark.sql.session.timeZone", name)
+            load_frame(store, "t", make(), "upsert", ("cell", "ts"), mark)
+            assert store.manifest("t").row_count == 48
+            assert sorted(p.place for p in store.manifest("t").parts) == [("2024-01-01",), ("2024-01-02",)]
+            first = store.query(QuerySpec("t", filters=(Filter("ts", "<", "2024-01-01T06:00:00Z"),))).rows
+            assert first.count() == 6
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)

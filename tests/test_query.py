@@ -186,6 +186,12 @@ def test_sums_of_large_integers_do_not_overflow(spark):
     big = spark.createDataFrame([(2**62,), (2**62,), (2**62,)], "v bigint")
     row = apply_query(big, QuerySpec("t", aggregations=(Aggregation("sum", "v", "s"),))).first()
     assert int(row.s) == 3 * 2**62
+    values = [-(2**63), 2**63 - 1, -1, 0, 5, -(2**44), 2**44 + 2**22 + 1, -(2**63), -(2**22) - 7, None]
+    for part in (values, values[:1] * 5, values[-1:], values[:3]):
+        frame = spark.createDataFrame([(v,) for v in part], "v bigint")
+        row = apply_query(frame, QuerySpec("t", aggregations=(Aggregation("sum", "v", "s"),))).first()
+        present = [v for v in part if v is not None]
+        assert row.s == (sum(present) if present else None)
 
 
 def test_empty_global_aggregate_is_one_row(frame):
