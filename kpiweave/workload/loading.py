@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import replace
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +12,7 @@ from kpiweave.operators.incremental import since
 from kpiweave.operators.merge import latest_per_key
 from kpiweave.operators.schemas import SchemaDrift
 from kpiweave.plans.loads import LoadOptions, load, load_frame
-from kpiweave.plans.maintain import apply_retention, compact, export_snapshot, import_snapshot, rebuild
+from kpiweave.plans.maintain import apply_retention, compact, expire_landing, export_snapshot, import_snapshot, rebuild
 from kpiweave.plans.runs import run_log
 from kpiweave.plans.store import Layout, TableStore
 from kpiweave.session import scratch_path
@@ -295,6 +295,14 @@ def snapshot_restored(spark: SparkSession, folder: str) -> DataFrame:
     return other.read("kpi_orders")
 
 
+@registered("L17 landed runs that no version is made of can go", "SELECT * FROM events")
+def landing_expired(spark: SparkSession, folder: str) -> DataFrame:
+    store = new_store(spark, "expiry")
+    load_frame(store, "feed", table(spark, folder, "events"), "append", watermark=MARK)
+    expire_landing(store, "feed", datetime.now() + timedelta(days=31), days=30)
+    return store.read("feed")
+
+
 @registered(
     "L18",
     """SELECT 'quarantined' AS place, count(*) AS n FROM part

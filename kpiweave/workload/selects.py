@@ -33,6 +33,8 @@ WINDOWS = """SELECT o_custkey, o_orderkey, row_number() OVER w AS nth, o_totalpr
 FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)"""
 FUNCTIONS = """SELECT upper(substring(c_name, 1, 8)) AS stem, c_mktsegment, count(*) AS n, max(length(c_name)) AS longest,
 CAST(sum(CASE WHEN c_acctbal < 0 THEN 1 ELSE 0 END) AS BIGINT) AS in_debt FROM customer GROUP BY 1, 2"""
+AS_OF = """SELECT event_id, user_id, last_value(CASE WHEN event_type = 'purchase' THEN event_id END{}) OVER
+(PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS last_purchase FROM events"""
 SEMI = """SELECT s_suppkey, s_name FROM supplier WHERE s_suppkey IN (SELECT l_suppkey FROM lineitem WHERE l_quantity > 45)
 AND s_nationkey NOT IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 3)"""
 
@@ -80,3 +82,8 @@ def select_functions(spark: SparkSession, folder: str) -> DataFrame:
 @registered("X3 semi and anti joins", SEMI)
 def select_semi_joins(spark: SparkSession, folder: str) -> DataFrame:
     return _select(spark, folder, SEMI)
+
+
+@registered("X4 as-of: the latest purchase at each event", AS_OF.format(" IGNORE NULLS"))
+def select_as_of(spark: SparkSession, folder: str) -> DataFrame:
+    return _select(spark, folder, AS_OF.format(", true"))
