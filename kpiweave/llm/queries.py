@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kpiweave.llm import pieces
+from kpiweave.llm import pieces, secrets
 from kpiweave.llm.common import table
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +16,19 @@ Run = Callable[[SparkSession, str], DataFrame]
 PIECE_MODEL = "piece_bpe_32k.model"
 
 
+def op3_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    """Secrets in all documents: counts and digest of the base kinds, and all spans."""
+    found = secrets.find_secrets(table(spark, folder, "documents").select("doc_id", "text")).select("doc_id", "spans")
+    base = F.filter("spans", lambda s: s["kind"].isin([r.kind for r in secrets.BASE_RULES]))
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+    return found.select(
+        "doc_id",
+        *[count(r.kind).alias(f"n_{r.kind}") for r in secrets.BASE_RULES],
+        F.sha2(secrets.spelled(base), 256).alias("base_sha256"),
+        secrets.spelled(F.col("spans")).alias("spans"),
+    )
+
+
 def op8_pieces(spark: SparkSession, folder: str) -> DataFrame:
     """SentencePiece ids of all documents and the texts decoded from them, as digests."""
     model = public_tokenizers.path(PIECE_MODEL)
@@ -29,5 +42,5 @@ def op8_pieces(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-QUERIES: dict[str, Run] = {f.__name__: f for f in (op8_pieces,)}
+QUERIES: dict[str, Run] = {f.__name__: f for f in (op3_secrets, op8_pieces)}
 SQL: dict[str, str] = {}
