@@ -10,18 +10,22 @@ distinct chunk once and puts the ids together again by position. Other vocabular
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
+from itertools import chain, pairwise
 
 import pyarrow as pa
 import sentencepiece
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kpiweave.llm.common import lists_of, whole_text
+from kpiweave.llm.common import lists_of, slices, whole_text
 
 MARK = "▁"
 #: Chunks that a task keeps; beyond it the table is emptied and filled anew.
 TABLE_ROWS = 400_000
+#: Bytes of text taken together.
+RUN_BYTES = 4 << 20
 CHUNK = re.compile(" +[^ ]*")
 
 
@@ -50,22 +54,21 @@ class ChunkTable:
         parts = text.split(" ")
         return [c[1:] for c in CHUNK.findall(" " + text)] if "" in parts else parts
 
-    def learn(self, chunks: list[str]) -> None:
-        new = list({c for c in chunks if c not in self.ids})
+    def learn(self, chunks: set[str]) -> None:
+        """Segment the chunks that the table lacks, in one call of the library."""
+        if len(self.ids) > TABLE_ROWS:
+            self.ids.clear()
+        new = list(chunks.difference(self.ids))
         for chunk, ids in zip(new, self.sp.encode(new, num_threads=1), strict=True):
             # A marker alone: the library takes an empty text for no text at all.
             ids = ids if chunk or self.whole else [self.sp.piece_to_id(MARK)]
-            self.ids[chunk] = pa.array(ids, pa.int32()).buffers()[1].to_pybytes()[: 4 * len(ids)] if ids else b""
+            self.ids[chunk] = array("i", ids).tobytes()
 
-    def encode(self, text: str) -> bytes:
-        chunks = self.chunks(text)
-        try:
-            return b"".join(map(self.ids.__getitem__, chunks))
-        except KeyError:
-            if len(self.ids) > TABLE_ROWS:
-                self.ids.clear()
-            self.learn(chunks)
-            return b"".join(map(self.ids.__getitem__, chunks))
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Packed ids of each text."""
+        parts = [self.chunks(t) for t in texts]
+        self.learn(set(chain.from_iterable(parts)))
+        return [b"".join(map(self.ids.__getitem__, p)) for p in parts]
 
 
 def encoder(model: bytes):
@@ -75,7 +78,7 @@ def encoder(model: bytes):
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         table = ChunkTable(sentencepiece.SentencePieceProcessor(model_proto=model))
         for texts in batches:
-            yield lists_of(table.encode(t.as_py() or "") for t in texts)
+            yield lists_of(chain.from_iterable(table.encode([(t or b"").decode() for t in run.to_pylist()]) for run in slices(texts, RUN_BYTES)))
 
     return encode
 
@@ -87,7 +90,8 @@ def decoder(model: bytes):
     def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         sp = sentencepiece.SentencePieceProcessor(model_proto=model)
         for rows in batches:
-            yield pa.array([sp.decode(ids.as_py() or []) for ids in rows], pa.string())
+            at, ids = rows.offsets.to_numpy().tolist(), rows.values.to_numpy().tolist()
+            yield pa.array([sp.decode(ids[a:b]) if a < b else "" for a, b in pairwise(at)], pa.string())
 
     return decode
 
