@@ -8,14 +8,36 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kpiweave.llm import pieces, secrets
-from kpiweave.llm.common import table
+from kpiweave.llm import languages, pieces, quality, secrets
+from kpiweave.llm.common import fold, table
 
 Run = Callable[[SparkSession, str], DataFrame]
 
+#: Texts that score less are predicted to be of label 0.
+QUALITY_FLOOR = 0.3
 PIECE_MODEL = "piece_bpe_32k.model"
 
 
+def op1_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality of all documents, learned from labels of four of five folds."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    labels = table(spark, folder, "labels").where(fold("doc_id", 5) != 0)
+    scored = quality.score(docs, quality.learn(docs, labels))
+    return scored.select(
+        "doc_id",
+        (fold("doc_id", 5) == 0).alias("held_out"),
+        "score",
+        F.when(F.col("score") >= QUALITY_FLOOR, 1).otherwise(0).alias("predicted"),
+    )
+
+
+def op2_languages(spark: SparkSession, folder: str) -> DataFrame:
+    """Languages of all documents, learned from three of four folds."""
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    found = languages.identify(docs.select("doc_id", "text"), docs.where(fold("doc_id", 4) != 2))
+    return found.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "language.lang_pred", "language.score")
+
+
 def op3_secrets(spark: SparkSession, folder: str) -> DataFrame:
     """Secrets in all documents: counts and digest of the base kinds, and all spans."""
     found = secrets.find_secrets(table(spark, folder, "documents").select("doc_id", "text")).select("doc_id", "spans")
@@ -42,5 +64,5 @@ def op8_pieces(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-QUERIES: dict[str, Run] = {f.__name__: f for f in (op3_secrets, op8_pieces)}
+QUERIES: dict[str, Run] = {f.__name__: f for f in (op1_quality, op2_languages, op3_secrets, op8_pieces)}
 SQL: dict[str, str] = {}
