@@ -8,13 +8,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kpiweave.llm import languages, pieces, quality, secrets
+from kpiweave.llm import languages, merkle, pieces, quality, secrets, shards
 from kpiweave.llm.common import fold, table
 
 Run = Callable[[SparkSession, str], DataFrame]
 
 #: Texts that score less are predicted to be of label 0.
 QUALITY_FLOOR = 0.3
+#: Bytes of text that a shard holds at most.
+SHARD_BYTES = 32 << 20
 PIECE_MODEL = "piece_bpe_32k.model"
 
 
@@ -51,6 +53,14 @@ def op3_secrets(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op7_shards(spark: SparkSession, folder: str) -> DataFrame:
+    """The shard of each document, read back from written shards of at most SHARD_BYTES of text."""
+    docs = table(spark, folder, "documents")
+    assigned = shards.assign(docs, SHARD_BYTES)
+    back = shards.read_shards(assigned, shards.write_shards(assigned))
+    return back.select("doc_id", "shard", "depth", "shard_bytes", "shard_rows")
+
+
 def op8_pieces(spark: SparkSession, folder: str) -> DataFrame:
     """SentencePiece ids of all documents and the texts decoded from them, as digests."""
     model = public_tokenizers.path(PIECE_MODEL)
@@ -64,5 +74,55 @@ def op8_pieces(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-QUERIES: dict[str, Run] = {f.__name__: f for f in (op1_quality, op2_languages, op3_secrets, op8_pieces)}
-SQL: dict[str, str] = {}
+def op10_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    """Fingerprints of all documents and of their edited texts, and how alike they are."""
+    docs = merkle.with_next(table(spark, folder, "documents").select("doc_id", "text"), "doc_id", "text", "following")
+    docs = docs.withColumn("edited", merkle.edited(F.col("text"), F.col("following")))
+    for text, name in (("text", "fingerprint"), ("edited", "edited_fingerprint"), ("following", "next_fingerprint")):
+        docs = merkle.with_fingerprint(docs, text, name)
+    return docs.select(
+        "doc_id",
+        F.char_length("text").cast("long").alias("n_chars"),
+        F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        "fingerprint",
+        "edited_fingerprint",
+        merkle.likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
+        merkle.likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"),
+    )
+
+
+def op10_sql() -> str:
+    """The same in SQL: the pattern of the cut, the hashes and the fan-out are the operator's."""
+    cut = lambda x, pattern: f"regexp_extract_all({x}, '{pattern}', 0)"
+    fingerprint = lambda x: f"""(SELECT concat_ws('|', sha256(array_to_string(s, '')),
+            array_to_string(list_transform(s, lambda h: h[1:{merkle.SHORT}]), ','),
+            array_to_string(list_transform(list_zip(p, l), lambda z: z[1][1:{merkle.SHORT}] || ':' || len(z[2])), ','),
+            array_to_string(list_transform(flatten(l), lambda h: h[1:{merkle.SHORT}]), ','))
+        FROM (SELECT *, list_transform(range(0, (len(p) + {merkle.FANOUT - 1}) // {merkle.FANOUT}),
+                lambda i: md5(array_to_string(p[i * {merkle.FANOUT} + 1 : i * {merkle.FANOUT} + {merkle.FANOUT}], ''))) AS s
+            FROM (SELECT *, list_transform(l, lambda x: md5(array_to_string(x, ''))) AS p
+                FROM (SELECT list_transform({cut(x, merkle.PARAGRAPH)}, lambda x: list_transform({cut("x", merkle.SENTENCE)}, lambda y: md5(y))) AS l))))"""
+    leaves = lambda f: f"list_distinct(string_split(string_split({f}, '|')[4], ','))"
+    near = lambda a, b: f"""CASE WHEN string_split({a}, '|')[1] = string_split({b}, '|')[1] THEN 1.0::DOUBLE
+        ELSE 2.0::DOUBLE * len(list_intersect({leaves(a)}, {leaves(b)})) / (len({leaves(a)}) + len({leaves(b)})) END"""
+    return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+      n AS (SELECT *, coalesce(lead(t) OVER (ORDER BY doc_id DESC, t), first_value(t) OVER (ORDER BY doc_id DESC, t)) AS x FROM d),
+      e AS (SELECT *, left(t, (length(t) - length(t) // 2)::BIGINT) || left(x, (length(t) // 2)::BIGINT) AS y FROM n),
+      f AS (SELECT *, {fingerprint("t")} AS ft, {fingerprint("y")} AS fy, {fingerprint("x")} AS fx FROM e)
+    SELECT doc_id, length(t)::BIGINT AS n_chars, sha256(y) AS edited_sha256, ft AS fingerprint, fy AS edited_fingerprint,
+      {near("ft", "fy")} AS near_edited, {near("ft", "fx")} AS near_next FROM f"""
+
+
+def op7_sql() -> str:
+    return f"""WITH d AS (SELECT doc_id, octet_length(encode(coalesce(text, ''))) AS b,
+        ('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15))::BIGINT AS h FROM documents),
+      l AS (SELECT depth, h >> (60 - depth) AS p, sum(b) AS b, count(*) AS n
+        FROM d, (SELECT unnest(range(0, 61))::INTEGER AS depth) GROUP BY ALL)
+    SELECT doc_id, CASE WHEN depth = 0 THEN '' ELSE lpad(bin(p), depth, '0') END AS shard, depth,
+        l.b::BIGINT AS shard_bytes, n::BIGINT AS shard_rows
+      FROM d JOIN l ON h >> (60 - depth) = p WHERE l.b <= {SHARD_BYTES}
+      QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY depth) = 1"""
+
+
+QUERIES: dict[str, Run] = {f.__name__: f for f in (op1_quality, op2_languages, op3_secrets, op7_shards, op8_pieces, op10_fingerprints)}
+SQL: dict[str, str] = {"op7_shards": op7_sql(), "op10_fingerprints": op10_sql()}
