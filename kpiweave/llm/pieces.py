@@ -23,9 +23,9 @@ from kpiweave.llm.common import lists_of, slices, whole_text
 
 MARK = "▁"
 #: Chunks that a task keeps; beyond it the table is emptied and filled anew.
-TABLE_ROWS = 400_000
+TABLE_ROWS = 250_000
 #: Bytes of text taken together.
-RUN_BYTES = 4 << 20
+RUN_BYTES = 2 << 20
 CHUNK = re.compile(" +[^ ]*")
 
 
@@ -90,8 +90,8 @@ def decoder(model: bytes):
     def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         sp = sentencepiece.SentencePieceProcessor(model_proto=model)
         for rows in batches:
-            at, ids = rows.offsets.to_numpy().tolist(), rows.values.to_numpy().tolist()
-            yield pa.array([sp.decode(ids[a:b]) if a < b else "" for a, b in pairwise(at)], pa.string())
+            at, ids = rows.offsets.to_numpy().tolist(), rows.values.to_numpy()
+            yield pa.array([sp.decode(ids[a:b].tolist()) if a < b else "" for a, b in pairwise(at)], pa.string())
 
     return decode
 
