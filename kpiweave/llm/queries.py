@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kpiweave.llm import languages, merkle, pieces, quality, secrets, shards
+from kpiweave.llm import decontaminate, languages, merkle, pieces, quality, secrets, shards
 from kpiweave.llm.common import fold, table
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -53,6 +53,37 @@ def op3_secrets(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op6_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    """Words of all documents inside occurrences of benchmark windows."""
+    found = decontaminate.find_hits(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
+def op6_sql() -> str:
+    upper = "".join(map(chr, range(65, 91)))
+    words = f"regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{upper.lower()}'), '{decontaminate.WORD}', 0)"
+    span = decontaminate.SPAN
+    return f"""WITH b AS (SELECT item_id::VARCHAR AS item, {words} AS w, least(len(w), {span}) AS n FROM benchmark),
+      bw AS (SELECT DISTINCT item, n, array_to_string(w[i + 1 : i + n], ' ') AS x
+        FROM (SELECT *, unnest(range(0, len(w) - n + 1)) AS i FROM b WHERE n > 0)),
+      d AS (SELECT row_number() OVER () AS r, doc_id, {words} AS w FROM documents),
+      dw AS (SELECT r, i, n, array_to_string(w[i + 1 : i + n], ' ') AS x
+        FROM (SELECT *, unnest(range(0, len(w) - n + 1)) AS i FROM d, (SELECT DISTINCT n FROM bw) WHERE len(w) >= n)),
+      m AS (SELECT r, i, n, item FROM dw JOIN bw USING (n, x)),
+      c AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS p FROM m) GROUP BY r),
+      k AS (SELECT r, list_sort(list(DISTINCT item)) AS items FROM m GROUP BY r)
+    SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(len(items), 0)::BIGINT AS n_items,
+      sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+      FROM d LEFT JOIN c USING (r) LEFT JOIN k USING (r)"""
+
+
 def op7_shards(spark: SparkSession, folder: str) -> DataFrame:
     """The shard of each document, read back from written shards of at most SHARD_BYTES of text."""
     docs = table(spark, folder, "documents")
@@ -124,5 +155,5 @@ def op7_sql() -> str:
       QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY depth) = 1"""
 
 
-QUERIES: dict[str, Run] = {f.__name__: f for f in (op1_quality, op2_languages, op3_secrets, op7_shards, op8_pieces, op10_fingerprints)}
-SQL: dict[str, str] = {"op7_shards": op7_sql(), "op10_fingerprints": op10_sql()}
+QUERIES: dict[str, Run] = {f.__name__: f for f in (op1_quality, op2_languages, op3_secrets, op6_decontaminate, op7_shards, op8_pieces, op10_fingerprints)}
+SQL: dict[str, str] = {"op6_decontaminate": op6_sql(), "op7_shards": op7_sql(), "op10_fingerprints": op10_sql()}
