@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kpiweave.llm import decontaminate, languages, merkle, pieces, quality, secrets, shards
+from kpiweave.llm import decontaminate, languages, merkle, near_copies, pieces, quality, secrets, shards
 from kpiweave.llm.common import fold, table
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -105,6 +105,11 @@ def op8_pieces(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op9_near_copies(spark: SparkSession, folder: str) -> DataFrame:
+    """Components of documents whose sets of 3-word shingles are alike by 90 percent or more."""
+    return near_copies.find_groups(table(spark, folder, "documents"), length=3, least=90)
+
+
 def op10_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     """Fingerprints of all documents and of their edited texts, and how alike they are."""
     docs = merkle.with_next(table(spark, folder, "documents").select("doc_id", "text"), "doc_id", "text", "following")
@@ -155,5 +160,5 @@ def op7_sql() -> str:
       QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY depth) = 1"""
 
 
-QUERIES: dict[str, Run] = {f.__name__: f for f in (op1_quality, op2_languages, op3_secrets, op6_decontaminate, op7_shards, op8_pieces, op10_fingerprints)}
+QUERIES: dict[str, Run] = {f.__name__: f for f in (op1_quality, op2_languages, op3_secrets, op6_decontaminate, op7_shards, op8_pieces, op9_near_copies, op10_fingerprints)}
 SQL: dict[str, str] = {"op6_decontaminate": op6_sql(), "op7_shards": op7_sql(), "op10_fingerprints": op10_sql()}
