@@ -94,7 +94,8 @@ def assign(docs: DataFrame, limit: int, doc_id: str = "doc_id", text: str = "tex
     cells = sized.select(prefix(F.col("__hash"), finest).alias("__cell")).distinct()
     tries = F.array(*[F.struct(F.lit(d).alias("d"), F.expr(f"shiftright(__cell, {finest - d})").alias("p")) for d in depths])
     tried = cells.withColumn("__try", F.explode(tries)).select("__cell", F.col("__try.d").alias("__depth"), F.col("__try.p").alias("__prefix"))
-    placed = tried.join(named, ["__depth", "__prefix"]).drop("__depth", "__prefix")
+    # Written, so that Spark knows its size and need not shuffle the texts where it is small.
+    placed = written(tried.join(named, ["__depth", "__prefix"]).drop("__depth", "__prefix"), "placed")
     return sized.withColumn("__cell", prefix(F.col("__hash"), finest)).join(placed, "__cell").drop("__cell", "__hash", "__bytes")
 
 
