@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kpiweave.llm import decontaminate, languages, merkle, near_copies, pieces, quality, secrets, shards
-from kpiweave.llm.common import fold, table
+from kpiweave.llm import decontaminate, languages, merkle, near_copies, pieces, quality, secrets, shards, token_files
+from kpiweave.llm.common import fold, scratch, table
 
 Run = Callable[[SparkSession, str], DataFrame]
 
@@ -17,6 +17,7 @@ Run = Callable[[SparkSession, str], DataFrame]
 QUALITY_FLOOR = 0.3
 #: Bytes of text that a shard holds at most.
 SHARD_BYTES = 32 << 20
+BYTE_MODEL = "byte_bpe_50k.json"
 PIECE_MODEL = "piece_bpe_32k.model"
 
 
@@ -53,6 +54,14 @@ def op3_secrets(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op4_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Ids of all documents, written to files in ascending order of the ids and read back from them."""
+    target = scratch(spark, "tokens")
+    docs = table(spark, folder, "documents")
+    files = token_files.write_files(docs, public_tokenizers.path(BYTE_MODEL), target)
+    return token_files.read_files(files, target).withColumnRenamed("id", "doc_id")
+
+
 def op6_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     """Words of all documents inside occurrences of benchmark windows."""
     found = decontaminate.find_hits(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
@@ -160,5 +169,5 @@ def op7_sql() -> str:
       QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY depth) = 1"""
 
 
-QUERIES: dict[str, Run] = {f.__name__: f for f in (op1_quality, op2_languages, op3_secrets, op6_decontaminate, op7_shards, op8_pieces, op9_near_copies, op10_fingerprints)}
+QUERIES: dict[str, Run] = {f.__name__: f for f in (op1_quality, op2_languages, op3_secrets, op4_token_files, op6_decontaminate, op7_shards, op8_pieces, op9_near_copies, op10_fingerprints)}
 SQL: dict[str, str] = {"op6_decontaminate": op6_sql(), "op7_shards": op7_sql(), "op10_fingerprints": op10_sql()}
