@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kpiweave.llm import decontaminate, languages, merkle, near_copies, pieces, quality, secrets, shards, token_files
+from kpiweave.llm import context_tree, decontaminate, languages, merkle, near_copies, pieces, quality, secrets, shards, token_files
 from kpiweave.llm.common import fold, scratch, table
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -62,6 +62,13 @@ def op4_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return token_files.read_files(files, target).withColumnRenamed("id", "doc_id")
 
 
+def op5_context_tree(spark: SparkSession, folder: str) -> DataFrame:
+    """Log probabilities of all documents, learned from six of seven folds."""
+    docs = table(spark, folder, "documents")
+    scored = context_tree.score(docs, fold("doc_id", 7) != 2)
+    return scored.select("doc_id", (fold("doc_id", 7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op6_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     """Words of all documents inside occurrences of benchmark windows."""
     found = decontaminate.find_hits(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
@@ -169,5 +176,5 @@ def op7_sql() -> str:
       QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY depth) = 1"""
 
 
-QUERIES: dict[str, Run] = {f.__name__: f for f in (op1_quality, op2_languages, op3_secrets, op4_token_files, op6_decontaminate, op7_shards, op8_pieces, op9_near_copies, op10_fingerprints)}
+QUERIES: dict[str, Run] = {f.__name__: f for f in (op1_quality, op2_languages, op3_secrets, op4_token_files, op5_context_tree, op6_decontaminate, op7_shards, op8_pieces, op9_near_copies, op10_fingerprints)}
 SQL: dict[str, str] = {"op6_decontaminate": op6_sql(), "op7_shards": op7_sql(), "op10_fingerprints": op10_sql()}
