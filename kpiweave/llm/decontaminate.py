@@ -6,7 +6,9 @@ joining fingerprints loses no shared span of SPAN words or more. Hits are then e
 windows of the texts that were hit are joined with the items' windows themselves. An item of
 fewer words is one window of its own length, and its one gram is its fingerprint.
 
-Everything is made of built-in functions and joins. Which side of a join is small is left to
+Everything is made of built-in functions and joins. Arrays made by chained functions are exploded
+in the outer form: for the inner one the optimiser filters by a copy of the whole expression,
+which would be computed again for every element. Which side of a join is small is left to
 Spark, which measures it.
 """
 
@@ -84,8 +86,9 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", tex
     windows, prints = [], []
     for n in lengths:
         own = items.where(F.col("length") == n)
-        windows.append(own.select("item", F.explode(windows_at("words", [n])).alias("w")).select("item", "w.length", "w.window"))
-        prints.append(with_fingerprints(own, "words", "prints", [n]).select(F.explode("prints").alias("print")))
+        spread = own.select("item", F.explode_outer(windows_at("words", [n])).alias("w")).where("w is not null")
+        windows.append(spread.select("item", "w.length", "w.window"))
+        prints.append(with_fingerprints(own, "words", "prints", [n]).select(F.explode_outer("prints").alias("print")).where("print is not null"))
     item_windows = windows[0]
     item_prints = prints[0]
     for more, other in zip(windows[1:], prints[1:], strict=True):
@@ -101,8 +104,8 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", tex
 
     same = lambda a, b: a["id"].eqNullSafe(b["id"]) & (a["key"] == b["key"])
     texts = base.join(hit, same(base, hit), "left_semi").dropDuplicates(["id", "key"])
-    spread = texts.withColumn("words", words_of(F.col("t"))).select("id", "key", F.explode(windows_at("words", lengths)).alias("w"))
-    spread = spread.select("id", "key", "w.place", "w.length", "w.window")
+    spread = texts.withColumn("words", words_of(F.col("t"))).select("id", "key", F.explode_outer(windows_at("words", lengths)).alias("w"))
+    spread = spread.where("w is not null").select("id", "key", "w.place", "w.length", "w.window")
     found = written(spread.join(item_windows.select("length", "window").distinct(), ["length", "window"], "left_semi"), "found")
 
     ordered = F.sort_array(F.collect_list(F.struct("place", "length")))
