@@ -372,7 +372,15 @@ def find_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", len
 
 
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = 5, least: int = 80) -> DataFrame:
-    """The rows of ``docs`` whose id is the least of their group, with all their columns; of repeated rows one stays."""
-    kept = find_groups(docs, doc_id, text, length, least)
-    kept = kept.where(F.col(doc_id).eqNullSafe(F.col("component_id"))).select(F.col(doc_id).alias("__id")).distinct()
-    return docs.join(kept, F.col(doc_id).eqNullSafe(F.col("__id")), "left_semi").dropDuplicates([doc_id])
+    """The rows of ``docs`` whose id is the least of their group, with all their columns.
+
+    Of rows with the same id one stays. A row without id stands behind all others of its group
+    (ids are taken to be below 2 ** 62), by a hash of its text.
+    """
+    stand_in = F.lit(1 << 62) + F.expr(f"shiftrightunsigned(xxhash64(coalesce(`{text}`, '')), 2)")
+    keyed = docs.withColumn("__key", F.coalesce(F.col(doc_id).cast("long"), stand_in))
+    groups = written(find_groups(keyed, "__key", text, length, least), "groups")
+    kept = groups.where(F.col("__key") == F.col("component_id"))
+    rows = keyed.join(kept.select("__key").distinct(), "__key", "left_semi")
+    repeated = kept.groupBy("__key").count().where("count > 1")
+    return (rows if repeated.isEmpty() else rows.dropDuplicates(["__key"])).drop("__key")
