@@ -20,7 +20,7 @@ import uuid
 import zlib
 from array import array
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +41,8 @@ FRAME_BYTES, FILE_BYTES, END_ID = 128 << 10, 24 << 20, 0
 LEVEL = 3
 RUN_BYTES, TABLE_ROWS = 2 << 20, 250_000
 INDEX = np.dtype([("id", "<i8"), ("known", "u1"), ("frame", "<u4"), ("at", "<u4"), ("count", "<u8")])
+#: How a vocabulary of bytes spells a space, and the parts that are encoded in one text.
+SPACE, TOGETHER = "Ġ", 1000
 BETWEEN = re.compile(r"(?<=\S) (?=\S)")
 
 
@@ -60,18 +62,36 @@ class PieceTable:
         self.encoder = Tokenizer.from_str(tokenizer)
         self.encoder.encode_special_tokens = True
         self.kind = kind
+        vocabulary = self.encoder.get_vocab()
+        self.opens = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that begin with a space
+        self.opens[[i for token, i in vocabulary.items() if token.startswith(SPACE)]] = True
         self.after: dict[str, bytes | None] = {}
 
     def _packed(self, texts: list[str]) -> list[bytes]:
         return [array(self.kind, e.ids).tobytes() for e in self.encoder.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _packed_after(self, parts: list[str]) -> list[bytes]:
+        """Ids of parts with a space before each: many in one text, told apart by the ids that begin with a space."""
+        out: list[bytes] = []
+        runs = [parts[at : at + TOGETHER] for at in range(0, len(parts), TOGETHER)]
+        texts = [" " + " ".join(run) for run in runs]
+        width = array(self.kind).itemsize
+        for run, found in zip(runs, self.encoder.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+            ids = np.array(found.ids, self.kind)
+            at = (np.flatnonzero(self.opens[ids]) * width).tolist()
+            if len(at) != len(run):
+                raise ValueError("a token of the vocabulary crosses a space")
+            data = ids.tobytes()
+            out += [data[a:b] for a, b in pairwise([*at, len(data)])]
+        return out
+
     def _learn(self, parts: set[str]) -> None:
         if len(self.after) > TABLE_ROWS:
             self.after.clear()
         new = [p for p in parts.difference(self.after)]
         plain = [p for p in new if p and not p[0].isspace() and not p[-1].isspace()]
         self.after.update(dict.fromkeys(new))
-        self.after.update(zip(plain, self._packed([" " + p for p in plain]), strict=True))
+        self.after.update(zip(plain, self._packed_after(plain), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Packed ids of each text."""
