@@ -41,6 +41,8 @@ def literal(value: Any, kind: T.DataType) -> Column:
         return F.lit(None).cast(kind)
     if isinstance(kind, T.StringType):
         return F.lit(_as_text(value))
+    if isinstance(kind, T.DecimalType) and not isinstance(value, (bool, datetime, date)):
+        return _decimal(value, kind)
     if isinstance(value, bool):
         return F.lit(value) if isinstance(kind, T.BooleanType) else F.lit(int(value)).cast(kind)
     if isinstance(value, (float, Decimal)) and isinstance(kind, T.IntegralType):
@@ -57,6 +59,24 @@ def literal(value: Any, kind: T.DataType) -> Column:
     return F.lit(value).cast(kind)
 
 
+def _decimal(value: Any, kind: T.DecimalType) -> Column:
+    """A number for a decimal column: as the column's type where that holds it, else at its own scale."""
+    try:
+        number = Decimal(str(value).strip())
+    except ArithmeticError as error:
+        raise SpecError(f"{value!r} is not a number") from error
+    if not number.is_finite():
+        return F.lit(float(number))
+    _, digits, exponent = number.normalize().as_tuple()
+    scale = max(0, -exponent)
+    whole = max(0, len(digits) + exponent)
+    if scale <= kind.scale and whole <= kind.precision - kind.scale:
+        return F.lit(str(number)).cast(kind)
+    if whole + scale > 38:
+        return F.lit(float(number))
+    return F.lit(format(number, "f")).cast(T.DecimalType(max(1, whole + scale), scale))
+
+
 def _number(text: str, kind: T.DataType) -> Column:
     try:
         number = Decimal(text.strip())

@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from kpiweave.functions.predicates import field_of
 from kpiweave.functions.sizing import estimated_bytes
-from kpiweave.operators.incremental import capped
+from kpiweave.operators.incremental import capped, later_mark
 from kpiweave.operators.merge import latest_per_key, upserted
 from kpiweave.operators.schemas import SchemaDrift, aligned, compare
 from kpiweave.plans import runs
@@ -159,12 +159,13 @@ def load(
         watermark_before=before.watermark_value if before else None,
         landing_path=command.landing_path,
     )
+    landings: dict[str, str] = {}  # where a transform's rows were landed
     try:
-        return _load(store, command, options, run, note, dict(inputs or {}), landed)
+        return _load(store, command, options, run, note, dict(inputs or {}), landed, landings)
     except SchemaDrift as drift:
         status = "failed"
         if options.on_drift == "quarantine":
-            _quarantine(store, command, drift)
+            _quarantine(store, command, drift, command.landing_path or landings.get(command.run_id))
             status = "quarantined"
         runs.finish(store, run, status, error=f"load failed: {drift}")
         raise
@@ -181,12 +182,14 @@ def _load(
     note: str | None,
     inputs: dict[str, int],
     landed: Landed | None,
+    landings: dict[str, str],
 ) -> LoadResult:
     if command.transform_sql:
         # The SELECT runs once; everything after reads what it wrote.
         frame, inputs = transform_frame(store, command.transform_sql)
         landed = land(frame, store.landing_path(command.table, f"{command.run_id}-{uuid.uuid4().hex[:8]}"))
     landing = landed.path if landed else command.landing_path
+    landings[command.run_id] = landing
     reader = store.spark.read.schema(landed.schema) if landed else store.spark.read
     source = Batch(reader.parquet(landing), landing, landed.rows_read if landed else None)
     batch = source.rows
@@ -268,7 +271,7 @@ def _next_version(
         layout=layout,
         key_columns=keys or (head.key_columns if head else ()),
         watermark_column=mark_column,
-        watermark_value=command.watermark_value or (head.watermark_value if head else None),
+        watermark_value=_mark_after(head, schema, mark_column, command.watermark_value, fresh),
         source_job=command.job_name or (head.source_job if head else None),
         applied_runs=(*(head.applied_runs if head else ()), command.run_id),
         inputs=inputs,
@@ -277,6 +280,16 @@ def _next_version(
     )
 
 
+def _mark_after(
+    head: Manifest | None, schema: T.StructType, column: str | None, new: str | None, fresh: bool
+) -> str | None:
+    """The table's mark after a load: the batch's own for a fresh table, else the greater one."""
+    old = head.watermark_value if head else None
+    if fresh or column is None or head.watermark_column != column:
+        return new or old
+    return later_mark(field_of(schema, column).dataType, old, new)
+
+
 def _add(store: TableStore, command: LoadCommand, source: Batch, layout: Layout) -> list[Part]:
     """The batch as new parts. A landing directory of the store that already has the
     table's form becomes a part as it is, so that rows are not written twice."""
@@ -310,10 +323,10 @@ def _merge(
     return store.write_segment(command.table, command.run_id, merged, layout), untouched, written
 
 
-def _quarantine(store: TableStore, command: LoadCommand, drift: SchemaDrift) -> None:
+def _quarantine(store: TableStore, command: LoadCommand, drift: SchemaDrift, landing_path: str | None) -> None:
     base = f"{store.root}/quarantine/{command.table}/_run={command.run_id}"
-    if command.landing_path:
-        store.spark.read.parquet(command.landing_path).write.mode("overwrite").parquet(f"{base}/rows")
+    if landing_path:
+        store.spark.read.parquet(landing_path).write.mode("overwrite").parquet(f"{base}/rows")
     about = {"run_id": command.run_id, "table": command.table, "drift": drift.drift.summary()}
     store.files.put(f"{base}/drift.json", json.dumps(about))
 
@@ -378,10 +391,13 @@ def time_limit(store: TableStore, seconds: int | None, label: str) -> Iterator[N
 def extract(store: TableStore, job: JobSpec, around: Surroundings, run_id: str) -> tuple[LoadCommand, Landed]:
     """Land what is new since the table's mark; returns the load it asks for."""
     head = store.head(job.target_table)
-    mark = head.watermark_value if head and job.watermark else None
+    # A full refresh replaces the table, so it reads everything: no mark and no cap.
+    whole = job.load_mode == "full"
+    mark = head.watermark_value if head and job.watermark and not whole else None
     column = job.watermark.column if job.watermark else None
     frame = read_source(store.spark, job, around, mark)
-    frame = capped(frame, column if column in frame.columns else None, job.guards.row_cap)
+    if not whole:
+        frame = capped(frame, column if column in frame.columns else None, job.guards.row_cap, mark is None)
     landed = land(frame, store.landing_path(job.target_table, run_id), column, mark)
     command = LoadCommand(
         run_id=run_id,

@@ -48,6 +48,16 @@ def base_options(options: Mapping[str, Any], guards: Guards | None = None) -> di
     return merged
 
 
+#: What a job may say about how its source is read; the connection alone says where and how to log in.
+JOB_OPTIONS = ("partitionColumn", "lowerBound", "upperBound", "numPartitions", "fetchsize")
+
+
+def reader_options(source: JobSource) -> dict[str, Any]:
+    """The job's options that are about splitting the read."""
+    names = {n.lower(): n for n in JOB_OPTIONS}
+    return {names[k.lower()]: v for k, v in source.options.items() if k.lower() in names}
+
+
 def table_options(
     options: Mapping[str, Any], source: JobSource, guards: Guards | None = None
 ) -> dict[str, str]:
@@ -59,7 +69,7 @@ def table_options(
     name = check_name(source.table, "table")
     if source.schema:
         name = f"{check_name(source.schema, 'schema')}.{name}"
-    merged = base_options({**options, **source.options}, guards)
+    merged = base_options({**options, **reader_options(source)}, guards)
     merged.pop("allowed_schemas", None)
     return {**merged, "dbtable": name}
 
@@ -135,7 +145,7 @@ def read_jdbc(
     frame = loader(spark, table_options(options, source, guards))
     frame = where(frame, source.filters)
     if watermark is not None:
-        frame = since(frame, watermark.column, mark)
+        frame = since(frame, watermark.column, mark, source.options.get("lag"))
     frame = frame.select(*[column_of(frame.schema, c) for c in source.columns])
     return lowered(frame) if oracle else frame
 

@@ -23,8 +23,6 @@ RETENTION_STRATEGIES = ("keep_forever", "rolling_window")
 WATERMARK_TYPES = ("timestamp", "integer")
 DEFAULT_LIMIT = 1000
 MAX_LIMIT = 100_000
-DEFAULT_ROW_CAP = 5_000_000
-DEFAULT_TIMEOUT_S = 300
 DEFAULT_RETENTION_DAYS = 395
 
 IDENTIFIER = re.compile(r"[A-Za-z_][A-Za-z0-9_$#]{0,127}")
@@ -291,8 +289,10 @@ class Retention:
 
 @dataclass(frozen=True)
 class Guards:
-    row_cap: int | None = DEFAULT_ROW_CAP
-    timeout_s: int | None = DEFAULT_TIMEOUT_S
+    """Limits of one extract; none unless given."""
+
+    row_cap: int | None = None
+    timeout_s: int | None = None
 
 
 @dataclass(frozen=True)

@@ -6,6 +6,8 @@ Upserts, where a run must be applied as a whole, go through ``load_queue``.
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -46,23 +48,27 @@ def append_batches(
 ) -> StreamingQuery:
     """Start appending the stream's micro-batches to the table.
 
-    A micro-batch becomes one load whose run id is the batch number, so that a batch
-    which Spark repeats after a failure changes nothing.
+    A micro-batch becomes one load whose run id is the stream's own id, as its checkpoint
+    keeps it, and the batch number. So a batch which Spark repeats after a failure changes
+    nothing, and several streams into one table do not take each other's numbers. Give
+    each of them its own checkpoint.
     """
+    place = checkpoint or f"{store.root}/checkpoints/{table}"
 
     def apply(batch: DataFrame, batch_id: int) -> None:
+        known = json.loads(batch.sparkSession.read.text(f"{place}/metadata").first()[0])["id"]
         result = load_frame(
             TableStore(batch.sparkSession, store.root),
             table,
             batch,
             "append",
             watermark=watermark,
-            run_id=f"stream-{batch_id:010d}",
+            run_id=f"stream-{known}-{batch_id:010d}",
             job_name=f"stream_{table}",
             options=LoadOptions(exactly_once=True),
         )
         if on_load:
             on_load(result)
 
-    writer = stream.writeStream.foreachBatch(apply).queryName(f"append_{table}")
-    return start(writer.option("checkpointLocation", checkpoint or f"{store.root}/checkpoints/{table}"), every)
+    writer = stream.writeStream.foreachBatch(apply).queryName(f"append_{table}_{uuid.uuid4().hex[:8]}")
+    return start(writer.option("checkpointLocation", place), every)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kpiweave.functions.timing import interval_column
-from kpiweave.operators.query import apply_query
+from kpiweave.operators.query import apply_query, unpaged
 from kpiweave.plans.catalog import (
     catalog,
     job_metrics,
@@ -21,7 +21,7 @@ from kpiweave.plans.catalog import (
 )
 from kpiweave.plans.dashboard import cascaded, map_cells, pivot_series, run_dashboard, shape, shares, site_totals, with_sites
 from kpiweave.plans.loads import load_frame
-from kpiweave.specs import Dashboard, Filter, JobSource, JobSpec, QuerySpec, Schedule, Widget
+from kpiweave.specs import DEFAULT_LIMIT, Dashboard, Filter, JobSource, JobSpec, QuerySpec, Schedule, Widget
 from kpiweave.workload import registered
 from kpiweave.workload.frames import KPI_SQL, kpi_feed, new_store, rounded, table, whole
 
@@ -205,7 +205,9 @@ def _widget(kind: str, query: dict, viz: dict | None = None) -> Widget:
 
 
 def _shown(spark: SparkSession, folder: str, widget: Widget, names: tuple[str, ...] = ()) -> DataFrame:
-    return shape(widget, apply_query(kpi_feed(spark, folder), widget.query), names or None)
+    """The widget's rows in its shape; all rows unless the widget itself gives a limit."""
+    feed, given = kpi_feed(spark, folder), widget.query.limit != DEFAULT_LIMIT
+    return shape(widget, apply_query(feed, widget.query) if given else unpaged(feed, widget.query), names or None)
 
 
 @registered("D5 D9", f"SELECT round(avg(traffic), 9) AS value FROM {KPI_SQL}")
@@ -237,7 +239,6 @@ def widget_traffic_lines(spark: SparkSession, folder: str) -> DataFrame:
             "aggregations": [{"fn": "avg", "col": "traffic", "as": "traffic"}],
             "groupBy": ["hour_ts", "region"],
             "sort": [{"col": "hour_ts"}],
-            "limit": 100_000,
         },
     )
     return rounded(_shown(spark, folder, widget, REGION_NAMES), 9, *REGION_NAMES)
@@ -250,10 +251,9 @@ def pivot_found_series(spark: SparkSession, folder: str) -> DataFrame:
             "table": "kpi",
             "aggregations": [{"fn": "avg", "col": "traffic", "as": "traffic"}],
             "groupBy": ["hour_ts", "region"],
-            "limit": 100_000,
         }
     )
-    rows = apply_query(kpi_feed(spark, folder), spec)
+    rows = unpaged(kpi_feed(spark, folder), spec)
     return rounded(pivot_series(rows, "hour_ts", "region", "traffic"), 9, *REGION_NAMES)
 
 
@@ -412,11 +412,10 @@ def widget_site_map(spark: SparkSession, folder: str) -> DataFrame:
         {
             "groupBy": ["lat", "lon", "nation"],
             "aggregations": [{"fn": "count", "as": "sites"}],
-            "limit": 100_000,
         },
         {"lat": "lat", "lon": "lon", "weight": "sites", "tooltip": ["nation"]},
     )
-    return shape(widget, apply_query(_sites(spark, folder), widget.query))
+    return shape(widget, unpaged(_sites(spark, folder), widget.query))
 
 
 @registered("D5 no rows give no value", "SELECT CAST(NULL AS DOUBLE) AS value")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kpiweave.operators.incremental import capped, high_mark, since
-from kpiweave.operators.query import apply_query, count_total, grouped
+from kpiweave.operators.query import apply_query, count_total, grouped, unpaged
 from kpiweave.specs import Aggregation, Filter, QuerySpec
 from kpiweave.workload import registered
 from kpiweave.workload.frames import KPI_SQL, as_bigint, kpi_feed, rounded, table, whole
@@ -15,18 +15,17 @@ FLAGSHIP = {
     "table": "hybrid_cs_cell",
     "aggregations": [{"fn": "avg", "col": "traffic", "as": "traffic"}, {"fn": "count", "as": "samples"}],
     "groupBy": ["hour_ts", "region"],
-    "sort": [{"col": "hour_ts", "dir": "asc"}, {"col": "region", "dir": "asc"}],
-    "limit": 100_000,
 }
 
 
 @registered(
     "A2 A7 A9 O1 O2 D9 line chart",
     f"""SELECT hour_ts, region, round(avg(traffic), 9) AS traffic, count(*) AS samples
-    FROM {KPI_SQL} GROUP BY hour_ts, region ORDER BY hour_ts, region LIMIT 100000""",
+    FROM {KPI_SQL} GROUP BY hour_ts, region ORDER BY hour_ts, region""",
 )
 def kpi_by_hour_and_region(spark: SparkSession, folder: str) -> DataFrame:
-    return rounded(apply_query(kpi_feed(spark, folder), QuerySpec.from_json(FLAGSHIP)), 9, "traffic")
+    every = unpaged(kpi_feed(spark, folder), QuerySpec.from_json(FLAGSHIP))
+    return rounded(every, 9, "traffic").orderBy("hour_ts", "region")
 
 
 # --- projection -----------------------------------------------------------------------
@@ -528,6 +527,20 @@ def extract_oldest_with_ties(spark: SparkSession, folder: str) -> DataFrame:
     return capped(table(spark, folder, "orders"), "o_orderdate", 1000)
 
 
+MARKED_SQL = "SELECT event_id, CASE WHEN event_id % 7 = 0 THEN NULL ELSE event_id END AS mark FROM events"
+
+
+@registered(
+    "O5 S19 rows without a mark come with the first extract",
+    f"""SELECT * FROM ({MARKED_SQL}) WHERE mark IS NULL OR mark <
+        (SELECT mark FROM ({MARKED_SQL}) WHERE mark IS NOT NULL ORDER BY mark LIMIT 1 OFFSET 2500)
+        OR (SELECT count(mark) FROM ({MARKED_SQL})) <= 2500""",
+)
+def extract_capped_null_marks(spark: SparkSession, folder: str) -> DataFrame:
+    mark = F.when(F.col("event_id") % 7 != 0, F.col("event_id")).alias("mark")
+    return capped(table(spark, folder, "events").select("event_id", mark), "mark", 2500)
+
+
 @registered("F17", "SELECT * FROM events WHERE ts > TIMESTAMP '2024-01-20 12:00:00'")
 def extract_after_mark(spark: SparkSession, folder: str) -> DataFrame:
     return since(table(spark, folder, "events"), "ts", "2024-01-20T12:00:00")
@@ -536,3 +549,36 @@ def extract_after_mark(spark: SparkSession, folder: str) -> DataFrame:
 @registered("F17 integer marks compare as numbers", "SELECT * FROM orders WHERE o_orderkey > 999")
 def extract_after_integer_mark(spark: SparkSession, folder: str) -> DataFrame:
     return since(table(spark, folder, "orders"), "o_orderkey", "999")
+
+
+# --- filters on decimal columns -------------------------------------------------------
+
+DECIMAL_SQL = "SELECT l_orderkey, l_linenumber, CAST(l_extendedprice AS DECIMAL(12,2)) AS price FROM lineitem"
+
+
+def _prices(spark: SparkSession, folder: str) -> DataFrame:
+    price = F.col("l_extendedprice").cast("decimal(12,2)").alias("price")
+    return table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", price)
+
+
+def _decimal_filter(name: str, op: str, value: object, condition: str) -> None:
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        return whole(_prices(spark, folder), filters=[{"col": "price", "op": op, "value": value}])
+
+    run.__name__ = f"filter_decimal_{name}"
+    registered("F5-F9 F11 numbers keep their own scale", f"SELECT * FROM ({DECIMAL_SQL}) WHERE price {condition}")(run)
+
+
+for _name, _op, _value, _condition in (
+    ("equal", "=", 20000.005, "= 20000.005"),
+    ("not_equal", "!=", "20000.005", "<> 20000.005"),
+    ("above", ">", 19999.995, "> 19999.995"),
+    ("above_text", ">", "19999.995", "> 19999.995"),
+    ("at_least", ">=", 20000.001, ">= 20000.001"),
+    ("below", "<", "20000.001", "< 20000.001"),
+    ("at_most", "<=", 20000.009, "<= 20000.009"),
+    ("in", "in", [20000.0, "30000.10", 1.005], "IN (20000.0, 30000.10, 1.005)"),
+    ("not_in", "not_in", [20000.0, 30000.125], "NOT IN (20000.0, 30000.125)"),
+    ("between", "between", [20000.001, "21000.999"], "BETWEEN 20000.001 AND 21000.999"),
+):
+    _decimal_filter(_name, _op, _value, _condition)

@@ -28,7 +28,6 @@ from kpiweave.plans.dashboard import (
     shape,
     shares,
 )
-from kpiweave.plans.demo import demo_jobs, overview_dashboard, snapshot_dashboard
 from kpiweave.plans.loads import load_frame, run_job
 from kpiweave.plans.runs import run_log
 from kpiweave.plans.store import utc_now
@@ -175,24 +174,3 @@ def test_dashboard_with_shared_filters(spark, store):
     assert "WHERE" in shown["a"].result.sql and "WHERE" not in shown["b"].result.sql
     spec = QuerySpec("t")
     assert cascaded(spec, [Filter("zz", "=", 1)], ["region"]) is spec
-
-
-def test_demo_feeds_and_dashboards(spark, store):
-    noon = datetime(2024, 5, 5, 12)
-    for job in demo_jobs():
-        assert JobSpec.from_json(job.to_json()) == job
-        assert run_job(store, job, Surroundings(as_of=noon)).row_count == 588
-    shown = run_dashboard(store, overview_dashboard())
-    assert 30 < shown["average_traffic"].data.first()[0] < 40
-    lines = shown["traffic"].data
-    assert lines.columns == ["timestamp", "East", "North", "South", "West"] and lines.count() == 49
-    assert [r.region for r in shown["drops_by_region"].data.collect()] == ["East", "North", "South", "West"]
-    cells = spark.createDataFrame(
-        [("3G", "N", f"g{i}", 10.0 * i, i, i % 3) for i in range(40)],
-        "TECHNOLOGY string, REGION string, GOVERNORATE string, TRAFFIC_3G double, TOTAL_CALLS_3G int, DROP_NUM_3G int",
-    )
-    load_frame(store, "cs_cells", cells, "full")
-    shown = run_dashboard(store, snapshot_dashboard("cs_cells"))
-    assert shown["total_traffic"].data.first()[0] == 7800.0
-    assert [r.GOVERNORATE for r in shown["governorates"].data.collect()] == [f"g{i}" for i in range(39, 14, -1)]
-    assert rows_of(shown["cells_by_technology"].data) == [("3G", 40)]

@@ -320,6 +320,63 @@ def test_cap_smaller_than_one_mark_takes_the_whole_mark(spark, store, tmp_path):
     assert [run_job(store, job, Surroundings(uploads={"u": path})).rows_written for _ in range(3)] == [9, 1, 0]
 
 
+def test_a_cap_keeps_rows_without_a_mark(spark, store, tmp_path):
+    path = str(tmp_path / "in")
+    spark.createDataFrame([(None if i % 4 == 0 else i, i) for i in range(40)], "n int, v int").coalesce(1).write.option("header", True).csv(path)
+    job = JobSpec(
+        "capped", JobSource("csv", upload_id="u"), "t", Schedule(every="1h"), "append", WatermarkSpec("n", "integer"),
+        guards=Guards(row_cap=5),
+    )
+    for _ in range(8):
+        run_job(store, job, Surroundings(uploads={"u": path}))
+    assert sorted(r.v for r in store.read("t").collect()) == list(range(40))
+
+
+def test_a_full_refresh_ignores_mark_and_cap(spark, store, tmp_path):
+    job = JobSpec(
+        "f", JobSource("csv", upload_id="u"), "t", Schedule(every="1h"), "full", WatermarkSpec("n", "integer"), guards=Guards(row_cap=1)
+    )
+    counts = []
+    for most in (2, 3, 3):
+        path = str(tmp_path / f"in{len(counts)}")
+        spark.createDataFrame([(i, i) for i in range(most)], "n int, v int").coalesce(1).write.option("header", True).csv(path)
+        counts.append(run_job(store, job, Surroundings(uploads={"u": path})).row_count)
+    assert counts == [2, 3, 3]
+
+
+@pytest.mark.parametrize(
+    ("kind", "old", "new", "kept"),
+    [("bigint", "10", "9", "10"), ("timestamp", "2024-01-01T10:00:00", "2024-01-01T05:00:00", "2024-01-01T10:00:00"),
+     ("string", "b", "a", "b"), ("double", None, "2.5", "2.5"), ("date", "2024-01-02", "2024-01-03", "2024-01-03")],
+)
+def test_marks_never_go_back(kind, old, new, kept):
+    from pyspark.sql import types as T
+
+    from kpiweave.operators.incremental import later_mark
+
+    assert later_mark(T.StructType.fromDDL(f"c {kind}")["c"].dataType, old, new) == kept
+
+
+def test_a_late_batch_leaves_the_mark(spark, store):
+    for hours in ((10, 11), (5,)):
+        frame = spark.createDataFrame([(h,) for h in hours], "n int")
+        load_frame(store, "late", frame, "append", watermark=WatermarkSpec("n", "integer"))
+    assert store.manifest("late").watermark_value == "11"
+
+
+def test_batches_of_exact_values_fit_the_table(spark, store):
+    load_frame(store, "w", spark.createDataFrame([(1.5, "a")], "traffic double, name string"), "append")
+    load_frame(store, "w", spark.createDataFrame([(2, "b")], "traffic bigint, name string"), "append")
+    load_frame(store, "w", spark.createDataFrame([(None, "c")], "traffic string, name string"), "append")
+    assert rows_of(store.read("w")) == [(1.5, "a"), (2.0, "b"), (None, "c")]
+    for value, kind in ((2**53 + 1, "bigint"), ("3.5", "string")):
+        with pytest.raises(SchemaDrift):
+            load_frame(store, "w", spark.createDataFrame([(value, "d")], f"traffic {kind}, name string"), "append")
+    load_frame(store, "d", spark.createDataFrame([("1.25",)], "v string").selectExpr("cast(v as decimal(10,2)) as v"), "append")
+    load_frame(store, "d", spark.createDataFrame([(7,)], "v bigint"), "append")
+    assert sorted(str(r.v) for r in store.read("d").collect()) == ["1.25", "7.00"]
+
+
 def test_failed_extract_is_recorded(spark, store):
     job = JobSpec("j", JobSource("csv", upload_id="missing"), "t", Schedule(every="1h"), "full")
     with pytest.raises(LookupError):
@@ -331,7 +388,7 @@ def test_failed_extract_is_recorded(spark, store):
 def test_synthetic_job_is_deterministic_and_incremental(spark, store):
     columns = ("timestamp", "cell_id", "region", "throughput_mbps", "latency_ms")
     job = JobSpec(
-        "ps", JobSource("oracle", table="hybrid_ps_cell", columns=columns), "ps", Schedule(every="1h"), "upsert",
+        "ps", JobSource("synthetic", columns=columns), "ps", Schedule(every="1h"), "upsert",
         WatermarkSpec("timestamp"), ("cell_id", "timestamp"),
     )
     noon = datetime(2024, 5, 5, 12, 34)

@@ -110,9 +110,11 @@ def test_marks_compare_by_type_and_lag_reads_again(spark):
     assert since(times, "ts", "2024-01-01T03:00:00", lag="2 hours").count() == 3
 
 
-def test_cap_without_a_mark_is_a_plain_limit(spark):
+def test_a_cap_needs_a_mark(spark):
     df = spark.range(10)
-    assert capped(df, None, 4).count() == 4 and capped(df, None, None).count() == 10
+    assert capped(df, None, None).count() == 10
+    with pytest.raises(SpecError, match="row cap"):
+        capped(df, None, 4)
     assert capped(df, "id", 4).count() == 4 and capped(df, "id", 10).count() == 10
 
 
@@ -208,8 +210,10 @@ def test_preview_and_validation(spark, tmp_path):
     with pytest.raises(GuardError):
         validate_source(spark, _job(JobSource("duckdb_query", transform_sql="DROP TABLE x")), around)
     assert "son.cells" in validate_source(spark, _job(SOURCE), around).rendered_sql
-    generated = _job(JobSource("oracle", table="t", columns=("cell_id", "drop_rate")))
+    generated = _job(JobSource("synthetic", columns=("cell_id", "drop_rate")))
     assert validate_source(spark, generated, around).columns == ("timestamp", "cell_id", "drop_rate")
+    with pytest.raises(LookupError):
+        validate_source(spark, _job(JobSource("oracle", table="t", columns=("cell_id",))), around)
     with pytest.raises(SpecError):
         read_source(spark, select, around)
     with pytest.raises(LookupError):

@@ -4,11 +4,10 @@ from datetime import datetime
 
 import pytest
 
-from kpiweave.plans.demo import demo_jobs
 from kpiweave.plans.runs import run_log
 from kpiweave.sources.landing import land
 from kpiweave.sources.registry import Surroundings
-from kpiweave.specs import LoadCommand
+from kpiweave.specs import JobSource, JobSpec, LoadCommand, Schedule
 from kpiweave.streaming.landing_stream import append_batches, landed_stream
 from kpiweave.streaming.load_queue import apply_commands, command_stream, enqueue, extract_and_enqueue, queue_dir
 
@@ -69,17 +68,54 @@ def test_bad_messages_and_failing_loads_are_passed_over(spark, store):
 
 
 def test_jobs_through_the_queue(spark, store):
-    for job in demo_jobs():
+    columns = ("timestamp", "cell_id", "region", "traffic_erl")
+    for name in ("a", "b"):
+        job = JobSpec(name, JobSource("synthetic", columns=columns), name, Schedule(every="1h"), "full")
         extract_and_enqueue(store, job, Surroundings(as_of=datetime(2024, 5, 5)))
     assert store.tables() == []  # nothing is readable before its load
     drain(store)
     assert [store.manifest(t).row_count for t in store.tables()] == [588, 588]
 
 
+def test_two_streams_into_one_table(spark, store):
+    for name in ("x", "y"):
+        frame = rows(spark, (name, 1), (name, 2))
+        land(frame, f"{store.root}/in-{name}/1")
+        for _ in range(2):  # the second finds nothing new
+            stream = landed_stream(store, f"{store.root}/in-{name}", frame.schema)
+            append_batches(store, "t", stream, checkpoint=f"{store.root}/check-{name}").awaitTermination(120)
+    assert rows_of(store.read("t")) == [("x", 1), ("x", 2), ("y", 1), ("y", 2)]
+
+
+def test_a_failing_load_is_tried_again_and_then_kept(spark, store, monkeypatch):
+    from kpiweave.streaming import load_queue
+
+    put(store, "a", rows(spark, ("A", 1)), "append")
+    calls, waits, real = [], [], load_queue.load
+
+    def shaky(inside, command, options, **more):
+        calls.append(command.run_id)
+        if len(calls) < 3:
+            raise OSError("no answer")
+        return real(inside, command, options, **more)
+
+    monkeypatch.setattr(load_queue, "load", shaky)
+    apply_commands(store, command_stream(store), checkpoint=f"{store.root}/c1", sleep=waits.append).awaitTermination(120)
+    assert len(calls) == 3 and waits == [1.0, 2.0] and store.read("t").count() == 1
+    put(store, "b", rows(spark, ("B", 1)), "append")
+    monkeypatch.setattr(load_queue, "load", lambda *a, **k: (_ for _ in ()).throw(OSError("gone")))
+    apply_commands(store, command_stream(store), checkpoint=f"{store.root}/c1", sleep=waits.append, tries=2).awaitTermination(120)
+    assert len(store.files.children(load_queue.dead_letters(store))) == 1
+
+
 def test_appended_micro_batches(spark, store):
     frame = rows(spark, ("A", 1), ("B", 1), ("C", 2))
     land(frame, f"{store.root}/incoming/1")
-    for attempt in ("one", "two"):
+    for _ in ("one", "again"):
         stream = landed_stream(store, f"{store.root}/incoming", frame.schema)
-        append_batches(store, "t", stream, checkpoint=f"{store.root}/check-{attempt}").awaitTermination(120)
+        append_batches(store, "t", stream, checkpoint=f"{store.root}/check").awaitTermination(120)
     assert rows_of(store.read("t")) == [("A", 1), ("B", 1), ("C", 2)]
+    # A new checkpoint is another stream: it reads everything, and nothing of it is dropped.
+    stream = landed_stream(store, f"{store.root}/incoming", frame.schema)
+    append_batches(store, "t", stream, checkpoint=f"{store.root}/other").awaitTermination(120)
+    assert store.read("t").count() == 6
