@@ -38,16 +38,19 @@ def effective_viz(widget: Widget) -> dict[str, Any]:
 def pivot_series(rows: DataFrame, x: str, series: str, y: str, names: Sequence[str] | None = None) -> DataFrame:
     """One row per ``x`` with a column per series; a repeated (x, series) keeps its last row.
 
-    ``names`` fixes the series columns; without it the distinct names of the (already
-    limited) widget rows are read first.
+    Rows and series stand in the order in which the widget's rows first name them. ``names``
+    fixes the series columns; without it the distinct names of the widget rows are read first.
     """
     label = F.coalesce(F.col(f"`{series}`").cast("string"), F.lit(NULL_SERIES))
     numbered = rows.select(
         F.col(f"`{x}`"), label.alias("__series"), F.col(f"`{y}`").alias("__y"), F.monotonically_increasing_id().alias("__at")
     )
-    keys = [F.col(f"`{x}`")]
-    pivoted = numbered.groupBy(*keys).pivot("__series", list(names) if names else None)
-    return pivoted.agg(F.max_by("__y", "__at")).orderBy(F.col(f"`{x}`").asc_nulls_last())
+    if not names:
+        met = numbered.groupBy("__series").agg(F.min("__at").alias("__first")).orderBy("__first")
+        names = [r["__series"] for r in met.collect()]  # one row a series
+    last = [F.max_by("__y", F.when(F.col("__series") == name, F.col("__at"))).alias(name) for name in names]
+    pivoted = numbered.groupBy(F.col(f"`{x}`")).agg(F.min("__at").alias("__first"), *last)
+    return pivoted.orderBy("__first").drop("__first")
 
 
 def shape(widget: Widget, rows: DataFrame, series_names: Sequence[str] | None = None) -> DataFrame:

@@ -25,6 +25,7 @@ from pyspark.sql import types as T
 
 from kpiweave.functions.aggregates import is_clock
 from kpiweave.functions.predicates import field_of, literal
+from kpiweave.functions.timing import interval_seconds, is_stale
 from kpiweave.operators.query import apply_query, count_total, query_text
 from kpiweave.plans.files import Files
 from kpiweave.specs import Filter, QuerySpec, SpecError, check_name
@@ -44,6 +45,13 @@ def utc_now() -> datetime:
     return datetime.now(UTC).replace(tzinfo=None)
 
 
+def _moment(value: str | datetime | None) -> datetime | None:
+    """A stored or given time without its zone, in UTC."""
+    if isinstance(value, str):
+        value = datetime.fromisoformat(value)
+    return value.astimezone(UTC).replace(tzinfo=None) if value is not None and value.tzinfo else value
+
+
 def iso(moment: datetime | None) -> str | None:
     return moment.isoformat(sep=" ") if moment is not None else None
 
@@ -158,6 +166,7 @@ class QueryResult:
     data_as_of: str | None
     total: int | None = None
     sql: str | None = None
+    stale: bool | None = None
 
 
 class TableStore:
@@ -233,11 +242,19 @@ class TableStore:
     def sample(self, table: str, n: int = 20) -> DataFrame:
         return self.read(table).limit(n)
 
-    def query(self, spec: QuerySpec, tie_break: tuple[str, ...] = (), with_total: bool = False) -> QueryResult:
+    def query(
+        self,
+        spec: QuerySpec,
+        tie_break: tuple[str, ...] = (),
+        with_total: bool = False,
+        every: str | None = None,
+        as_of: datetime | None = None,
+    ) -> QueryResult:
         """Run a structured query against the pinned or the latest version.
 
         ``with_total`` runs one count over the filtered rows, for the first page of an
-        unaggregated query.
+        unaggregated query. ``every``: the interval of the job that feeds the table (an hour if
+        unknown); with it the answer tells whether the data are older than they should be.
         """
         manifest = self.manifest(spec.table, spec.table_version_pin)
         rows = self.rows_of(manifest)
@@ -254,6 +271,7 @@ class TableStore:
             data_as_of=manifest.committed_at,
             total=total,
             sql=query_text(spec)[0] if spec.include_sql else None,
+            stale=is_stale(_moment(manifest.committed_at), interval_seconds(every), _moment(as_of) or utc_now()),
         )
 
     # --- segments ------------------------------------------------------------

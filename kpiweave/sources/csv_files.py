@@ -40,6 +40,7 @@ class Dialect:
     has_header: bool = True
     names: tuple[str, ...] = ()
     multi_line: bool = False
+    own_names: bool = False  # the header's names are the columns' names as they are
 
 
 @dataclass(frozen=True)
@@ -91,8 +92,11 @@ def sniff(spark: SparkSession, paths: Paths, delimiter: str | None = None) -> Di
     best = max(candidates, key=lambda d: _consistency(split[d]))
     rows = [row for row in split[best] if row]
     has_header, names = _header(rows)
-    multi_line = any(line.count('"') % 2 for line in lines)
-    return Dialect(best, has_header, names, multi_line)
+    # A field with a line break leaves a line with an open quote. Any such line counts, so all are read.
+    value = F.col("value")
+    open_quote = (F.length(value) - F.length(F.replace(value, F.lit('"'), F.lit("")))) % 2 == 1
+    multi_line = not spark.read.text(as_list(paths)).where(open_quote).isEmpty()
+    return Dialect(best, has_header, names, multi_line, has_header and list(names) == rows[0])
 
 
 def _consistency(rows: list[list[str]]) -> tuple[float, int]:
@@ -140,14 +144,23 @@ def _header(rows: list[list[str]]) -> tuple[bool, tuple[str, ...]]:
 
 
 def read_text_columns(
-    spark: SparkSession, paths: Paths, dialect: Dialect, keep_bad: bool = False, with_file: bool = False
+    spark: SparkSession,
+    paths: Paths,
+    dialect: Dialect,
+    keep_bad: bool = False,
+    with_file: bool = False,
+    strict: bool = False,
 ) -> DataFrame:
-    """Every column as text, empty fields as NULL; ``keep_bad`` adds the raw bad lines."""
+    """Every column as text, empty fields as NULL; ``keep_bad`` adds the raw bad lines.
+
+    ``strict``: a line with more or fewer fields is an error instead of being cut or filled up.
+    """
     fields = [T.StructField(n, T.StringType()) for n in dialect.names]
     reader = (
         spark.read.option("sep", dialect.delimiter)
         .option("header", dialect.has_header)
-        .option("enforceSchema", True)
+        # Files whose headers name other columns, or these in another order, are refused.
+        .option("enforceSchema", not dialect.own_names)
         .option("quote", '"')
         .option("escape", '"')
         .option("emptyValue", "")
@@ -158,6 +171,8 @@ def read_text_columns(
         fields.append(T.StructField(BAD_RECORD, T.StringType()))
         # A line's field count is only checked when no column is pruned away.
         reader = reader.option("columnNameOfCorruptRecord", BAD_RECORD).option("columnPruning", False)
+    elif strict:
+        reader = reader.option("mode", "FAILFAST").option("columnPruning", False)
     frame = reader.schema(T.StructType(fields)).csv(as_list(paths))
     columns = [F.nullif(F.col(f"`{n}`"), F.lit("")).alias(n) for n in dialect.names]
     if keep_bad:
@@ -288,14 +303,21 @@ def json_row(row: Mapping[str, Any]) -> dict[str, Any]:
     return {key: plain(value) for key, value in row.items()}
 
 
-def apply_types(texts: DataFrame, schema: InferredSchema, types: Mapping[str, str] | None = None) -> DataFrame:
+def apply_types(
+    texts: DataFrame, schema: InferredSchema, types: Mapping[str, str] | None = None, strict: bool = False
+) -> DataFrame:
     """Included columns of the text frame, cast to their inferred or corrected types."""
     overrides = dict(types or {})
     columns = []
     for c in schema.columns:
         if c.include:
             kind = overrides.pop(c.name, c.type)
-            columns.append(typed(F.col(f"`{c.name}`"), kind, c.date_order).alias(c.name))
+            text = F.col(f"`{c.name}`")
+            value = typed(text, kind, c.date_order)
+            if strict and kind != c.type:
+                told = F.concat(F.lit(f"{c.name} is not {kind}: "), text)
+                value = F.when(text.isNotNull() & value.isNull(), F.raise_error(told)).otherwise(value)
+            columns.append(value.alias(c.name))
     if overrides:
         raise SpecError(f"type given for unknown columns: {', '.join(overrides)}")
     extra = [F.col(c) for c in texts.columns if c in (BAD_RECORD, "_file")]
@@ -310,10 +332,14 @@ def read_csv(
     schema: InferredSchema | None = None,
     with_file: bool = False,
 ) -> DataFrame:
-    """Typed rows of one or many CSV files (list or glob) with one format."""
+    """Typed rows of one or many CSV files (list or glob) with one format.
+
+    Lines with another number of fields, files with other headers, and texts that do not fit a
+    corrected type are errors; ``checked_rows`` sets such rows aside instead.
+    """
     known = schema or infer_csv(spark, paths, sample_rows=0)
-    texts = read_text_columns(spark, paths, known.dialect, with_file=with_file)
-    frame = apply_types(texts, known, types)
+    texts = read_text_columns(spark, paths, known.dialect, with_file=with_file, strict=True)
+    frame = apply_types(texts, known, types, strict=True)
     if columns:
         wanted = [field_of(frame.schema, c).name for c in columns]
         frame = frame.select(*[F.col(f"`{c}`") for c in wanted], *(["_file"] if with_file else []))

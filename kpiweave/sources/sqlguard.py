@@ -31,25 +31,20 @@ def _seq(items) -> Iterator:
         yield items.apply(i)
 
 
-def _nodes(plan) -> Iterator:
-    """Every plan node, also those inside subqueries and WITH clauses."""
-    waiting = [plan]
+def _nodes(plan, visible: frozenset[str] = frozenset()) -> Iterator:
+    """Every plan node, also those inside subqueries and WITH clauses, with the CTE names it can see."""
+    waiting = [(plan, visible)]
     while waiting:
-        node = waiting.pop()
-        yield node
-        waiting += list(_seq(node.children()))
-        waiting += list(_seq(node.subqueries()))
+        node, names = waiting.pop()
+        yield node, names
+        inner = names
         if node.getClass().getSimpleName() == "UnresolvedWith":
+            # A CTE sees those before it; the body sees all of them.
             for pair in _seq(node.cteRelations()):
-                waiting.append(pair._2())
-
-
-def _cte_names(plan) -> set[str]:
-    names = set()
-    for node in _nodes(plan):
-        if node.getClass().getSimpleName() == "UnresolvedWith":
-            names |= {str(pair._1()).lower() for pair in _seq(node.cteRelations())}
-    return names
+                waiting.append((pair._2(), inner))
+                inner = inner | {str(pair._1()).lower()}
+        waiting += [(child, inner) for child in _seq(node.children())]
+        waiting += [(query, inner) for query in _seq(node.subqueries())]
 
 
 def _select_body(plan):
@@ -117,9 +112,8 @@ def check_select(
     plan = _parse(spark, text)
     loader = spark.sparkContext._jvm.org.apache.spark.util.Utils
     forbidden = [loader.classForName(name, True, False) for name in _FORBIDDEN_NODES]
-    ctes = _cte_names(plan)
     tables = []
-    for node in _nodes(plan):
+    for node, ctes in _nodes(plan):
         for kind in forbidden:
             if kind.isInstance(node):
                 raise GuardError(f"only SELECT statements are allowed, not {node.getClass().getSimpleName()}")

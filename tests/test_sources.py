@@ -276,3 +276,46 @@ def test_guard_schemas_and_bounds(spark):
     for sql in ("SELECT a FROM t", "SELECT a FROM t WHERE x = 1 UNION ALL SELECT b FROM u", "SELECT * FROM (SELECT * FROM t WHERE a = 1) q"):
         with pytest.raises(GuardError):
             check_select(spark, sql, bounded=True)
+
+
+# --- files that do not fit ----------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("text", ["a,b\n1,2\n3\n4,5,6\n", "a,b\n1,2\n4,5,6\n"])
+def test_ragged_lines_are_errors(spark, tmp_path, text):
+    with pytest.raises(Exception, match=r"MALFORMED|FAILFAST|malformed"):
+        read_csv(spark, written(tmp_path, text)).collect()
+
+
+def test_other_headers_are_errors(spark, tmp_path):
+    folder = tmp_path / "many"
+    folder.mkdir()
+    (folder / "1.csv").write_text("a,b\n1,2\n")
+    (folder / "2.csv").write_text("b,a\n3,4\n")
+    with pytest.raises(Exception, match="header"):
+        read_csv(spark, str(folder)).collect()
+
+
+def test_a_late_quoted_line_break(spark, tmp_path):
+    rows = [f"{i},x\n" for i in range(299)] + ['299,"two\nlines"\n', "300,y\n"]
+    frame = read_csv(spark, written(tmp_path, "n,t\n" + "".join(rows)))
+    assert frame.count() == 301 and frame.schema["n"].dataType.simpleString() in ("int", "bigint")
+
+
+def test_misfits_of_corrected_types_are_errors(spark, tmp_path):
+    with pytest.raises(Exception, match="b is not"):
+        read_csv(spark, written(tmp_path, "a,b\n1,2\n2,x\n"), types={"b": "bigint"}).collect()
+
+
+def test_a_cte_name_hides_a_table_only_where_it_is_seen(spark):
+    sql = "SELECT * FROM secret, (WITH secret AS (SELECT 1 a) SELECT * FROM secret) q"
+    assert check_select(spark, sql).tables == ("secret",)
+    with pytest.raises(GuardError):
+        check_select(spark, sql, allowed_schemas=["son"])
+    assert check_select(spark, "WITH a AS (SELECT 1 x), b AS (SELECT * FROM a) SELECT * FROM b").tables == ()
+
+
+def test_jobs_cannot_replace_the_connection():
+    source = JobSource("connection", connection_id=1, table="t", columns=("a",), options={"url": "x", "sessionInitStatement": "y", "numPartitions": 4, "lag": "1 hour"})
+    merged = jdbc.table_options(URL, source)
+    assert merged["url"] == URL["url"] and merged["numPartitions"] == "4" and not {"sessionInitStatement", "lag"} & set(merged)
