@@ -126,7 +126,7 @@ def test_pivot_keeps_the_last_duplicate_and_names_null(spark):
     rows = spark.createDataFrame([(1, "a", 1.0), (1, "a", 2.0), (1, None, 3.0), (2, "b", 4.0)], "x int, s string, y double").coalesce(1)
     frame = pivot_series(rows, "x", "s", "y")
     assert frame.columns == ["x", "a", "null", "b"]  # as the rows first name them
-    assert [tuple(r) for r in frame.collect()] == [(1, 2.0, None, 3.0), (2, None, 4.0, None)]
+    assert [tuple(r) for r in frame.collect()] == [(1, 2.0, 3.0, None), (2, None, None, 4.0)]
 
 
 def test_shapes(spark):
