@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 from kpiweave.llm.common import slices, whole_text, written
 
 DEPTH, END_BYTE = 4, 255
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 6 << 20
 #: Bytes of text for each item of a block's list, about, and items that a part has, about.
 BYTES_PER_ITEM, PART_ITEMS = 30, 1_500_000
 WORDS, GRAMS = 0, 1
