@@ -18,7 +18,7 @@ from kpiweave.functions.predicates import field_of
 from kpiweave.functions.sizing import estimated_bytes
 from kpiweave.operators.incremental import capped, later_mark
 from kpiweave.operators.merge import latest_per_key, upserted
-from kpiweave.operators.schemas import SchemaDrift, aligned, compare
+from kpiweave.operators.schemas import SchemaDrift, aligned
 from kpiweave.plans import runs
 from kpiweave.plans.store import (
     CommitConflict,
@@ -484,9 +484,3 @@ def load_csv(store: TableStore, path: str, table: str, columns: tuple[str, ...]
     from kpiweave.sources.csv_files import read_csv
 
     return load_frame(store, table, read_csv(store.spark, path, columns), "full", job_name=f"load_{table}")
-
-
-def drift_against(store: TableStore, table: str, frame: DataFrame):
-    """How a frame differs from the table it would be loaded into."""
-    return compare(store.manifest(table).struct, frame.schema)
-

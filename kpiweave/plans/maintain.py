@@ -19,7 +19,6 @@ from kpiweave.plans.store import (
     Manifest,
     Part,
     TableStore,
-    choose_layout,
     day_value,
     iso,
     new_run_id,
@@ -125,23 +124,39 @@ def compact(store: TableStore, table: str, layout: Layout | None = None, sort_by
     return _commit_parts(store, head, kept + written, "compact", layout=target)
 
 
+#: Loads after which a version stands for the whole table.
+WHOLE_MODES = ("full", "restore", "rebuild")
+
+
 # --- rebuild from landing -------------------------------------------------------------
 
 
 def rebuild(store: TableStore, table: str, into: str | None = None) -> Manifest:
     """Load the landed runs again in their order and publish the result.
 
-    From the newest full refresh on: its rows, then every later append and upsert.
-    Neighbouring loads of one kind are taken together, so the plan grows with the
-    changes of mode and not with the number of runs.
+    From the newest version that stands for the whole table on (a full refresh, a restored
+    snapshot, an earlier rebuild): its rows, then every later append and upsert. Where a later
+    version or a landed run is missing, nothing is published. Neighbouring loads of one kind are
+    taken together.
     """
-    loads = [m for m in store.history(table) if m.landing_path]
-    if not loads:
-        raise LookupError(f"{table} has no landed runs")
-    start = max((i for i, m in enumerate(loads) if m.load_mode == "full"), default=0)
-    chosen = loads[start:]
-    newest = chosen[-1]
+    history = store.history(table)
+    base = max((i for i, m in enumerate(history) if m.load_mode in WHOLE_MODES), default=0)
+    whole, later = history[base : base + 1], history[base:]
+    versions = [m.version for m in later]
+    if not history or (whole[0].load_mode not in WHOLE_MODES and whole[0].version != 1):
+        raise LookupError(f"the first versions of {table} are gone; it cannot be rebuilt")
+    if versions != list(range(versions[0], versions[0] + len(versions))):
+        raise LookupError(f"versions of {table} are missing after {versions[0]}")
     state: DataFrame | None = None
+    if not whole[0].landing_path and whole[0].load_mode in WHOLE_MODES:
+        state = store.rows_of(whole[0]).select(*[F.col(f"`{n}`") for n in whole[0].struct.names])
+    chosen = [m for m in later if m.landing_path]
+    gone = [m.landing_path for m in chosen if not store.files.exists(m.landing_path)]
+    if gone:
+        raise LookupError(f"landed runs of {table} are gone: {', '.join(gone[:5])}")
+    if state is None and not chosen:
+        raise LookupError(f"{table} has no landed runs")
+    newest = later[-1]
     for upsert, keys, group in _stretches(chosen):
         rows = _landed(store, group, newest.struct)
         if upsert:
@@ -255,9 +270,15 @@ def expire_landing(store: TableStore, table: str, as_of: datetime, days: int = 3
 
 
 def expire_versions(store: TableStore, table: str, keep: int) -> list[int]:
-    """Forget all but the newest ``keep`` versions and delete parts only they used."""
+    """Forget versions before the newest ``keep`` and delete parts only they used.
+
+    Versions that a rebuild would start from stay: those from the newest one on that stands for
+    the whole table.
+    """
     known = store.versions(table)
-    old, kept = known[:-keep], known[-keep:]
+    base = max((m.version for m in store.history(table) if m.load_mode in WHOLE_MODES), default=known[0])
+    old = [v for v in known[:-keep] if v < base]
+    kept = [v for v in known if v not in old]
     needed = {p.path for v in kept for p in store.manifest(table, v).parts}
     orphans = {p.path for v in old for p in store.manifest(table, v).parts} - needed
     for version in old:
@@ -265,11 +286,3 @@ def expire_versions(store: TableStore, table: str, keep: int) -> list[int]:
     for path in orphans:
         store.files.remove(f"{store.root}/{path}")
     return old
-
-
-def declared_layout(store: TableStore, table: str, bucket_bytes: int) -> Layout:
-    """The layout the table would get today, for ``compact(..., layout=...)``."""
-    head = store.manifest(table)
-    size = sum(store.files.size(f"{store.root}/{p.path}") for p in head.parts)
-    mode = "upsert" if head.key_columns else "append"
-    return choose_layout(head.struct, mode, head.key_columns, head.watermark_column, size, bucket_bytes)

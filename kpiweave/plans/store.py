@@ -373,8 +373,3 @@ def choose_layout(
 
 def day_value(text: str | None) -> date | None:
     return None if text is None else date.fromisoformat(text)
-
-
-def require(condition: bool, message: str) -> None:
-    if not condition:
-        raise SpecError(message)

@@ -1,7 +1,7 @@
 """Relational sources through Spark's JDBC reader.
 
 Filters, watermark and columns are DataFrame operations, which Spark pushes into the
-database. Scalars needed to cut a capped extract come from the database itself.
+database. Counts and sketches that cut a capped extract are not pushed: each reads the delta.
 """
 
 from __future__ import annotations

@@ -295,6 +295,19 @@ def snapshot_restored(spark: SparkSession, folder: str) -> DataFrame:
     return other.read("kpi_orders")
 
 
+@registered("L15 L16 rebuild after a restore", "SELECT o_orderkey, o_totalprice FROM orders")
+def rebuild_after_restore(spark: SparkSession, folder: str) -> DataFrame:
+    store = new_store(spark, "restored")
+    orders = table(spark, folder, "orders").select("o_orderkey", "o_totalprice")
+    odd = F.col("o_orderkey") % 2 == 1
+    load_frame(store, "orders", orders.where(odd), "append")
+    export_snapshot(store, f"{store.root}/snapshot")
+    import_snapshot(store, f"{store.root}/snapshot")
+    load_frame(store, "orders", orders.where(~odd), "append")
+    rebuild(store, "orders")
+    return store.read("orders")
+
+
 @registered("L17 landed runs that no version is made of can go", "SELECT * FROM events")
 def landing_expired(spark: SparkSession, folder: str) -> DataFrame:
     store = new_store(spark, "expiry")

@@ -455,6 +455,25 @@ def test_rebuild_follows_the_load_order(spark, store):
     assert rows_of(store.read("t")) == want
 
 
+def test_rebuild_after_restore_and_expiry(spark, store, tmp_path):
+    for n in (3, 4):
+        load_frame(store, "t", spark.range(n), "append")
+    export_snapshot(store, str(tmp_path / "snap"))
+    import_snapshot(store, str(tmp_path / "snap"))
+    load_frame(store, "t", spark.range(5), "append")
+    assert rebuild(store, "t").row_count == 12
+    for n in (1, 2, 3):
+        load_frame(store, "plain", spark.range(n), "append")
+    assert expire_versions(store, "plain", keep=1) == []  # they are the only record for a rebuild
+    assert rebuild(store, "plain").row_count == 6
+    assert expire_versions(store, "plain", keep=1) == [1, 2, 3]
+    assert rebuild(store, "plain").row_count == 6
+    load_frame(store, "gone", spark.range(2), "append", watermark=None)
+    store.files.remove(store.manifest("gone").landing_path)
+    with pytest.raises(LookupError, match="gone"):
+        rebuild(store, "gone")
+
+
 def test_snapshot_round_trip(spark, store, tmp_path):
     load_frame(store, "a", hourly(spark, 2), "append", watermark=WatermarkSpec("ts"))
     load_frame(store, "b", spark.range(3), "full")
