@@ -16,6 +16,7 @@ on the sets themselves (64-bit hashes of shingles).
 from __future__ import annotations
 
 import math
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,6 +35,8 @@ TABLE_ROWS = 500_000
 PART_ENTRIES, DEGREE = 2_000_000, 400
 #: Share of shingles that unrelated texts are taken to have in common; an estimate for costs only.
 COMMON = 0.2
+#: Bytes of a key in the index, and texts whose entries are packed together (their places have two bytes).
+KEY_BYTES, PACKED_TEXTS = 6, 60_000
 SKETCH_BITS, BITMAP_BITS = 512, 25
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
@@ -140,6 +143,39 @@ def sketch(tokens: np.ndarray) -> bytes:
     return np.packbits(bits.astype(np.uint8)).tobytes()
 
 
+def packed_parts(keys: list[np.ndarray], owner: list[int], parts: int) -> tuple[np.ndarray, list[bytes]]:
+    """The parts that the keys belong to, and for each its entries: the nodes once, then key and place of the node.
+
+    Six bytes of a key are kept: within a part they tell keys apart all but always, and a rare
+    false meeting is only compared in vain.
+    """
+    all_keys = np.concatenate(keys)
+    place = np.repeat(np.arange(len(owner), dtype=np.uint16), [len(k) for k in keys])
+    part = (mix(all_keys, 7) % np.uint64(parts)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    found, first = np.unique(part[order], return_index=True)
+    nodes, cuts = np.array(owner, np.uint64), []
+    for at in np.split(order, first[1:]):
+        mine, index = np.unique(place[at], return_inverse=True)
+        short = np.ascontiguousarray(all_keys[at]).view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES]
+        cuts.append(struct.pack("<I", len(mine)) + nodes[mine].tobytes() + index.astype(np.uint16).tobytes() + short.tobytes())
+    return found, cuts
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    """Rows (key, node) of packed entries."""
+    (count,) = struct.unpack_from("<I", data)
+    nodes = np.frombuffer(data, np.uint64, count, 4)
+    at = 4 + 8 * count
+    n = (len(data) - at) // (2 + KEY_BYTES)
+    rows = np.zeros((n, 2), np.uint64)
+    rows[:, 1] = nodes[np.frombuffer(data, np.uint16, n, at)]
+    keys = np.zeros((n, 8), np.uint8)
+    keys[:, :KEY_BYTES] = np.frombuffer(data, np.uint8, n * KEY_BYTES, at + 2 * n).reshape(n, KEY_BYTES)
+    rows[:, 0] = keys.view(np.uint64)[:, 0]
+    return rows
+
+
 def linked(a: np.ndarray, b: np.ndarray, least: int) -> bool:
     both = len(np.intersect1d(a, b, assume_unique=True))
     return 100 * both >= least * (len(a) + len(b) - both)
@@ -180,14 +216,8 @@ def _scan(docs: DataFrame, bands: Bands, length: int, parts: int) -> DataFrame:
                     [batch.column("id").slice(at, len(size)), pa.array(size, pa.int64()), *signed, pa.array(bits, pa.binary()), *none], names
                 )
                 at += len(size)
-                if keys:
-                    all_keys = np.concatenate(keys)
-                    nodes = np.repeat(np.array(owner, np.uint64), [len(k) for k in keys])
-                    part = (mix(all_keys, 7) % np.uint64(parts)).astype(np.int64)
-                    order = np.argsort(part, kind="stable")
-                    packed = np.stack([all_keys[order], nodes[order]], axis=1)
-                    found, first = np.unique(part[order], return_index=True)
-                    cuts = [x.tobytes() for x in np.split(packed, first[1:])]
+                for first_text in range(0, len(keys), PACKED_TEXTS):
+                    found, cuts = packed_parts(keys[first_text : first_text + PACKED_TEXTS], owner[first_text : first_text + PACKED_TEXTS], parts)
                     n = len(cuts)
                     yield pa.RecordBatch.from_arrays(
                         [pa.nulls(n, kind), *[pa.nulls(n, pa.int64())] * 3, pa.nulls(n, pa.binary()), pa.array(found, pa.int32()), pa.array(cuts, pa.binary())],
@@ -201,10 +231,10 @@ def _buckets(packed: DataFrame) -> DataFrame:
     """(key, node, size) of the buckets that hold different sets."""
 
     def group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [x for b in batches for x in b.column("entries").to_pylist()]
+        parts = [unpacked(x) for b in batches for x in b.column("entries").to_pylist()]
         if not parts:
             return
-        rows = np.frombuffer(b"".join(parts), np.uint64).reshape(-1, 2)
+        rows = np.concatenate(parts)
         parts.clear()
         rows = rows[np.argsort(rows[:, 0], kind="stable")]
         twin = rows[1:, 0] == rows[:-1, 0]  # most keys stand alone: drop them before the finer sort
@@ -380,7 +410,8 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", len
     stand_in = F.lit(1 << 62) + F.expr(f"shiftrightunsigned(xxhash64(coalesce(`{text}`, '')), 2)")
     keyed = docs.withColumn("__key", F.coalesce(F.col(doc_id).cast("long"), stand_in))
     groups = written(find_groups(keyed, "__key", text, length, least), "groups")
-    kept = groups.where(F.col("__key") == F.col("component_id"))
-    rows = keyed.join(kept.select("__key").distinct(), "__key", "left_semi")
-    repeated = kept.groupBy("__key").count().where("count > 1")
+    # The rows that go are few and written, so Spark knows their size and shuffles the texts only if it must.
+    losers = written(groups.where(F.col("__key") != F.col("component_id")).select("__key").distinct(), "losers")
+    rows = keyed.join(losers, "__key", "left_anti")
+    repeated = groups.groupBy("__key").count().where("count > 1")
     return (rows if repeated.isEmpty() else rows.dropDuplicates(["__key"])).drop("__key")
