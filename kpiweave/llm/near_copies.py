@@ -37,7 +37,7 @@ PART_ENTRIES, DEGREE = 2_000_000, 400
 COMMON = 0.2
 #: Bytes of a key in the index, and texts whose entries are packed together (their places have two bytes).
 KEY_BYTES, PACKED_TEXTS = 6, 60_000
-SKETCH_BITS, BITMAP_BITS = 512, 25
+SKETCH_BITS, BITMAP_BITS = 1024, 25
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
 
@@ -181,50 +181,56 @@ def linked(a: np.ndarray, b: np.ndarray, least: int) -> bool:
     return 100 * both >= least * (len(a) + len(b) - both)
 
 
-def _scan(docs: DataFrame, bands: Bands, length: int, parts: int) -> DataFrame:
-    """Rows of texts (id, size, node, check, sketch) and packed rows (part, entries) of index keys and nodes."""
-    schema = T.StructType(
-        [T.StructField("id", docs.schema["id"].dataType)]
-        + [T.StructField(n, k) for n, k in (("size", T.LongType()), ("node", T.LongType()), ("check", T.LongType()),
-                                            ("sketch", T.BinaryType()), ("part", T.IntegerType()), ("entries", T.BinaryType()))]
-    )
+def _texts(docs: DataFrame, length: int) -> DataFrame:
+    """(id, size, node, check, sketch) of each text: its set's size, two hashes and bit sketch."""
+    fields = (("size", T.LongType()), ("node", T.LongType()), ("check", T.LongType()), ("sketch", T.BinaryType()))
+    schema = T.StructType([T.StructField("id", docs.schema["id"].dataType), *(T.StructField(n, k) for n, k in fields)])
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Words()
+        for batch in batches:
+            at = 0
+            for run in slices(batch.column("text"), RUN_BYTES):
+                sets = [shingles(text or b"", words, length) for text in run.to_pylist()]
+                sums = [[int(mix(x, salt).sum(dtype=np.uint64)) for x in sets] for salt in (5, 6)]
+                columns = [
+                    batch.column("id").slice(at, len(sets)),
+                    pa.array([len(x) for x in sets], pa.int64()),
+                    *[pa.array(np.array(x, np.uint64).view(np.int64)) for x in sums],
+                    pa.array([sketch(x) for x in sets], pa.binary()),
+                ]
+                at += len(sets)
+                yield pa.RecordBatch.from_arrays(columns, schema.names)
+
+    return docs.mapInArrow(scan, schema)
+
+
+def _index(docs: DataFrame, bands: Bands, length: int, parts: int) -> DataFrame:
+    """Packed rows (part, entries) of the index keys and nodes of all texts; a task packs equal sets once.
+
+    They go straight into the shuffle, as they are the bulk of what is kept on disk.
+    """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, seen = Words(), set()
         for batch in batches:
-            kind, at = batch.column("id").type, 0
-            names = ["id", "size", "node", "check", "sketch", "part", "entries"]
             for run in slices(batch.column("text"), RUN_BYTES):
-                size, node, check, bits, keys, owner = [], [], [], [], [], []
+                keys, owner = [], []
                 for text in run.to_pylist():
                     tokens = shingles(text or b"", words, length)
                     values = mix(tokens, 5)
-                    one, two = int(values.sum(dtype=np.uint64)), int(mix(tokens, 6).sum(dtype=np.uint64))
-                    size.append(len(tokens))
-                    node.append(one)
-                    check.append(two)
-                    bits.append(sketch(tokens))
-                    if len(tokens) and one not in seen:
+                    node = int(values.sum(dtype=np.uint64))
+                    if len(tokens) and node not in seen:
                         if len(seen) > TABLE_ROWS:
                             seen.clear()
-                        seen.add(one)
+                        seen.add(node)
                         keys.append(bands.keys(tokens, values))
-                        owner.append(one)
-                none = [pa.nulls(len(size), pa.int32()), pa.nulls(len(size), pa.binary())]
-                signed = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (node, check)]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("id").slice(at, len(size)), pa.array(size, pa.int64()), *signed, pa.array(bits, pa.binary()), *none], names
-                )
-                at += len(size)
-                for first_text in range(0, len(keys), PACKED_TEXTS):
-                    found, cuts = packed_parts(keys[first_text : first_text + PACKED_TEXTS], owner[first_text : first_text + PACKED_TEXTS], parts)
-                    n = len(cuts)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.nulls(n, kind), *[pa.nulls(n, pa.int64())] * 3, pa.nulls(n, pa.binary()), pa.array(found, pa.int32()), pa.array(cuts, pa.binary())],
-                        names,
-                    )
+                        owner.append(node)
+                for at in range(0, len(keys), PACKED_TEXTS):
+                    found, cuts = packed_parts(keys[at : at + PACKED_TEXTS], owner[at : at + PACKED_TEXTS], parts)
+                    yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), pa.array(cuts, pa.binary())], ["part", "entries"])
 
-    return docs.mapInArrow(scan, schema)
+    return docs.select("text").mapInArrow(scan, "part int, entries binary")
 
 
 def _buckets(packed: DataFrame) -> DataFrame:
@@ -255,6 +261,21 @@ def _buckets(packed: DataFrame) -> DataFrame:
     return packed.mapInArrow(group, "key bigint, node bigint, size bigint")
 
 
+def _possible(pairs: DataFrame, nodes: DataFrame, least: int) -> DataFrame:
+    """The pairs (a, b) that sizes and sketches do not rule out."""
+
+    @F.arrow_udf("boolean")
+    def may_link(size_a: pa.Array, size_b: pa.Array, one: pa.Array, other: pa.Array) -> pa.Array:
+        bits = [np.frombuffer(b"".join(x.to_pylist()), np.uint64).reshape(len(x), SKETCH_BITS // 64) for x in (one, other)]
+        total = size_a.to_numpy() + size_b.to_numpy()
+        most = total - 2 * -(-least * total // (100 + least))
+        return pa.array(np.bitwise_count(bits[0] ^ bits[1]).sum(axis=1) <= most)
+
+    side = lambda n: nodes.select(F.col("node").alias(n), F.col("size").alias(f"size_{n}"), F.col("sketch").alias(f"sketch_{n}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    return both.where(may_link("size_a", "size_b", "sketch_a", "sketch_b")).select("a", "b")
+
+
 def _verified(pairs: DataFrame, firsts: DataFrame, docs: DataFrame, length: int, least: int) -> DataFrame:
     """Those of the pairs (a, b) of nodes whose sets are linked; ``firsts`` (node, id): a text of each node.
 
@@ -336,7 +357,7 @@ def _across(buckets: DataFrame, labels: DataFrame, nodes: DataFrame, least: int)
 
     def pairs(group: pa.Table) -> pa.Table:
         node, label, size = (group.column(n).to_numpy() for n in ("node", "label", "size"))
-        bits = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint64).reshape(len(node), -1)
+        bits = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint64).reshape(len(node), SKETCH_BITS // 64)
         out = []
         for i in range(len(node) - 1):
             far = np.bitwise_count(bits[i + 1 :] ^ bits[i]).sum(axis=1)
@@ -370,10 +391,8 @@ def find_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", len
     estimate = Bands(least, counts)
     entries = sum(n * sum(estimate.plan(b)) for b, n in counts.items())
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-2 * entries // PART_ENTRIES))
-    scanned = written(_scan(base, Bands(least, counts), length, parts), "scan")
-
-    texts = scanned.where("part is null").select("id", "size", "node", "check", "sketch")
-    packed = scanned.where("part is not null").select("part", "entries").repartition(parts, "part")
+    texts = written(_texts(base, length), "texts")
+    packed = _index(base, Bands(least, counts), length, parts).repartition(parts, "part")
     buckets = written(_buckets(packed), "buckets")
     popular = buckets.groupBy("node").agg(F.sum("size").alias("weight"))
     classes = texts.where("size > 0").groupBy("node").agg(F.min("id").alias("id"), F.min("size").alias("size"), F.min("sketch").alias("sketch"))
@@ -381,7 +400,8 @@ def find_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", len
     weighed = buckets.select("key", "node").join(held.select("node", "weight"), "node")
     centre = weighed.groupBy("key").agg(F.max(F.struct("weight", "node")).alias("c")).select("key", F.col("c.node").alias("centre"))
     stars = buckets.select("key", "node").join(centre, "key").where("node <> centre")
-    stars = written(stars.select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct(), "stars")
+    stars = stars.select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct()
+    stars = written(_possible(stars, held.select("node", "size", "sketch"), least), "stars")
     firsts = held.select("node", "id")
     links = _verified(stars, firsts, base, length, least)
     labels = components(links)
