@@ -39,7 +39,7 @@ CHECKED = 0x80  # descriptor: entries have checksums
 #: Plain bytes from which a frame is closed, text bytes of a file, and the id that ends a document.
 FRAME_BYTES, FILE_BYTES, END_ID = 128 << 10, 24 << 20, 0
 LEVEL = 3
-RUN_BYTES, TABLE_ROWS = 2 << 20, 250_000
+RUN_BYTES, TABLE_ROWS = 2 << 20, 500_000
 INDEX = np.dtype([("id", "<i8"), ("known", "u1"), ("frame", "<u4"), ("at", "<u4"), ("count", "<u8")])
 #: How a vocabulary of bytes spells a space, and the parts that are encoded in one text.
 SPACE, TOGETHER = "Ġ", 1000
