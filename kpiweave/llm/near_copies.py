@@ -37,7 +37,7 @@ PART_ENTRIES, DEGREE = 2_000_000, 400
 COMMON = 0.2
 #: Bytes of a key in the index, and texts whose entries are packed together (their places have two bytes).
 KEY_BYTES, PACKED_TEXTS = 6, 60_000
-SKETCH_BITS, BITMAP_BITS = 1024, 25
+SKETCH_BITS, BITMAP_BITS = 4096, 25
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
 
