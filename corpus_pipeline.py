@@ -9,15 +9,11 @@ from pyspark.sql import functions as F
 from kpiweave.llm import decontaminate, languages, near_copies, pieces, secrets
 from kpiweave.llm.common import table, written
 
-#: Texts whose language is less sure than this go; a text in a known language is far above it.
-LEAST_SURE = 0.3
-
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without a letter (null and empty ones too) and in no learned language go."""
+    """Texts without a letter (null and empty ones too) and texts that speak against every learned language go."""
     found = languages.identify(docs, docs, result="__language")
-    sure = (F.col("__language.lang_pred") != languages.UNDETERMINED) & (F.col("__language.score") >= LEAST_SURE)
-    return found.where(sure).select(*docs.columns)
+    return found.where("__language.known").select(*docs.columns)
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

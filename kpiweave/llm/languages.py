@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from kpiweave.llm.common import slices, whole_text
 
 UNDETERMINED = "und"
-RESULT = "struct<lang_pred:string,score:double>"
+RESULT = "struct<lang_pred:string,score:double,known:boolean>"
 #: Labelled texts that each language learns from, and pieces of PIECE characters taken evenly over each.
 SAMPLE_TEXTS, PIECES, PIECE = 96, 6, 64
 #: Symbols of labelled text in a language's automaton.
@@ -29,6 +29,8 @@ BLOCK = 2048
 RUN_BYTES = 4 << 20
 #: How strongly the confidence follows the surplus of phrases of the other languages.
 SHARPNESS = 10.0
+#: Standard deviations by which phrases must pass what a text in the language has, before they speak against it.
+DEVIATIONS = 3.0
 
 _DROPPED = bytes(b for b in range(128) if not chr(b).isalpha() and not chr(b).isspace())
 _SPACES = bytes.maketrans(b"\t\n\r\x0b\x0c\x1c\x1d\x1e\x1f", b" " * 9)
@@ -80,6 +82,7 @@ class Parser:
     def __init__(self, samples: tuple[tuple[str, bytes], ...]) -> None:
         self.names = [name for name, _ in samples]
         known = sorted(set(b"".join(text for _, text in samples)))
+        self.alphabet = bytes(known)
         self.kind_of = np.full(256, len(known), np.uint8)
         self.kind_of[known] = np.arange(len(known))
         width, tables, self.roots, at = len(known) + 1, [], [], 0
@@ -98,6 +101,11 @@ class Parser:
             self.roots.append(at)
             at += grid.size
         self.step = np.concatenate(tables).astype(np.int32 if at < 1 << 29 else np.int64)
+        # Phrases for each symbol where a language's own symbols stand in random order; 0 where there are none.
+        dice = np.random.default_rng(0)
+        mixed = [bytes(dice.permutation(np.frombuffer(text, np.uint8))) for _, text in samples]
+        found = np.diagonal(self.phrases(mixed))
+        self.random_rate = found / np.maximum(1, [len(text) for text in mixed])
 
     def phrases(self, texts: list[bytes]) -> np.ndarray:
         """Phrases of each text (row) in each language (column)."""
@@ -125,6 +133,22 @@ class Parser:
         return out
 
 
+    def known(self, texts: list[bytes], found: np.ndarray) -> np.ndarray:
+        """Which texts a learned language may have; ``found`` are their phrases.
+
+        A language is ruled out by itself, whatever the others are: where the phrases that a mismatch
+        ended are no fewer than in its symbols in random order, and more than chance gives a text with
+        half of that (one in the language has about a third). So short texts, and texts that several
+        languages parse well, stay. Texts of which half or more are symbols that no language has are in none.
+        """
+        sizes = np.array([len(t) for t in texts], np.int64)
+        lacking = np.array([len(t.translate(None, self.alphabet)) for t in texts], np.int64)
+        misses = found - -(-sizes[:, None] // BLOCK)
+        chance = sizes[:, None] * self.random_rate
+        ruled_out = misses >= np.maximum(chance, chance / 2 + DEVIATIONS * np.sqrt(chance / 2))
+        return ~ruled_out.all(axis=1) & (2 * lacking < sizes)
+
+
 @lru_cache(maxsize=2)
 def parser_of(samples: tuple[tuple[str, bytes], ...]) -> Parser:
     """The parser, built once for each worker process."""
@@ -151,36 +175,39 @@ def samples_of(docs: DataFrame, text: str, lang: str, doc_id: str) -> tuple[tupl
 
 
 def predictor(samples: tuple[tuple[str, bytes], ...]):
-    """A column function: text to the language and a confidence from 0 to 1."""
+    """A column function: text to the language, a confidence from 0 to 1, and whether any language is not ruled out."""
 
     @F.arrow_udf(RESULT)
     def predict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         parser = parser_of(samples) if samples else None
         for batch in batches:
-            names, scores = [], []
+            names, scores, known = [], [], []
             for run in slices(batch, RUN_BYTES):
                 raw = [(t or b"").decode() for t in run.to_pylist()]
                 letters = [any(map(str.isalpha, t)) for t in raw]
                 if parser is None:
-                    names, scores = names + [UNDETERMINED] * len(raw), scores + [0.0] * len(raw)
+                    names, scores, known = names + [UNDETERMINED] * len(raw), scores + [0.0] * len(raw), known + [False] * len(raw)
                     continue
-                found = parser.phrases([symbols(t) for t in raw])
+                texts = [symbols(t) for t in raw]
+                found = parser.phrases(texts)
                 best = found.argmin(axis=1)
                 least = np.maximum(1, found.min(axis=1, keepdims=True))
                 share = 1 / np.exp(-SHARPNESS * (found - found.min(axis=1, keepdims=True)) / least).sum(axis=1)
                 names += [parser.names[b] if ok else UNDETERMINED for b, ok in zip(best.tolist(), letters, strict=True)]
                 scores += [s if ok else 0.0 for s, ok in zip(share.tolist(), letters, strict=True)]
-            yield pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["lang_pred", "score"])
+                known += (parser.known(texts, found) & np.array(letters, bool)).tolist()
+            columns = [pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(known, pa.bool_())]
+            yield pa.StructArray.from_arrays(columns, ["lang_pred", "score", "known"])
 
     return predict
 
 
 def identify(docs: DataFrame, learn_from: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id",
              result: str = "language") -> DataFrame:
-    """``docs`` with a column ``result`` of ``lang_pred`` and ``score``, learned from ``learn_from``.
+    """``docs`` with a column ``result`` of ``lang_pred``, ``score`` and ``known``, learned from ``learn_from``.
 
-    Null texts and texts without a letter are ``und`` with score 0, as is everything where no row
-    is labelled. Ties go to the smaller name; repeated rows get the same answer. Further columns
-    stay; one named as the result is replaced.
+    Null texts and texts without a letter are ``und`` with score 0 and not known, as is everything where
+    no row is labelled. ``known`` is false too where the text speaks against every learned language.
+    Ties go to the smaller name; repeated rows get the same answer. Further columns stay; one named as the result is replaced.
     """
     return docs.withColumn(result, predictor(samples_of(learn_from, text, lang, doc_id))(whole_text(text)))

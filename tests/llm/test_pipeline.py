@@ -5,7 +5,9 @@ from __future__ import annotations
 import re
 
 import public_tokenizers
+import pytest
 import sentencepiece
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from kpiweave.llm import decontaminate
@@ -47,6 +49,17 @@ def test_stages(spark, data):
     assert decontaminate.SPAN == 10
 
 
+@pytest.mark.parametrize("names", [["de", "en", "es", "fr"], ["en", "fr"], ["de", "en", "es"]])
+def test_short_texts_in_several_languages_stay(spark, data, names):
+    docs = spark.read.parquet(f"{data}/documents.parquet").where(F.col("lang").isin(names))
+    short = ["A.", "Re.", "De.", "e", "漢字 かな", "α", "xqzj kvwp zzqk jjxv qpwz", "Это русский текст о погоде", "1 2.", None]
+    more = spark.createDataFrame([(-1 - i, t) for i, t in enumerate(short)], "doc_id bigint, text string")
+    both = docs.unionByName(more, allowMissingColumns=True)
+    after = {r["doc_id"] for r in corpus_pipeline.keep_known_languages(spark, both, data).select("doc_id").collect()}
+    lettered = {r["doc_id"] for r in docs.collect() if re.search(r"[^\W\d_]", r["text"] or "")}
+    assert after == lettered | {-1, -2, -3, -4}
+
+
 def test_stages_on_odd_rows(spark, odd_docs, data):
     docs = odd_docs.withColumnRenamed("words", "source").selectExpr("doc_id", "text", "lang", "source", "10 as n_chars", "key", "score")
     for _, stage in corpus_pipeline.STAGES:
