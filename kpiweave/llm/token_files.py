@@ -52,15 +52,19 @@ class PieceTable:
     The vocabulary's pattern never lets a token cross a single space between two characters that
     are not white space, other than as its first character. So such parts have the same ids
     wherever they stand, and each is encoded once. Texts where a space has white space beside it
-    are parted only where it has not.
+    are parted only where it has not. Texts that hold an added token go through the library whole, as
+    do all where an added token has a space. ``literal``: special tokens in texts are spelled out.
     """
 
-    def __init__(self, tokenizer: str, kind: str) -> None:
+    def __init__(self, tokenizer: str, kind: str, literal: bool = True) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.encoder = Tokenizer.from_str(tokenizer)
-        self.encoder.encode_special_tokens = True
+        self.encoder.encode_special_tokens = literal
+        added = self.encoder.get_added_tokens_decoder().values()
+        self.added = [t.content for t in added if t.content and not (literal and t.special)]
+        self.all_whole = any(" " in t for t in self.added)
         self.kind = kind
         vocabulary = self.encoder.get_vocab()
         self.opens = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that begin with a space
@@ -95,6 +99,14 @@ class PieceTable:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Packed ids of each text."""
+        whole = [i for i, t in enumerate(texts) if self.all_whole or any(a in t for a in self.added)]
+        if whole:
+            held = dict(zip(whole, self._packed([texts[i] for i in whole]), strict=True))
+            rest = iter(self._parted([t for i, t in enumerate(texts) if i not in held]))
+            return [held[i] if i in held else next(rest) for i in range(len(texts))]
+        return self._parted(texts)
+
+    def _parted(self, texts: list[str]) -> list[bytes]:
         parts = [t.split(" ") for t in texts]
         self._learn(set(chain.from_iterable(p[1:] for p in parts)))
         first = self._packed([p[0] for p in parts])
@@ -188,7 +200,8 @@ def write_files(docs: DataFrame, tokenizer_path: str, folder: str, doc_id: str =
     """Encodes and writes the documents; one row (file, name, documents, tokens, start) for each file.
 
     Documents are in ascending order of their ids (null ids first, equal ids by a hash of the text), END_ID
-    behind each. Null texts are empty. ``folder`` is one that all executors reach. Ids must be integers.
+    behind each. Ids are those of the library as the file sets it up: an added token in a text, such as a special
+    one, is one id. Null texts are empty. ``folder`` is one that all executors reach. Ids must be integers.
     ``start``: tokens in all files before. An empty table has no files.
     """
     with open(tokenizer_path, encoding="utf-8") as f:
@@ -210,7 +223,7 @@ def write_files(docs: DataFrame, tokenizer_path: str, folder: str, doc_id: str =
             ids, at = batch.column("id").to_pylist(), 0
             for run in slices(batch.column("text"), RUN_BYTES):
                 if writer is None:
-                    table = PieceTable(shipped.value, kind)
+                    table = PieceTable(shipped.value, kind, literal=False)
                     store, path = opened(folder)
                     store.create_dir(path, recursive=True)
                     attempt = f"{path}/.{target}-{uuid.uuid4().hex}"

@@ -101,6 +101,24 @@ def test_token_parts_like_the_library():
     assert [np.frombuffer(x, "<u2").tolist() for x in table.encode(texts)] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_added_tokens_like_the_library(spark, tmp_path):
+    tokenizer = Tokenizer.from_file(BYTES)
+    dice = random.Random(3)
+    bits = [*"ab  \n.é", " the", "<|endoftext|>", " <|endoftext|> ", "<|endof", "text|>"]
+    texts = ["a <|endoftext|> b", *("".join(dice.choice(bits) for _ in range(dice.randint(0, 12))) for _ in range(2000))]
+    want = [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert want[0] == [64, 220, 50256, 275]
+    table = token_files.PieceTable(tokenizer.to_str(), "H", literal=False)
+    assert [np.frombuffer(x, "<u2").tolist() for x in table.encode(texts)] == want
+    spaced = Tokenizer.from_file(BYTES)
+    spaced.add_tokens(["the a"])
+    table = token_files.PieceTable(spaced.to_str(), "H", literal=False)
+    assert [np.frombuffer(x, "<u2").tolist() for x in table.encode(texts)] == [spaced.encode(t, add_special_tokens=False).ids for t in texts]
+    files = token_files.write_files(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), BYTES, str(tmp_path / "t"))
+    got = {r["id"]: (r["n_tokens"], r["ids_crc32"]) for r in token_files.read_files(files, str(tmp_path / "t")).collect()}
+    assert got == {i: (len(ids) + 1, zlib.crc32(np.array([*ids, 0], "<u4").tobytes())) for i, ids in enumerate(want)}
+
+
 def test_token_files(spark, odd_docs, no_docs, tmp_path, monkeypatch):
     monkeypatch.setattr(token_files, "FILE_BYTES", 60_000)
     monkeypatch.setattr(token_files, "FRAME_BYTES", 5_000)
