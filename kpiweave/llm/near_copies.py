@@ -35,6 +35,8 @@ TABLE_ROWS = 500_000
 PART_ENTRIES, DEGREE = 2_000_000, 400
 #: Share of shingles that unrelated texts are taken to have in common; an estimate for costs only.
 COMMON = 0.2
+#: Members of a bucket that are compared in a task; larger buckets are cut into blocks of about so many.
+MEMBERS = 8192
 #: Bytes of a key in the index, and texts whose entries are packed together (their places have two bytes).
 KEY_BYTES, PACKED_TEXTS = 6, 60_000
 SKETCH_BITS, BITMAP_BITS = 4096, 25
@@ -349,25 +351,63 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _across(buckets: DataFrame, labels: DataFrame, nodes: DataFrame, least: int) -> DataFrame:
-    """Pairs of a bucket in different components that sizes and sketches do not rule out."""
+    """Pairs of a bucket in different components that sizes and sketches do not rule out.
+
+    Buckets of more than MEMBERS are cut into blocks: a component with many members into blocks of its
+    own, the others by component. Each two blocks with different components meet in a group, so a task
+    has about two blocks, and a component is never compared with itself.
+    """
     named = buckets.select("key", "node").join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
     named = written(named, "named")
-    mixed = named.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
-    members = named.join(mixed, "key").join(nodes, "node")
+    mixed = named.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("total"))
+    mixed = written(mixed.where("x <> y").select("key", "total"), "mixed")
+    block = F.struct(F.lit(False).alias("own"), F.lit(0).cast("long").alias("of"), F.lit(0).cast("long").alias("salt"))
+    few = named.join(mixed.where(F.col("total") <= MEMBERS).select("key"), "key")
+    meeting = few.select("key", "node", "label", block.alias("one"), block.alias("other"), F.lit(0).alias("side"))
+    many = mixed.where(F.col("total") > MEMBERS).select("key")
+    if not many.isEmpty():
+        inside = named.join(many, "key")
+        n = F.col("n")
+        sizes = written(inside.groupBy("key", "label").agg(F.count("*").alias("n")).withColumn("own", n > MEMBERS // 8), "sizes")
+        rest = sizes.groupBy("key").agg(F.ceil(F.sum(F.when(F.col("own"), 0).otherwise(n)) / MEMBERS).alias("shared"))
+        placed = inside.join(sizes.join(rest, "key"), ["key", "label"])
+        salt = lambda c, count: F.pmod(F.xxhash64(c), F.greatest(F.lit(1), count)).cast("long")
+        own = F.struct("own", F.col("label").alias("of"), salt("node", F.ceil(n / MEMBERS)).alias("salt"))
+        shared = F.struct("own", F.lit(0).cast("long").alias("of"), salt("label", F.col("shared")).alias("salt"))
+        placed = written(placed.select("key", "node", "label", F.when(F.col("own"), own).otherwise(shared).alias("block")), "placed")
+        blocks = placed.select("key", "block").distinct()
+        twos = blocks.withColumnRenamed("block", "one").join(blocks.withColumnRenamed("block", "other"), "key")
+        twos = twos.where("one <= other and not (one.own and other.own and one.of = other.of)")
+        twos = written(twos, "block-pairs")
+        for side, name in enumerate(("one", "other")):
+            put = twos.where("one <> other") if side else twos
+            put = put.withColumn("block", F.col(name))
+            rows = placed.join(put, ["key", "block"]).select("key", "node", "label", "one", "other", F.lit(side).alias("side"))
+            meeting = meeting.unionByName(rows)
+    members = meeting.join(nodes, "node")
 
     def pairs(group: pa.Table) -> pa.Table:
-        node, label, size = (group.column(n).to_numpy() for n in ("node", "label", "size"))
-        bits = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint64).reshape(len(node), SKETCH_BITS // 64)
-        out = []
-        for i in range(len(node) - 1):
-            far = np.bitwise_count(bits[i + 1 :] ^ bits[i]).sum(axis=1)
-            total = size[i + 1 :] + size[i]
-            most = total - 2 * -(-least * total // (100 + least))
-            hit = np.flatnonzero((label[i + 1 :] != label[i]) & (far <= most)) + i + 1
-            out += [(max(node[i], node[j]), min(node[i], node[j])) for j in hit.tolist()]
-        return pa.table({"a": pa.array([int(x[0]) for x in out], pa.int64()), "b": pa.array([int(x[1]) for x in out], pa.int64())})
-
-    return members.groupBy("key").applyInArrow(pairs, "a bigint, b bigint").distinct()
+        label, side = group.column("label").to_numpy(), group.column("side").to_numpy()
+        order = np.lexsort((label, side))
+        label, side = label[order], side[order]
+        node, size = (group.column(n).to_numpy()[order] for n in ("node", "size"))
+        bits = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint64).reshape(len(node), SKETCH_BITS // 64)[order]
+        # Two blocks: the first with the second. One block: each with those of later components.
+        firsts = int(np.searchsorted(side, 1))
+        both = firsts < len(node)
+        start = np.full(firsts, firsts) if both else np.searchsorted(label, label, side="right")
+        one, other = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for i, at in enumerate(start.tolist()):
+            total = size[at:] + size[i]
+            far = np.bitwise_count(bits[at:] ^ bits[i]).sum(axis=1)
+            hit = node[at:][far <= total - 2 * -(-least * total // (100 + least))]
+            if len(hit):
+                one.append(np.full(len(hit), node[i]))
+                other.append(hit)
+        a, b = np.concatenate(one), np.concatenate(other)
+        return pa.table({"a": pa.array(np.maximum(a, b)), "b": pa.array(np.minimum(a, b))})
+
+    return members.groupBy("key", "one", "other").applyInArrow(pairs, "a bigint, b bigint").distinct()
 
 
 def find_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = 5, least: int = 80) -> DataFrame:

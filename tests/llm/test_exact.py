@@ -241,6 +241,39 @@ def test_groups_of_chains_and_copies(spark, length, least):
     assert sorted((False, r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == plain_groups(rows, length, least)
 
 
+@pytest.mark.parametrize("members", [2, 16, 1000])
+def test_large_buckets_are_cut_into_blocks(spark, monkeypatch, members):
+    """All pairs of different components, from tasks of about two blocks; none of a component with itself."""
+    rows, labels = [], []
+    for key, sizes in enumerate(([120, 1, 1], [30, 25, 1, 1, 2], [1] * 40, [50], [3, 2])):
+        for at, size in enumerate(sizes):
+            group = [key * 1000 + at * 150 + i for i in range(size)]
+            rows += [(key, n) for n in group]
+            labels += [(n, group[0]) for n in group if size > 1]
+    label = {n: n for _, n in rows} | dict(labels)
+    want = {(max(a, b), min(a, b)) for k, a in rows for j, b in rows if k == j and label[a] != label[b]}
+    nodes = spark.createDataFrame([(n, 100, bytes(near_copies.SKETCH_BITS // 8)) for n in label], "node bigint, size bigint, sketch binary")
+    most = []
+    real = type(nodes.groupBy("node")).applyInArrow
+
+    def counted(self, f, schema):
+        most.append(max(r["count"] for r in self.count().collect()))
+        return real(self, f, schema)
+
+    monkeypatch.setattr(type(nodes.groupBy("node")), "applyInArrow", counted)
+    monkeypatch.setattr(near_copies, "MEMBERS", members)
+    buckets, linked = spark.createDataFrame(rows, "key bigint, node bigint"), spark.createDataFrame(labels, "node bigint, label bigint")
+    got = [(r["a"], r["b"]) for r in near_copies._across(buckets, linked, nodes, 80).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert most[0] <= max(30, 4 * members)
+
+
+@pytest.mark.parametrize("members", [2, 5])
+def test_groups_from_blocks(spark, monkeypatch, members):
+    monkeypatch.setattr(near_copies, "MEMBERS", members)
+    test_groups_of_chains_and_copies(spark, 3, 60)
+
+
 @pytest.mark.parametrize("least", [60, 80, 90])
 def test_linked_sets_share_a_key(least):
     """Every split of the work, with and without left-out shingles, keeps all links."""
