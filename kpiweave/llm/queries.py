@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kpiweave.llm import context_tree, decontaminate, languages, merkle, near_copies, pieces, quality, secrets, shards, token_files
+from kpiweave.llm import context_tree, conversations, decontaminate, languages, merkle, near_copies, pieces, quality, secrets, shards, token_files
 from kpiweave.llm.common import fold, scratch, table
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -176,5 +176,31 @@ def op7_sql() -> str:
       QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY depth) = 1"""
 
 
-QUERIES: dict[str, Run] = {f.__name__: f for f in (op1_quality, op2_languages, op3_secrets, op4_token_files, op5_context_tree, op6_decontaminate, op7_shards, op8_pieces, op9_near_copies, op10_fingerprints)}
+def damaged(rows: DataFrame) -> DataFrame:
+    """Rows of conversations, damaged by crc32 of ``conv_id:turn``; nulls count as one space."""
+    said = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    kind = F.crc32(F.concat(said("conv_id"), F.lit(":"), said("turn")).cast("binary")) % 20
+    text = F.when(kind == 1, "").when(kind == 2, F.regexp_replace(said("text"), "[.!?]", "")).otherwise(said("text"))
+    role = F.when(kind == 4, "user").otherwise(said("role"))
+    copies = F.explode(F.when(kind == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
+    return rows.where(kind != 0).select("conv_id", "turn", role.alias("role"), text.alias("text"), copies.alias("copy")).drop("copy")
+
+
+def op12_conversations(spark: SparkSession, folder: str) -> DataFrame:
+    """Repairs of all conversations after damage: faults, cost, audit and digest of the repaired rows."""
+    rows = table(spark, folder, "conversations")
+    summary, edits = conversations.find_repairs(damaged(rows))
+    both = summary.join(conversations.digests(edits).withColumnRenamed("conv_id", "conv_id_"), F.col("conv_id").eqNullSafe(F.col("conv_id_"))).drop("conv_id_")
+    every = rows.select(F.col("conv_id").alias("conv_id_")).distinct()
+    out = every.join(both, F.col("conv_id").eqNullSafe(F.col("conv_id_")), "left")
+    counts = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
+    return out.select(
+        F.col("conv_id_").alias("conv_id"),
+        *[F.coalesce(n, F.lit(0).cast("long")).alias(n) for n in counts],
+        F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"),
+    )
+
+
+QUERIES: dict[str, Run] = {f.__name__: f for f in (op1_quality, op2_languages, op3_secrets, op4_token_files, op5_context_tree, op6_decontaminate, op7_shards, op8_pieces, op9_near_copies, op10_fingerprints, op12_conversations)}
 SQL: dict[str, str] = {"op6_decontaminate": op6_sql(), "op7_shards": op7_sql(), "op10_fingerprints": op10_sql()}
