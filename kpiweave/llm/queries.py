@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kpiweave.llm import context_tree, conversations, decontaminate, languages, merkle, near_copies, pieces, quality, secrets, shards, token_files
+from kpiweave.llm import context_tree, conversations, decontaminate, hard_negatives, languages, merkle, near_copies, pieces, quality, secrets, shards, token_files
 from kpiweave.llm.common import fold, scratch, table
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -202,5 +202,12 @@ def op12_conversations(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-QUERIES: dict[str, Run] = {f.__name__: f for f in (op1_quality, op2_languages, op3_secrets, op4_token_files, op5_context_tree, op6_decontaminate, op7_shards, op8_pieces, op9_near_copies, op10_fingerprints, op12_conversations)}
+def op13_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    """Hard negatives of all anchors; the label of every seventh id is first moved on by one."""
+    rows = table(spark, folder, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(rows.withColumn("label", label))
+
+
+QUERIES: dict[str, Run] = {f.__name__: f for f in (op1_quality, op2_languages, op3_secrets, op4_token_files, op5_context_tree, op6_decontaminate, op7_shards, op8_pieces, op9_near_copies, op10_fingerprints, op12_conversations, op13_hard_negatives)}
 SQL: dict[str, str] = {"op6_decontaminate": op6_sql(), "op7_shards": op7_sql(), "op10_fingerprints": op10_sql()}
