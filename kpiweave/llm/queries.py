@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kpiweave.llm import context_tree, conversations, decontaminate, hard_negatives, languages, merkle, near_copies, pieces, quality, secrets, shards, token_files
+from kpiweave.llm import context_tree, conversations, decontaminate, hard_negatives, languages, merkle, near_copies, pieces, quality, secrets, shards, sketch_dedup, token_files
 from kpiweave.llm.common import fold, scratch, table
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -176,6 +176,11 @@ def op7_sql() -> str:
       QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY depth) = 1"""
 
 
+def op11_sketch_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Components of documents whose sets of 4-word shingles are alike by 80 percent or more, and which documents stay."""
+    return sketch_dedup.find_groups(table(spark, folder, "documents"), length=4, least=80)
+
+
 def damaged(rows: DataFrame) -> DataFrame:
     """Rows of conversations, damaged by crc32 of ``conv_id:turn``; nulls count as one space."""
     said = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
@@ -209,5 +214,5 @@ def op13_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
     return hard_negatives.mine(rows.withColumn("label", label))
 
 
-QUERIES: dict[str, Run] = {f.__name__: f for f in (op1_quality, op2_languages, op3_secrets, op4_token_files, op5_context_tree, op6_decontaminate, op7_shards, op8_pieces, op9_near_copies, op10_fingerprints, op12_conversations, op13_hard_negatives)}
+QUERIES: dict[str, Run] = {f.__name__: f for f in (op1_quality, op2_languages, op3_secrets, op4_token_files, op5_context_tree, op6_decontaminate, op7_shards, op8_pieces, op9_near_copies, op10_fingerprints, op11_sketch_dedup, op12_conversations, op13_hard_negatives)}
 SQL: dict[str, str] = {"op6_decontaminate": op6_sql(), "op7_shards": op7_sql(), "op10_fingerprints": op10_sql()}
