@@ -8,15 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kpiweave.functions.aggregates import aggregate
+from kpiweave.functions.aggregates import aggregate, is_clock
 from kpiweave.functions.predicates import column_of, field_of, where
-from kpiweave.functions.sizing import estimated_bytes
 from kpiweave.operators.quantiles import exact_median, null_safe_join
 from kpiweave.specs import Aggregation, Filter, QuerySpec, Sort, SpecError
 
-# Above this input size a median is computed without per-group value maps.
-MEDIAN_MAP_BYTES = 64 * 1024 * 1024
-
 
 def order_columns(sort: Sequence[Sort], schema: T.StructType) -> list[Column]:
     """Sort keys; NULLs come last in both directions."""
@@ -27,62 +23,44 @@ def order_columns(sort: Sequence[Sort], schema: T.StructType) -> list[Column]:
     return keys
 
 
-def _wide_median(df: DataFrame, agg: Aggregation, limit: int) -> bool:
-    """True where the single-task value map of ``F.median`` is not known to fit."""
-    if agg.fn != "median":
-        return False
-    kind = field_of(df.schema, agg.col).dataType
-    if isinstance(kind, T.BooleanType):
-        return False
-    if isinstance(kind, T.DecimalType):
-        return True
-    return estimated_bytes(df.select(column_of(df.schema, agg.col))) > limit
-
-
-def grouped(
-    df: DataFrame,
-    group_by: Sequence[str],
-    aggregations: Sequence[Aggregation],
-    median_map_bytes: int = MEDIAN_MAP_BYTES,
-) -> DataFrame:
+def _by_rank(df: DataFrame, agg: Aggregation) -> bool:
+    """Whether the aggregate is a median that is selected by rank; texts are refused and booleans counted elsewhere."""
+    kind = field_of(df.schema, agg.col).dataType if agg.fn == "median" else None
+    return isinstance(kind, T.NumericType) or kind is not None and is_clock(kind)
+
+
+def grouped(df: DataFrame, group_by: Sequence[str], aggregations: Sequence[Aggregation]) -> DataFrame:
     """Group columns first, then the aggregates, in the order given."""
     keys = [field_of(df.schema, name).name for name in group_by]
-    wide = [a for a in aggregations if _wide_median(df, a, median_map_bytes)]
-    plain = [aggregate(df.schema, a) for a in aggregations if a not in wide]
+    medians = [a for a in aggregations if _by_rank(df, a)]
+    plain = [aggregate(df.schema, a) for a in aggregations if a not in medians]
     columns = [F.col(f"`{k}`") for k in keys]
-    if not wide:
+    if not medians:
         return df.groupBy(*columns).agg(*plain)
-    medians = [exact_median(df, keys, a.col, a.alias) for a in wide]
-    parts = [df.groupBy(*columns).agg(*plain)] if plain else []
-    parts += medians
-    result = parts[0]
+    # Medians hang on a table that has every group, also those without a value; a global one has one row always.
+    groups = [f"__g{i}" for i in range(len(keys))] or ["__g0"]
     if keys:
-        for part in parts[1:]:
-            result = null_safe_join(result, part, keys)
+        base = df.select(*[c.alias(g) for c, g in zip(columns, groups, strict=True)], "*")
+        result = base.groupBy(*groups).agg(*plain) if plain else base.select(*groups).distinct()
     else:
-        # Global aggregates: one row each, side by side.
-        result = result.withColumn("__one", F.lit(1))
-        for part in parts[1:]:
-            result = result.join(part.withColumn("__one", F.lit(1)), "__one")
-    return result.select(*columns, *[F.col(f"`{a.alias}`") for a in aggregations])
+        result = df.agg(F.lit(1).alias("__g0"), *plain)
+    for a in medians:
+        result = null_safe_join(result, exact_median(df, keys, a.col, a.alias), groups, "left")
+    named = [F.col(g).alias(k) for g, k in zip(groups, keys, strict=False)]
+    return result.select(*named, *[F.col(f"`{a.alias}`") for a in aggregations])
 
 
-def unpaged(df: DataFrame, spec: QuerySpec, median_map_bytes: int = MEDIAN_MAP_BYTES) -> DataFrame:
+def unpaged(df: DataFrame, spec: QuerySpec) -> DataFrame:
     """The query without sort and page: filters, then projection or aggregation."""
     kept = where(df, spec.filters)
     if spec.aggregations:
-        return grouped(kept, spec.group_by, spec.aggregations, median_map_bytes)
+        return grouped(kept, spec.group_by, spec.aggregations)
     if spec.columns:
         return kept.select(*[column_of(df.schema, c) for c in spec.columns])
     return kept
 
 
-def apply_query(
-    df: DataFrame,
-    spec: QuerySpec,
-    tie_break: Sequence[str] = (),
-    median_map_bytes: int = MEDIAN_MAP_BYTES,
-) -> DataFrame:
+def apply_query(df: DataFrame, spec: QuerySpec, tie_break: Sequence[str] = ()) -> DataFrame:
     """Run ``spec`` over ``df``.
 
     Without aggregations ``group_by`` has no effect, and a projection may sort by a
@@ -91,7 +69,7 @@ def apply_query(
     """
     sort = [*spec.sort, *(Sort(c) for c in tie_break)]
     if spec.aggregations:
-        rows = unpaged(df, spec, median_map_bytes)
+        rows = unpaged(df, spec)
         return _paged(rows, order_columns(sort, rows.schema), spec)
     kept = where(df, spec.filters)
     rows = _paged(kept, order_columns(sort, df.schema), spec)

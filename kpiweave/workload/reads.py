@@ -317,10 +317,10 @@ def aggregate_median(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(grouped(lines, ["l_returnflag", "l_linestatus"], _MEDIANS), 4, "price", "quantity")
 
 
-@registered("A5 the plan for inputs past the size check", _MEDIAN_SQL)
+@registered("A5 all medians of a query in one selection", _MEDIAN_SQL)
 def aggregate_median_wide(spark: SparkSession, folder: str) -> DataFrame:
     lines = table(spark, folder, "lineitem")
-    medians = grouped(lines, ["l_returnflag", "l_linestatus"], _MEDIANS, median_map_bytes=0)
+    medians = grouped(lines, ["l_returnflag", "l_linestatus"], _MEDIANS)
     return rounded(medians, 4, "price", "quantity")
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from kpiweave.functions.predicates import where
 from kpiweave.operators.query import apply_query, count_total, explain_shape, grouped, query_text
-from kpiweave.operators.quantiles import exact_median, value_at_rank
+from kpiweave.operators.quantiles import exact_median, key_value, value_at_rank, with_keys
 from kpiweave.specs import Aggregation, Filter, QuerySpec, Sort, SpecError
 
 from .conftest import rows_of
@@ -196,9 +196,7 @@ def test_sums_of_large_integers_do_not_overflow(spark):
 
 def test_empty_global_aggregate_is_one_row(frame):
     aggs = tuple(Aggregation(f, "x", f) for f in ("sum", "avg", "min", "median", "stddev", "count"))
-    for limit in (0, 1 << 30):
-        rows = grouped(frame.filter("id > 99"), (), aggs, limit).collect()
-        assert [tuple(r) for r in rows] == [(None, None, None, None, None, 0)]
+    assert [tuple(r) for r in grouped(frame.filter("id > 99"), (), aggs).collect()] == [(None, None, None, None, None, 0)]
 
 
 def test_explain_shape_surfaces_errors(frame):
@@ -216,36 +214,84 @@ def test_explain_shape_surfaces_errors(frame):
     ),
     st.sampled_from([20, 100, 20_000]),
 )
-def test_bounded_median_equals_the_direct_one(spark, rows, accuracy):
+def test_medians_in_wide_and_narrow_ranges_equal_the_direct_ones(spark, rows, accuracy):
+    """With coarse sketches too; a wide decimal, a narrow one and a double of one query."""
+    df = spark.createDataFrame(rows, "k string, v double").select("k", "v", F.col("v").cast("decimal(30,4)").alias("w"), F.col("v").cast("decimal(9,4)").alias("d"))
+    for c in "vwd":
+        some = plain(df.groupBy("k").agg(F.median(c).alias("m")).where("m is not null").collect())
+        assert plain(exact_median(df, ["k"], c, "m", accuracy).collect()) == some
+        assert plain(exact_median(df, [], c, "m", accuracy).select("m").collect()) == plain(df.agg(F.median(c).alias("m")).where("m is not null").collect())
+
+
+MEDIAN = (Aggregation("median", "v", "m"),)
+INFINITE, NAN = float("inf"), float("nan")
+EDGES = [0.0, -0.0, 1.0, -1.0, 5e-324, -5e-324, 2.2250738585072014e-308, 2.225073858507201e-308, 1.7e308, -1.7e308, 1.7976931348623157e308, INFINITE, -INFINITE,
+         NAN, 0.1, 3.0, 2.0**52 - 1, 2.0**53, 1 / 3, 1e-310, 8.0 - 2**-50, 8.0, 1024.0, 1e22]
+
+
+def test_keys_keep_the_order_of_doubles_and_give_them_back(spark):
+    import random
+    import struct
+
+    dice = random.Random(1)
+    values = EDGES + [struct.unpack("<d", dice.randbytes(8))[0] for _ in range(4000)] + [2.0**e * f for e in range(-1074, 1024, 7) for f in (1, 1 - 2**-53)]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    kind = df.schema["v"].dataType
+    got = with_keys(df, F.col("v"), kind, "k").withColumn("b", key_value(F.col("k"), kind)).collect()
+    assert all(r["b"] == r["v"] or r["b"] != r["b"] and r["v"] != r["v"] for r in got)
+    real = sorted((r["v"], r["k"]) for r in got if r["v"] == r["v"])
+    assert all((a < b) == (k < m) for (a, k), (b, m) in zip(real, real[1:], strict=False))
+    assert min(r["k"] for r in got if r["v"] != r["v"]) > real[-1][1]
+
+
+@settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture, HealthCheck.too_slow])
+@given(st.lists(st.tuples(st.sampled_from(["a", "b", None]), st.one_of(st.none(), st.sampled_from(EDGES), st.floats(width=64))), min_size=1, max_size=40))
+def test_median_equals_the_direct_one(spark, rows):
     df = spark.createDataFrame(rows, "k string, v double")
-    want = rows_of(df.groupBy("k").agg(F.median("v").alias("m")))
-    assert rows_of(exact_median(df, ["k"], "v", "m", accuracy)) == want
-    assert rows_of(exact_median(df, [], "v", "m", accuracy)) == rows_of(df.agg(F.median("v").alias("m")))
+    text = lambda frame: sorted(str(tuple(r)).replace("-0.0", "0.0") for r in frame.collect())
+    assert text(grouped(df, ["k"], MEDIAN)) == text(df.groupBy("k").agg(F.median("v").alias("m")))
+    assert text(grouped(df, [], MEDIAN)) == text(df.agg(F.median("v").alias("m")))
 
 
-def test_bounded_median_with_a_hot_group_and_few_values(spark):
+@pytest.mark.parametrize("values,want", [([NAN, 1.0, NAN, 2.0, INFINITE], INFINITE), ([1.7e308, 1.7e308], 1.7e308), ([1.7e308, 1.75e308], 1.725e308), ([None, None], None), ([], None)])
+def test_median_of_probed_values(spark, values, want):
+    """The same from a few rows and from many copies of them."""
+    for copies in (1, 2000):
+        df = spark.createDataFrame([(v,) for v in values], "v double").crossJoin(spark.range(copies))
+        assert grouped(df, [], MEDIAN).first()["m"] == want
+
+
+def test_median_with_a_hot_group_is_counted_before_the_shuffle(spark):
     df = spark.range(60_000).select(
-        F.when(F.col("id") % 3 == 0, F.col("id") % 7).otherwise(-1).alias("k"), ((F.col("id") * 7919) % 10_007).alias("v")
+        F.when(F.col("id") % 3 == 0, F.col("id") % 7).otherwise(-1).alias("k"), ((F.col("id") * 7919) % 10_007).alias("v"), (F.col("id") * 1e-3).alias("w")
     )
-    want = rows_of(df.groupBy("k").agg(F.median("v").alias("m")))
-    assert rows_of(exact_median(df, ["k"], "v", "m", accuracy=200)) == want
+    want = rows_of(df.groupBy("k").agg(F.median("v").alias("m"), F.median("w").alias("x"), F.count(F.lit(1)).alias("n")))
+    aggregations = (*MEDIAN, Aggregation("median", "w", "x"), Aggregation("count", None, "n"))
+    result = grouped(df, ["k"], aggregations)
+    assert rows_of(result) == want
+    plan = result._jdf.queryExecution().executedPlan().toString()
+    assert "partial_percentile_approx" in plan and "partial_count" in plan and "CartesianProduct" not in plan
 
 
 def test_medians_of_decimals_and_times_round_like_the_oracle(frame, duck):
     spec = QuerySpec("t", aggregations=(Aggregation("median", "d", "d"), Aggregation("median", "ts", "t")), group_by=("flag",))
     want = duck.execute(query_text(spec)[0], query_text(spec)[1]).fetchall()
-    for limit in (0, 1 << 30):
-        assert plain(tuple(r) for r in apply_query(frame, spec, median_map_bytes=limit).collect()) == plain(want)
+    assert plain(tuple(r) for r in apply_query(frame, spec).collect()) == plain(want)
+    wide = frame.withColumn("d", F.col("d").cast("decimal(30,2)"))
+    assert plain(tuple(r) for r in apply_query(wide, spec).collect()) == plain(want)
 
 
 def test_value_at_rank(spark):
     df = spark.range(5000).select(((F.col("id") * 37) % 5000).alias("v")).unionByName(spark.createDataFrame([(None,)] * 9, "v bigint"))
-    for rank in (1, 2, 2500, 4999, 5000):
-        assert value_at_rank(df, "v", rank) == rank - 1
-        assert value_at_rank(df, "v", rank, exact_below=10) == rank - 1
-    assert value_at_rank(df, "v", 5001) is None and value_at_rank(df, "v", 0) is None
+    for kind in ("bigint", "double", "decimal(12,3)", "string", "decimal(30,2)"):
+        sized = df.select(F.lpad(F.col("v"), 4, "0").alias("v") if kind == "string" else F.col("v").cast(kind))
+        for rank in (1, 2, 2500, 5000):
+            assert float(value_at_rank(sized, "v", rank)) == rank - 1
+        assert value_at_rank(sized, "v", 5001) is None and value_at_rank(sized, "v", 0) is None
     same = spark.range(3000).select(F.lit(4).alias("v"))
-    assert value_at_rank(same, "v", 1500, exact_below=10) == 4
+    assert value_at_rank(same, "v", 1500) == 4
+    times = df.select(F.timestamp_micros(F.col("v") * 1_000_003).alias("v"))
+    assert value_at_rank(times, "v", 5000) == times.agg(F.max("v")).first()[0]
 
 
 def test_filters_and_columns_reach_the_scan(spark, data):
