@@ -8,13 +8,16 @@ coordinate fills, long sets are done after a round or two, and the share of equa
 two sets keeps to their likeness as closely as with independent hash functions.
 
 Sets that agree in all coordinates of a band are candidates. Two sets of likeness 0.8 agree in one
-of BANDS bands of WIDTH but for a chance of 5e-8. In each bucket every set is compared with the
-bucket's least set only; sets of a bucket that are still in different components are then compared
-with each other. A bucket of more than MEMBERS sets is first split by the other bands of its sets:
-pairs that share two bands meet again in smaller buckets (likeness 0.8 shares no second band with a
-chance of 1e-6). Before a comparison, pairs whose sketches agree in fewer than AGREEING coordinates
-are dropped (at likeness 0.8, seven standard deviations below the mean). Links are confirmed on the
-full sets.
+of BANDS bands of WIDTH but for a chance of 5e-8. Pairs are not spelled out. In each bucket every set
+is first compared with the bucket's least set. Then sets of a bucket that are still in different
+components are compared with each other, and of each set and of two components only the few closest
+pairs are sent on; where pairs were held back a next round sends more, until none is left that is
+neither ruled out nor confirmed or refused on the full sets. A bucket of more than MEMBERS sets is split by the other bands of its sets there: pairs that share two bands meet again in
+smaller buckets (likeness 0.8 shares no second band with a chance of 1e-6).
+
+A pair is ruled out by sizes, by parities of PARITY_BITS hashed bits, of which linked sets cannot differ
+in more than their difference, or where fewer than AGREEING coordinates agree (at likeness 0.8, seven
+standard deviations below the mean). Links are confirmed on the full sets.
 """
 
 from __future__ import annotations
@@ -36,7 +39,9 @@ AGREEING = 70
 RUN_BYTES = 1 << 20
 #: Sets of a bucket compared in one task; sets that one task compares with one set.
 MEMBERS, DEGREE = 4096, 400
-BITMAP_BITS = 25
+BITMAP_BITS, PARITY_BITS = 25, 2048
+#: Closest pairs of a set, and of two components, in the first round of comparisons; growth by round.
+CLOSEST, GROWTH = 8, 4
 
 
 def sketches(sets: list[np.ndarray]) -> np.ndarray:
@@ -73,6 +78,17 @@ def marks(sketch: np.ndarray) -> np.ndarray:
     return (mix(sketch, 11) >> np.uint64(56)).astype(np.uint8)
 
 
+def parity(tokens: np.ndarray) -> bytes:
+    """Bits flipped once for each number: two sets differ at least as much as their parities."""
+    bits = np.bincount((mix(tokens, 4) % np.uint64(PARITY_BITS)).astype(np.int64), minlength=PARITY_BITS) & 1
+    return np.packbits(bits.astype(np.uint8)).tobytes()
+
+
+def most_differences(total: np.ndarray, least: int) -> np.ndarray:
+    """The most that two linked sets of ``total`` members together can differ in."""
+    return total - 2 * -(-least * total // (100 + least))
+
+
 def nodes(sets: list[np.ndarray]) -> list[np.ndarray]:
     """Two hashes of each set."""
     return [np.array([mix(s, salt).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64) for salt in (5, 6)]
@@ -84,8 +100,8 @@ def text_key(text: Column) -> Column:
 
 
 def _sketched(base: DataFrame, length: int) -> DataFrame:
-    """(id, said, size, node, check, keys, marks) of each text of ``base`` (id, said, text)."""
-    fields = (("said", T.LongType()), ("size", T.LongType()), ("node", T.LongType()), ("check", T.LongType()), ("keys", T.ArrayType(T.LongType())), ("marks", T.BinaryType()))
+    """(id, said, size, node, check, keys, marks, parity) of each text of ``base`` (id, said, text)."""
+    fields = (("said", T.LongType()), ("size", T.LongType()), ("node", T.LongType()), ("check", T.LongType()), ("keys", T.ArrayType(T.LongType())), ("marks", T.BinaryType()), ("parity", T.BinaryType()))
     schema = T.StructType([T.StructField("id", base.schema["id"].dataType), *(T.StructField(n, k) for n, k in fields)])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,25 +116,27 @@ def _sketched(base: DataFrame, length: int) -> DataFrame:
                 for i, k, m in zip(full.tolist(), band_keys(found).view(np.int64), marks(found), strict=True):
                     keys[i], bits[i] = k, m.tobytes()
                 columns = [batch.column("id").slice(at, len(sets)), batch.column("said").slice(at, len(sets)), pa.array([len(s) for s in sets], pa.int64())]
-                columns += [*map(pa.array, nodes(sets)), pa.array(keys, pa.list_(pa.int64())), pa.array(bits, pa.binary())]
+                columns += [*map(pa.array, nodes(sets)), pa.array(keys, pa.list_(pa.int64())), pa.array(bits, pa.binary()), pa.array([parity(x) for x in sets], pa.binary())]
                 at += len(sets)
                 yield pa.RecordBatch.from_arrays(columns, schema.names)
 
     return base.select("id", "said", "text").mapInArrow(scan, schema)
 
 
-def _agreeing(pairs: DataFrame, held: DataFrame, least: int) -> DataFrame:
-    """The pairs (a, b) that sizes and sketches do not rule out."""
+def _possible(pairs: DataFrame, held: DataFrame, least: int) -> DataFrame:
+    """The pairs (a, b) that sizes, parities and sketches do not rule out."""
 
     @F.arrow_udf("boolean")
-    def may_link(one: pa.Array, other: pa.Array) -> pa.Array:
-        bits = [np.frombuffer(b"".join(x.to_pylist()), np.uint8).reshape(len(x), COORDS) for x in (one, other)]
-        return pa.array((bits[0] == bits[1]).sum(axis=1) >= AGREEING)
+    def may_link(size_a: pa.Array, size_b: pa.Array, one: pa.Array, other: pa.Array, flips: pa.Array, others: pa.Array) -> pa.Array:
+        packed = lambda x, kind: np.frombuffer(b"".join(x.to_pylist()), kind).reshape(len(x), -1)
+        agree = (packed(one, np.uint8) == packed(other, np.uint8)).sum(axis=1) >= AGREEING
+        differ = np.bitwise_count(packed(flips, np.uint64) ^ packed(others, np.uint64)).sum(axis=1)
+        return pa.array(agree & (differ <= most_differences(size_a.to_numpy() + size_b.to_numpy(), least)))
 
-    side = lambda n: held.select(F.col("node").alias(n), F.col("size").alias(f"size_{n}"), F.col("marks").alias(f"marks_{n}"))
+    side = lambda n: held.select(F.col("node").alias(n), *[F.col(c).alias(f"{c}_{n}") for c in ("size", "marks", "parity")])
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     both = both.where(100 * F.least("size_a", "size_b") >= least * F.greatest("size_a", "size_b"))
-    return both.where(may_link("marks_a", "marks_b")).select("a", "b")
+    return both.where(may_link("size_a", "size_b", "marks_a", "marks_b", "parity_a", "parity_b")).select("a", "b")
 
 
 def _linked(pairs: DataFrame, held: DataFrame, base: DataFrame, length: int, least: int) -> DataFrame:
@@ -191,32 +209,56 @@ def _mixed(buckets: DataFrame, labels: DataFrame) -> DataFrame:
     return named.join(several.select("key", "total"), "key")
 
 
-def _across(buckets: DataFrame, held: DataFrame, least: int) -> DataFrame:
-    """Pairs (a, b) of mixed buckets in different components that sizes and sketches do not rule out, by two blocks a task."""
+def _across(buckets: DataFrame, held: DataFrame, refused: DataFrame, least: int, closest: int) -> DataFrame:
+    """Pairs (a, b) in different components of mixed buckets that nothing rules out and that are not in ``refused``.
+
+    By two blocks of a bucket a task; of each set and of each two components the ``closest`` pairs.
+    ``more`` marks the pairs of a bucket (key) where others were held back.
+    """
     cuts = F.ceil(F.col("total") / MEMBERS).cast("int")
     mine = F.pmod(F.xxhash64("node"), F.col("cuts")).cast("int")
     placed = buckets.withColumn("cuts", cuts).withColumn("mine", mine).withColumn("theirs", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
     meeting = placed.select("key", "node", "label", "mine", F.least("mine", "theirs").alias("one"), F.greatest("mine", "theirs").alias("other"))
+    known = refused.groupBy(F.col("a").alias("node")).agg(F.collect_list("b").alias("refused"))
 
     def pairs(group: pa.Table) -> pa.Table:
+        key = group.column("key")[0].as_py()
         node, size, label, mine, one, other = (group.column(n).to_numpy() for n in ("node", "size", "label", "mine", "one", "other"))
-        bits = np.frombuffer(b"".join(group.column("marks").to_pylist()), np.uint8).reshape(len(node), COORDS)
+        tested = {(a, b) for a, bs in zip(node.tolist(), group.column("refused").to_pylist(), strict=True) for b in bs or ()}
+        packed = lambda c, kind: np.frombuffer(b"".join(group.column(c).to_pylist()), kind).reshape(len(node), -1)
         order = np.lexsort((label, mine))
-        node, size, label, mine, bits = (x[order] for x in (node, size, label, mine, bits))
+        marks, flips = packed("marks", np.uint8)[order], packed("parity", np.uint64)[order]
+        node, size, label, mine = (x[order] for x in (node, size, label, mine))
         # Two blocks: the first with the second. One block: each set with those of later components.
         border = int(np.searchsorted(mine, other[0])) if one[0] != other[0] else 0
         starts = np.full(border, border) if border else np.searchsorted(label, label, side="right")
-        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        best: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
+        more = False
         for i, at in enumerate(starts.tolist()):
-            fits = (label[at:] != label[i]) & (100 * np.minimum(size[at:], size[i]) >= least * np.maximum(size[at:], size[i]))
-            near = np.flatnonzero(fits) + at
-            near = near[(bits[near] == bits[i]).sum(axis=1) >= AGREEING]
-            a.append(np.full(len(near), node[i]))
-            b.append(node[near])
-        a, b = np.concatenate(a), np.concatenate(b)
-        return pa.table({"a": np.maximum(a, b), "b": np.minimum(a, b)})
-
-    return meeting.join(held.select("node", "size", "marks"), "node").groupBy("key", "one", "other").applyInArrow(pairs, "a bigint, b bigint").distinct()
+            total = size[at:] + size[i]
+            far = np.bitwise_count(flips[at:] ^ flips[i]).sum(axis=1)
+            near = np.flatnonzero((far <= most_differences(total, least)) & (label[at:] != label[i]))
+            near = near[100 * np.minimum(size[at:][near], size[i]) >= least * np.maximum(size[at:][near], size[i])]
+            near = near[(marks[at:][near] == marks[i]).sum(axis=1) >= AGREEING]
+            taken = 0
+            for j in near[np.argsort(far[near], kind="stable")].tolist():
+                pair = max(node[i], node[at + j]).item(), min(node[i], node[at + j]).item()
+                if pair not in tested:
+                    if taken == closest:
+                        more = True
+                        break
+                    two = min(label[i], label[at + j]), max(label[i], label[at + j])
+                    best.setdefault(two, []).append((int(far[j]), *pair))
+                    if len(best[two]) > 2 * closest:
+                        best[two], more = sorted(best[two])[:closest], True
+                    taken += 1
+        more = more or any(len(pairs) > closest for pairs in best.values())
+        found = [x[1:] for pairs in best.values() for x in sorted(pairs)[:closest]]
+        columns = [*(pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)), pa.array([key] * len(found), pa.int64()), pa.array([more] * len(found), pa.bool_())]
+        return pa.table(columns, ["a", "b", "key", "more"])
+
+    members = meeting.join(held, "node").join(known, "node", "left")
+    return members.groupBy("key", "one", "other").applyInArrow(pairs, "a bigint, b bigint, key bigint, more boolean")
 
 
 def find_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = 5, least: int = 80) -> DataFrame:
@@ -232,28 +274,43 @@ def find_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", len
     """
     if least < 80:
         raise ValueError("the bands are made for a likeness of 80 percent or more")
+    spark = docs.sparkSession
     base = docs.select(F.col(doc_id).alias("id"), whole_text(text).alias("text")).withColumn("said", text_key(F.col("text")))
     texts = written(_sketched(base, length), "sketched")
-    classes = texts.where("size > 0").groupBy("node").agg(F.min(F.struct("said", "size", "marks", "keys")).alias("s"))
-    held = written(classes.select("node", "s.said", "s.size", "s.marks", "s.keys"), "held")
-    keyed = held.select("node", F.explode("keys").alias("key"))
+    keyed = texts.select("node", F.explode("keys").alias("key")).distinct()
     shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     buckets = written(keyed.join(shared, "key").select("key", "node"), "buckets")
-    thin = held.select("node", "said", "size", "marks")
-    stars = written(_agreeing(_stars(buckets), thin, least), "stars")
-    links = _linked(stars, thin, base, length, least)
+    met = texts.join(buckets.select("node").distinct(), "node", "left_semi")
+    met = met.groupBy("node").agg(F.min(F.struct("said", "size", "marks", "parity")).alias("s"))
+    held = written(met.select("node", "s.said", "s.size", "s.marks", "s.parity"), "held")
+    looks = held.drop("said")
+    links = _linked(written(_possible(_stars(buckets), looks, least), "stars"), held, base, length, least)
     labels = written(components(links), "labels")
     mixed = written(_mixed(buckets, labels), "mixed")
-    small = mixed.where(F.col("total") <= MEMBERS).select("key", "node", "label", "total")
     large = mixed.where(F.col("total") > MEMBERS).select("key", "node")
     if not large.isEmpty():
         # Buckets of pairs that share two bands; those of one component need no comparison.
         finer = large.withColumnRenamed("key", "outer").join(buckets, "node").where("key <> outer")
         finer = finer.select(F.xxhash64(F.least("key", "outer"), F.greatest("key", "outer")).alias("key"), "node").distinct()
-        small = small.unionByName(_mixed(written(finer, "finer"), labels))
-    rest = written(_across(small, thin, least).join(stars.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti"), "across")
-    if not rest.isEmpty():
-        labels = written(components(links.unionByName(_linked(rest, thin, base, length, least))), "labels")
+        small = mixed.where(F.col("total") <= MEMBERS)
+        mixed = written(small.unionByName(_mixed(written(finer, "finer"), labels)), "mixed")
+    refused = spark.createDataFrame([], "a bigint, b bigint")
+    closest = CLOSEST
+    while True:
+        sent = written(_across(mixed, looks, refused, least, closest), "across")
+        pairs = written(sent.select("a", "b").distinct(), "pairs")
+        if pairs.isEmpty():
+            break
+        found = _linked(pairs, held, base, length, least)
+        links = links.unionByName(found)
+        labels = written(components(links), "labels")
+        held_back = sent.where("more").select("key").distinct()
+        if held_back.isEmpty():
+            break
+        failed = pairs.join(found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti")
+        refused = written(refused.unionByName(failed), "refused")
+        mixed = written(_mixed(mixed.join(held_back, "key").select("key", "node"), labels), "mixed")
+        closest *= GROWTH
     # Sets without links are told apart by a second hash as well.
     grouped = texts.select("id", "size", "node", "check").join(labels, "node", "left")
     group = F.struct(F.coalesce("label", "node").alias("label"), F.when(F.col("label").isNull(), F.col("check")).alias("check"))

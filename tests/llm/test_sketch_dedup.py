@@ -39,6 +39,16 @@ def test_chains_and_copies(spark, monkeypatch, seed, members):
     assert run(spark.createDataFrame(rows, SCHEMA).repartition(4)) == plain_groups(rows, 4, 80)
 
 
+def test_pairs_held_back_come_in_later_rounds(spark, monkeypatch):
+    monkeypatch.setattr(sketch_dedup, "CLOSEST", 1)
+    monkeypatch.setattr(sketch_dedup, "GROWTH", 1)
+    monkeypatch.setattr(sketch_dedup, "components", lambda links: near_copies.components(links) if rounds.append(1) is None else None)
+    rounds, dice = [], random.Random(8)
+    base = [f"w{i}" for i in range(100)]
+    rows = [(i, " ".join(f"e{dice.randint(0, 99)}" if dice.random() < 0.02 else w for w in base)) for i in range(60)]
+    assert run(spark.createDataFrame(rows, SCHEMA)) == plain_groups(rows, 4, 80) and len(rounds) >= 2
+
+
 def test_one_id_at_several_texts_and_null_ids(spark):
     """The same groups whatever the order of the rows."""
     words = [f"w{i}" for i in range(60)]
