@@ -16,9 +16,14 @@ from kpiweave.session import shared_folder
 BATCH_BYTES = 16 << 20
 
 
+def bounded_batches(spark: SparkSession, most: int = BATCH_BYTES) -> None:
+    """Bounds the Arrow batches of the session's later jobs by bytes, not only by rows."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(most))
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A given table, read by Spark alone; Arrow batches are bounded by bytes, not only by rows."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    """A given table, read by Spark alone; Arrow batches of the session are bounded."""
+    bounded_batches(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 

@@ -10,11 +10,10 @@ once. A block of 2048 symbols begins a new phrase, alike for all languages.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kpiweave.llm.common import slices, whole_text
@@ -26,7 +25,7 @@ SAMPLE_TEXTS, PIECES, PIECE = 96, 6, 64
 #: Symbols of labelled text in a language's automaton.
 SAMPLE_BYTES = 24 << 10
 BLOCK = 2048
-RUN_BYTES = 4 << 20
+RUN_BYTES = 1 << 20
 #: How strongly the confidence follows the surplus of phrases of the other languages.
 SHARPNESS = 10.0
 #: Standard deviations by which phrases must pass what a text in the language has, before they speak against it.
@@ -85,22 +84,22 @@ class Parser:
         self.alphabet = bytes(known)
         self.kind_of = np.full(256, len(known), np.uint8)
         self.kind_of[known] = np.arange(len(known))
-        width, tables, self.roots, at = len(known) + 1, [], [], 0
-        for _, text in samples:
-            moves = suffix_automaton(text)
-            row = np.full(width, at * 4 + 1, np.int64)  # from the start, unknown symbol
+        width = len(known) + 1
+        automata = [suffix_automaton(text) for _, text in samples]
+        self.roots = (np.cumsum([0, *map(len, automata)])[:-1] * width).tolist()
+        size = sum(map(len, automata)) * width
+        # One array, filled in place: no second copy of it stands beside it.
+        self.step = np.empty(size, np.int32 if size < 1 << 29 else np.int64)
+        for at, moves in zip(self.roots, automata, strict=True):
+            grid = self.step[at : at + len(moves) * width].reshape(-1, width)
+            grid[0] = at * 4 + 1  # from the start, unknown symbol
             for byte, to in moves[0].items():
-                row[self.kind_of[byte]] = (at + to * width) * 4
-            grid = np.tile(row + 1, (len(moves), 1))
-            grid[0] = row
+                grid[0, self.kind_of[byte]] = (at + to * width) * 4
+            grid[1:] = grid[0] + 1
             for state, ways in enumerate(moves):
                 if state:
                     for byte, to in ways.items():
                         grid[state, self.kind_of[byte]] = (at + to * width) * 4
-            tables.append(grid.reshape(-1))
-            self.roots.append(at)
-            at += grid.size
-        self.step = np.concatenate(tables).astype(np.int32 if at < 1 << 29 else np.int64)
         # Phrases for each symbol where a language's own symbols stand in random order; 0 where there are none.
         dice = np.random.default_rng(0)
         mixed = [bytes(dice.permutation(np.frombuffer(text, np.uint8))) for _, text in samples]
@@ -149,12 +148,6 @@ class Parser:
         return ~ruled_out.all(axis=1) & (2 * lacking < sizes)
 
 
-@lru_cache(maxsize=2)
-def parser_of(samples: tuple[tuple[str, bytes], ...]) -> Parser:
-    """The parser, built once for each worker process."""
-    return Parser(samples)
-
-
 def samples_of(docs: DataFrame, text: str, lang: str, doc_id: str) -> tuple[tuple[str, bytes], ...]:
     """At most SAMPLE_BYTES symbols for each language, from SAMPLE_TEXTS texts with the least hashes.
 
@@ -174,12 +167,17 @@ def samples_of(docs: DataFrame, text: str, lang: str, doc_id: str) -> tuple[tupl
     return tuple((name, b" ".join(t)[:SAMPLE_BYTES]) for name, t in sorted(texts.items()))
 
 
-def predictor(samples: tuple[tuple[str, bytes], ...]):
-    """A column function: text to the language, a confidence from 0 to 1, and whether any language is not ruled out."""
+def predictor(spark: SparkSession, samples: tuple[tuple[str, bytes], ...]):
+    """A column function: text to the language, a confidence from 0 to 1, and whether any language is not ruled out.
+
+    The parser is built once, on the driver, and sent as a broadcast of bounded size: about 5 MB a language
+    (two states for each of SAMPLE_BYTES symbols, four bytes for each symbol of the alphabet).
+    """
+    sent = spark.sparkContext.broadcast(Parser(samples) if samples else None)
 
     @F.arrow_udf(RESULT)
     def predict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        parser = parser_of(samples) if samples else None
+        parser = sent.value
         for batch in batches:
             names, scores, known = [], [], []
             for run in slices(batch, RUN_BYTES):
@@ -210,4 +208,4 @@ def identify(docs: DataFrame, learn_from: DataFrame, text: str = "text", lang: s
     no row is labelled. ``known`` is false too where the text speaks against every learned language.
     Ties go to the smaller name; repeated rows get the same answer. Further columns stay; one named as the result is replaced.
     """
-    return docs.withColumn(result, predictor(samples_of(learn_from, text, lang, doc_id))(whole_text(text)))
+    return docs.withColumn(result, predictor(docs.sparkSession, samples_of(learn_from, text, lang, doc_id))(whole_text(text)))

@@ -29,8 +29,10 @@ from pyspark.sql import types as T
 from kpiweave.llm.common import slices, whole_text, written
 
 RUN_BYTES = 2 << 20
-#: Hashes of words that a task keeps.
-TABLE_ROWS = 500_000
+#: Bytes of the words that a task keeps with their hashes, about; bytes of a word that is kept; bytes of an entry beside it.
+TABLE_BYTES, KEPT_BYTES, ENTRY_BYTES = 32 << 20, 200, 170
+#: Sets that a task knows as sent.
+SEEN_ROWS = 200_000
 #: Entries of the index that a task groups at once, about; links that one task compares with one set.
 PART_ENTRIES, DEGREE = 2_000_000, 400
 #: Share of shingles that unrelated texts are taken to have in common; an estimate for costs only.
@@ -52,12 +54,18 @@ def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
 
 
 class Words(dict):
-    """Hashes of words, each computed once while the table is kept."""
+    """Hashes of words, each computed once while the table is kept; long words are not kept."""
+
+    held = 0
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > TABLE_ROWS:
-            self.clear()
-        self[word] = value = xxhash.xxh3_64_intdigest(word)
+        value = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= KEPT_BYTES:
+            if self.held > TABLE_BYTES:
+                self.clear()
+                self.held = 0
+            self.held += ENTRY_BYTES + len(word)
+            self[word] = value
         return value
 
 
@@ -184,8 +192,8 @@ def linked(a: np.ndarray, b: np.ndarray, least: int) -> bool:
 
 
 def _texts(docs: DataFrame, length: int) -> DataFrame:
-    """(id, size, node, check, sketch) of each text: its set's size, two hashes and bit sketch."""
-    fields = (("size", T.LongType()), ("node", T.LongType()), ("check", T.LongType()), ("sketch", T.BinaryType()))
+    """(id, said, size, node, check, sketch) of each text: its own hash, its set's size, two hashes and bit sketch."""
+    fields = (("said", T.LongType()), ("size", T.LongType()), ("node", T.LongType()), ("check", T.LongType()), ("sketch", T.BinaryType()))
     schema = T.StructType([T.StructField("id", docs.schema["id"].dataType), *(T.StructField(n, k) for n, k in fields)])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,6 +205,7 @@ def _texts(docs: DataFrame, length: int) -> DataFrame:
                 sums = [[int(mix(x, salt).sum(dtype=np.uint64)) for x in sets] for salt in (5, 6)]
                 columns = [
                     batch.column("id").slice(at, len(sets)),
+                    batch.column("said").slice(at, len(sets)),
                     pa.array([len(x) for x in sets], pa.int64()),
                     *[pa.array(np.array(x, np.uint64).view(np.int64)) for x in sums],
                     pa.array([sketch(x) for x in sets], pa.binary()),
@@ -204,7 +213,7 @@ def _texts(docs: DataFrame, length: int) -> DataFrame:
                 at += len(sets)
                 yield pa.RecordBatch.from_arrays(columns, schema.names)
 
-    return docs.mapInArrow(scan, schema)
+    return docs.select("id", "said", "text").mapInArrow(scan, schema)
 
 
 def _index(docs: DataFrame, bands: Bands, length: int, parts: int) -> DataFrame:
@@ -223,7 +232,7 @@ def _index(docs: DataFrame, bands: Bands, length: int, parts: int) -> DataFrame:
                     values = mix(tokens, 5)
                     node = int(values.sum(dtype=np.uint64))
                     if len(tokens) and node not in seen:
-                        if len(seen) > TABLE_ROWS:
+                        if len(seen) > SEEN_ROWS:
                             seen.clear()
                         seen.add(node)
                         keys.append(bands.keys(tokens, values))
@@ -279,9 +288,10 @@ def _possible(pairs: DataFrame, nodes: DataFrame, least: int) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, firsts: DataFrame, docs: DataFrame, length: int, least: int) -> DataFrame:
-    """Those of the pairs (a, b) of nodes whose sets are linked; ``firsts`` (node, id): a text of each node.
+    """Those of the pairs (a, b) of nodes whose sets are linked; ``firsts`` (node, said): the hash of a text of each node.
 
-    The sets are computed again from the texts, of those nodes alone. All sets to be compared with b
+    The sets are computed again from the texts, of those nodes alone. Texts are told by their hashes, never
+    by ids, and a set counts as the node that it has by itself. All sets to be compared with b
     meet in a task, or in several for a much compared b, each with its own copy of b's set.
     """
     degree = pairs.groupBy("b").agg(F.ceil(F.count("*") / DEGREE).cast("int").alias("salts"))
@@ -289,29 +299,38 @@ def _verified(pairs: DataFrame, firsts: DataFrame, docs: DataFrame, length: int,
     members = pairs.join(degree, "b").select(F.col("a").alias("node"), to.alias("to"))
     centre = F.struct("b", F.col("salt").cast("int").alias("salt"), F.lit(True).alias("is_b"))
     centres = degree.select("b", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")).select(F.col("b").alias("node"), centre.alias("to"))
-    targets = written(members.unionByName(centres).join(firsts, "node").select("id", "node", "to"), "targets")
+    targets = written(members.unionByName(centres).join(firsts, "node").select("said", "node", "to"), "targets")
 
     # A bitmap of fixed size tells most texts apart that are not needed; it may let others through.
-    hashed = F.pmod(F.xxhash64("id"), F.lit(1 << BITMAP_BITS))
-    bits = targets.select((hashed / 64).cast("int").alias("slot"), F.expr("shiftleft(1L, cast(pmod(xxhash64(id), 64) as int))").alias("bit"))
+    hashed = F.pmod("said", F.lit(1 << BITMAP_BITS))
+    bits = targets.select((hashed / 64).cast("int").alias("slot"), F.expr("shiftleft(1L, cast(pmod(said, 64) as int))").alias("bit"))
     slots = bits.groupBy("slot").agg(F.expr("bit_or(bit)").alias("bits")).toArrow()
     table = np.zeros(1 << (BITMAP_BITS - 6), np.int64)
     table[slots.column("slot").to_numpy()] = slots.column("bits").to_numpy()
     bitmap = docs.sparkSession.sparkContext.broadcast(table)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words()
+        words, seen = Words(), set()
         for batch in batches:
             h = batch.column("h").to_numpy()
             mine = (bitmap.value[h >> 6] >> (h & 63)) & 1 == 1
-            kept = batch.filter(pa.array(mine))
-            for row in kept.select(["id", "text"]).to_pylist():
-                tokens = shingles((row["text"] or "").encode(), words, length)
-                yield pa.RecordBatch.from_pydict({"id": pa.array([row["id"]], batch.column("id").type), "set": pa.array([tokens.tobytes()], pa.binary())})
+            for run in slices(batch.filter(pa.array(mine)).column("text"), RUN_BYTES):
+                nodes, found = [], []
+                for text in run.to_pylist():
+                    tokens = shingles(text or b"", words, length)
+                    node = mix(tokens, 5).sum(dtype=np.uint64).view(np.int64).item()
+                    # Copies within the task are sent once.
+                    if len(tokens) and node not in seen:
+                        if len(seen) > SEEN_ROWS:
+                            seen.clear()
+                        seen.add(node)
+                        nodes.append(node)
+                        found.append(tokens.tobytes())
+                if nodes:
+                    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(found, pa.binary())], ["node", "set"])
 
-    schema = T.StructType([T.StructField("id", docs.schema["id"].dataType), T.StructField("set", T.BinaryType())])
-    found = docs.select("id", "text", hashed.alias("h")).mapInArrow(sets, schema)
-    rows = found.join(targets, "id").select("node", "to.*", "set").dropDuplicates(["node", "b", "salt", "is_b"])
+    found = docs.select("text", hashed.alias("h")).mapInArrow(sets, "node bigint, set binary")
+    rows = found.join(targets.select("node", "to"), "node").select("node", "to.*", "set").dropDuplicates(["node", "b", "salt", "is_b"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, centre = None, None
@@ -410,16 +429,10 @@ def _across(buckets: DataFrame, labels: DataFrame, nodes: DataFrame, least: int)
     return members.groupBy("key", "one", "other").applyInArrow(pairs, "a bigint, b bigint").distinct()
 
 
-def find_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = 5, least: int = 80) -> DataFrame:
-    """One row for each document: its id, ``n_shingles`` and ``component_id``, the least id reachable by links.
-
-    Two texts link if 100 * |common shingles| >= ``least`` * |all shingles|. A-Z are lowered; words are
-    what ASCII white space parts. Fewer than ``length`` words are one shingle. Null, empty and wordless
-    texts link with nothing and keep their own id. Repeated rows and equal sets are one class from the
-    start. Further columns are left out; an empty table gives an empty table.
-    """
+def _groups(docs: DataFrame, doc_id: str, text: str, length: int, least: int) -> DataFrame:
+    """(id, said, size, component_id, kept) of each row: ``said`` is its text's hash, ``kept`` marks its group's first (id, said)."""
     spark = docs.sparkSession
-    base = docs.select(F.col(doc_id).alias("id"), whole_text(text).alias("text"))
+    base = docs.select(F.col(doc_id).alias("id"), whole_text(text).alias("text")).withColumn("said", F.xxhash64("text"))
     probe = Bands(least)
     # Texts by size band as their characters suggest; for the choice of segments only.
     guess = F.floor(F.log(F.greatest(F.lit(1.0), F.char_length("text") / 6)) * 10).cast("int").alias("g")
@@ -435,14 +448,14 @@ def find_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", len
     packed = _index(base, Bands(least, counts), length, parts).repartition(parts, "part")
     buckets = written(_buckets(packed), "buckets")
     popular = buckets.groupBy("node").agg(F.sum("size").alias("weight"))
-    classes = texts.where("size > 0").groupBy("node").agg(F.min("id").alias("id"), F.min("size").alias("size"), F.min("sketch").alias("sketch"))
+    classes = texts.where("size > 0").groupBy("node").agg(F.min("said").alias("said"), F.min("size").alias("size"), F.min("sketch").alias("sketch"))
     held = written(popular.join(classes, "node"), "held")
     weighed = buckets.select("key", "node").join(held.select("node", "weight"), "node")
     centre = weighed.groupBy("key").agg(F.max(F.struct("weight", "node")).alias("c")).select("key", F.col("c.node").alias("centre"))
     stars = buckets.select("key", "node").join(centre, "key").where("node <> centre")
     stars = stars.select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct()
     stars = written(_possible(stars, held.select("node", "size", "sketch"), least), "stars")
-    firsts = held.select("node", "id")
+    firsts = held.select("node", "said")
     links = _verified(stars, firsts, base, length, least)
     labels = components(links)
     seen = stars.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
@@ -451,27 +464,43 @@ def find_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", len
         labels = components(links.unionByName(_verified(rest, firsts, base, length, least)))
     # Sets without links are told apart by a second hash as well.
     grouped = texts.join(labels, "node", "left").withColumn("class", F.struct(F.coalesce("label", "node"), F.when(F.col("label").isNull(), F.col("check"))))
-    grouped = grouped.select("id", "size", F.xxhash64("class").alias("spread"), "class")
-    least_id = grouped.where("size > 0").groupBy("class").agg(F.min("id").alias("least_id"))
-    out = grouped.join(least_id, "class", "left")
-    return out.select(
-        F.col("id").alias(doc_id),
-        F.col("size").alias("n_shingles"),
-        F.when(F.col("size") > 0, F.col("least_id")).otherwise(F.col("id")).alias("component_id"),
-    )
+    grouped = grouped.select("id", "said", "size", F.when(F.col("size") > 0, F.col("class")).alias("class"))
+    # Groups of more than one row are few against the rows: only they are joined.
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "said"))
+    firsts = grouped.where("size > 0").groupBy("class").agg(first.alias("first"), F.count("*").alias("rows")).where("rows > 1")
+    out = grouped.join(written(firsts.select("class", "first"), "firsts"), "class", "left")
+    component = F.when(F.col("first").isNull(), F.col("id")).otherwise(F.col("first.id"))
+    kept = F.col("first").isNull() | (F.col("first.id").eqNullSafe(F.col("id")) & (F.col("first.said") == F.col("said")))
+    return out.select("id", "said", "size", component.alias("component_id"), kept.alias("kept"))
+
+
+def find_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = 5, least: int = 80) -> DataFrame:
+    """One row for each document: its id, ``n_shingles`` and ``component_id``, the least id reachable by links.
+
+    Two texts link if 100 * |common shingles| >= ``least`` * |all shingles|. A-Z are lowered; words are
+    what ASCII white space parts. Fewer than ``length`` words are one shingle. Null, empty and wordless
+    texts link with nothing and keep their own id. Repeated rows and equal sets are one class from the
+    start. Rows without id link like others and take the least id of their group; where none has one the
+    component is null. Rows that repeat an id at another text each have their own text's links; they do not
+    join their groups. Further columns are left out; an empty table gives an empty table.
+    """
+    found = _groups(docs, doc_id, text, length, least)
+    return found.select(F.col("id").alias(doc_id), F.col("size").alias("n_shingles"), "component_id")
 
 
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = 5, least: int = 80) -> DataFrame:
-    """The rows of ``docs`` whose id is the least of their group, with all their columns.
+    """The first row of each group of ``docs``, the one with the least id, with all its columns.
 
-    Of rows with the same id one stays. A row without id stands behind all others of its group
-    (ids are taken to be below 2 ** 62), by a hash of its text.
+    Of rows with the same id and text one stays; rows with the same id and texts that are not linked all
+    stay, and of linked ones the text with the least hash. A row without id stands behind all others of its
+    group (ids are taken to be below 2 ** 62), by a hash of its text.
     """
-    stand_in = F.lit(1 << 62) + F.expr(f"shiftrightunsigned(xxhash64(coalesce(`{text}`, '')), 2)")
-    keyed = docs.withColumn("__key", F.coalesce(F.col(doc_id).cast("long"), stand_in))
-    groups = written(find_groups(keyed, "__key", text, length, least), "groups")
+    said = F.xxhash64(whole_text(text))
+    stand_in = F.lit(1 << 62) + F.shiftrightunsigned(said, 2)
+    keyed = docs.withColumn("__key", F.coalesce(F.col(doc_id).cast("long"), stand_in)).withColumn("__said", said)
+    groups = written(_groups(keyed, "__key", text, length, least).select(F.col("id").alias("__key"), F.col("said").alias("__said"), "kept"), "groups")
     # The rows that go are few and written, so Spark knows their size and shuffles the texts only if it must.
-    losers = written(groups.where(F.col("__key") != F.col("component_id")).select("__key").distinct(), "losers")
-    rows = keyed.join(losers, "__key", "left_anti")
-    repeated = groups.groupBy("__key").count().where("count > 1")
-    return (rows if repeated.isEmpty() else rows.dropDuplicates(["__key"])).drop("__key")
+    losers = written(groups.where("not kept").select("__key", "__said").distinct(), "losers")
+    rows = keyed.join(losers, ["__key", "__said"], "left_anti")
+    repeated = groups.where("kept").groupBy("__key", "__said").count().where("count > 1")
+    return (rows if repeated.isEmpty() else rows.dropDuplicates(["__key", "__said"])).drop("__key", "__said")

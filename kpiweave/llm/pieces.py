@@ -22,10 +22,12 @@ from pyspark.sql import functions as F
 from kpiweave.llm.common import lists_of, slices, whole_text
 
 MARK = "▁"
-#: Chunks that a task keeps; beyond it the table is emptied and filled anew.
-TABLE_ROWS = 250_000
+#: Bytes of the chunks that a task keeps, about; beyond it the table is emptied and filled anew.
+TABLE_BYTES = 32 << 20
+#: Characters of a chunk that is kept (longer ones hardly come again), and bytes of an entry beside its chunk and ids.
+KEPT_CHARS, ENTRY_BYTES = 200, 200
 #: Bytes of text taken together.
-RUN_BYTES = 2 << 20
+RUN_BYTES = 1 << 20
 CHUNK = re.compile(" +[^ ]*")
 
 
@@ -42,7 +44,7 @@ class ChunkTable:
     """Ids of distinct chunks, as packed 32-bit integers."""
 
     def __init__(self, sp: sentencepiece.SentencePieceProcessor) -> None:
-        self.sp, self.ids, self.whole = sp, {}, not chunkable(sp)
+        self.sp, self.ids, self.held, self.whole = sp, {}, 0, not chunkable(sp)
 
     def chunks(self, text: str) -> list[str]:
         """The chunks of a marked text, each without its first marker."""
@@ -54,21 +56,31 @@ class ChunkTable:
         parts = text.split(" ")
         return [c[1:] for c in CHUNK.findall(" " + text)] if "" in parts else parts
 
-    def learn(self, chunks: set[str]) -> None:
-        """Segment the chunks that the table lacks, in one call of the library."""
-        if len(self.ids) > TABLE_ROWS:
+    def learn(self, chunks: set[str]) -> dict[str, bytes]:
+        """Ids of the chunks; those that the table lacks are segmented in one call of the library."""
+        if self.held > TABLE_BYTES:
             self.ids.clear()
+            self.held = 0
         new = list(chunks.difference(self.ids))
+        long: dict[str, bytes] = {}
         for chunk, ids in zip(new, self.sp.encode(new, num_threads=1), strict=True):
             # A marker alone: the library takes an empty text for no text at all.
             ids = ids if chunk or self.whole else [self.sp.piece_to_id(MARK)]
-            self.ids[chunk] = array("i", ids).tobytes()
+            packed = array("i", ids).tobytes()
+            if len(chunk) > KEPT_CHARS:
+                long[chunk] = packed
+            else:
+                self.ids[chunk] = packed
+                self.held += ENTRY_BYTES + len(chunk) + len(packed)
+        return long
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Packed ids of each text."""
         parts = [self.chunks(t) for t in texts]
-        self.learn(set(chain.from_iterable(parts)))
-        return [b"".join(map(self.ids.__getitem__, p)) for p in parts]
+        long = self.learn(set(chain.from_iterable(parts)))
+        if not long:
+            return [b"".join(map(self.ids.__getitem__, p)) for p in parts]
+        return [b"".join(self.ids[c] if c in self.ids else long[c] for c in p) for p in parts]
 
 
 def encoder(model: bytes):

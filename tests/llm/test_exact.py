@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import array
 import collections
 import hashlib
 import itertools
@@ -301,6 +302,42 @@ def test_groups_of_odd_rows(odd_docs, no_docs):
     assert near_copies.find_groups(no_docs).count() == 0 and near_copies.one_of_each(no_docs).count() == 0
 
 
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_groups_of_equal_ids_at_other_texts_and_of_rows_without_id(spark, seed):
+    """Links come from each row's own text, in any order of the rows."""
+    words = [f"w{i}" for i in range(40)]
+    a, b = " ".join(words), " ".join([*words[:39], "x"])  # 34 of 38 shingles in common
+    c, d, e, f = ("".join(f"{k}{i} " for i in range(12)) for k in "cdef")
+    rows = [(1, a), (1, c), (2, b), (None, d), (None, d), (5, d + " "), (None, e), (None, e), (7, c), (9, f), (9, f)]
+    random.Random(seed).shuffle(rows)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    want = sorted((i is None, i or 0, t, {a: 1, b: 1, c: 1, d: 5, e: None, f: 9}[t.strip() if t.strip() in (a, b) else t.rstrip() + " "]) for i, t in rows)
+    base = near_copies._groups(docs, "doc_id", "text", 5, 80)
+    texts = {spark.createDataFrame([(t,)], "t string").selectExpr("xxhash64(t)").first()[0]: t for _, t in rows}
+    assert sorted((r["id"] is None, r["id"] or 0, texts[r["said"]], r["component_id"]) for r in base.collect()) == want
+    kept = sorted(((r["doc_id"] is None, r["doc_id"] or 0, r["text"]) for r in near_copies.one_of_each(docs).collect()))
+    first = min((1, a), (1, c), key=lambda r: r[1])
+    assert first[0] == 1 and kept == sorted([(False, 1, a), (False, 1, c), (False, 5, d + " "), (True, 0, e), (False, 9, f)])
+
+
+def test_tables_are_bounded_by_bytes():
+    """Texts without spaces are single words and chunks of some KB; they are not kept."""
+    words = near_copies.Words()
+    dice = random.Random(1)
+    texts = ["".join(chr(dice.randint(0x4E00, 0x9FFF)) for _ in range(800)) for _ in range(200)]
+    for t in texts:
+        near_copies.shingles(t.encode(), words, 5)
+    assert not words
+    for i in range(400_000):
+        words[b"%d" % i]
+    assert words.held <= near_copies.TABLE_BYTES + 400 and len(words) * near_copies.ENTRY_BYTES <= near_copies.TABLE_BYTES + 400
+    sp = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    table = pieces.ChunkTable(sp)
+    assert [list(array.array("i", x)) for x in table.encode(texts)] == sp.encode(texts) and not table.ids
+    assert [list(array.array("i", x)) for x in table.encode(["a b " + texts[0] + " b", ""])] == sp.encode(["a b " + texts[0] + " b", ""])
+    assert table.held <= pieces.TABLE_BYTES and set(table.ids) == {"a", "b"}
+
+
 def test_components_of_a_path_and_a_star(spark):
     path = [(i, i + 1) for i in range(0, 60)] + [(100, i) for i in range(101, 150)] + [(7, 7)]
     got = {r["node"]: r["label"] for r in near_copies.components(spark.createDataFrame(path, "a bigint, b bigint")).collect()}
