@@ -7,17 +7,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kpiweave.llm import decontaminate, languages, near_copies, pieces, secrets
-from kpiweave.llm.common import table, written
+from kpiweave.llm.common import bounded_batches, table, written
+
+#: Bytes of an Arrow batch: stages share executors, whose workers keep the memory of the stages before.
+STAGE_BATCH_BYTES = 4 << 20
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without a letter (null and empty ones too) and texts that speak against every learned language go."""
+    bounded_batches(spark, STAGE_BATCH_BYTES)
     found = languages.identify(docs, docs, result="__language")
     return found.where("__language.known").select(*docs.columns)
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of texts linked by alike sets of 5-word shingles (80 percent) the one with the least id stays."""
+    bounded_batches(spark, STAGE_BATCH_BYTES)
     return near_copies.one_of_each(docs, length=5, least=80).select(*docs.columns)
 
 
@@ -28,6 +33,7 @@ def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are replaced by their kinds; ``n_chars`` follows. No row goes."""
+    bounded_batches(spark, STAGE_BATCH_BYTES)
     found = secrets.find_secrets(docs, spans="__spans")
     found = found.withColumn("text", secrets.masked(F.col("text"), F.col("__spans")))
     changed = F.when(F.size("__spans") > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
@@ -36,6 +42,7 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of each text, their number, and whether they decode to the text."""
+    bounded_batches(spark, STAGE_BATCH_BYTES)
     model = public_tokenizers.path("piece_bpe_32k.model")
     decoded = pieces.decode_ids(pieces.encode_texts(docs, model), model)
     same = F.col("decoded") == F.coalesce("text", F.lit(""))
