@@ -34,19 +34,16 @@ def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are replaced by their kinds; ``n_chars`` follows. No row goes."""
     bounded_batches(spark, STAGE_BATCH_BYTES)
-    found = secrets.find_secrets(docs, spans="__spans")
-    found = found.withColumn("text", secrets.masked(F.col("text"), F.col("__spans")))
-    changed = F.when(F.size("__spans") > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    found = secrets.mask_secrets(docs, changed="__changed")
+    changed = F.when(F.col("__changed"), F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
     return found.withColumn("n_chars", changed).select(*docs.columns)
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of each text, their number, and whether they decode to the text."""
     bounded_batches(spark, STAGE_BATCH_BYTES)
-    model = public_tokenizers.path("piece_bpe_32k.model")
-    decoded = pieces.decode_ids(pieces.encode_texts(docs, model), model)
-    same = F.col("decoded") == F.coalesce("text", F.lit(""))
-    return decoded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", same.alias("round_trip"))
+    found = pieces.encode_checked(docs, public_tokenizers.path("piece_bpe_32k.model"), same="round_trip")
+    return found.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", "round_trip")
 
 
 STAGES = [

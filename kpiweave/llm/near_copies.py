@@ -33,8 +33,8 @@ RUN_BYTES = 2 << 20
 TABLE_BYTES, KEPT_BYTES, ENTRY_BYTES = 32 << 20, 200, 170
 #: Sets that a task knows as sent.
 SEEN_ROWS = 200_000
-#: Entries of the index that a task groups at once, about; links that one task compares with one set.
-PART_ENTRIES, DEGREE = 2_000_000, 400
+#: Entries of the index that a task has, and that it sorts at once, about; links that one task compares with one set.
+PART_ENTRIES, SORTED_ENTRIES, DEGREE = 2_000_000, 400_000, 400
 #: Share of shingles that unrelated texts are taken to have in common; an estimate for costs only.
 COMMON = 0.2
 #: Members of a bucket that are compared in a task; larger buckets are cut into blocks of about so many.
@@ -248,26 +248,26 @@ def _buckets(packed: DataFrame) -> DataFrame:
     """(key, node, size) of the buckets that hold different sets."""
 
     def group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [unpacked(x) for b in batches for x in b.column("entries").to_pylist()]
-        if not parts:
-            return
-        rows = np.concatenate(parts)
-        parts.clear()
-        rows = rows[np.argsort(rows[:, 0], kind="stable")]
-        twin = rows[1:, 0] == rows[:-1, 0]  # most keys stand alone: drop them before the finer sort
-        rows = rows[np.concatenate([[False], twin]) | np.concatenate([twin, [False]])]
-        rows = np.unique(rows, axis=0)
-        if not len(rows):
-            return
-        first = np.flatnonzero(np.concatenate([[True], rows[1:, 0] != rows[:-1, 0]]))
-        count = np.diff(np.append(first, len(rows)))
-        size = np.repeat(count, count)
-        rows, size = rows[size > 1].view(np.int64), size[size > 1]
-        for at in range(0, len(rows), 100_000):
-            part = rows[at : at + 100_000]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(part[:, 0]), pa.array(part[:, 1]), pa.array(size[at : at + 100_000].astype(np.int64))], ["key", "node", "size"]
-            )
+        held = [np.concatenate([unpacked(x) for x in b.column("entries").to_pylist()]) for b in batches if len(b)]
+        # Sorting takes several copies of the rows: some keys at a time, which share their remainder.
+        turns = np.uint64(max(1, -(-sum(map(len, held)) // SORTED_ENTRIES)))
+        for turn in range(int(turns) if held else 0):
+            rows = np.concatenate([x[x[:, 0] % turns == turn] for x in held])
+            rows = rows[np.argsort(rows[:, 0], kind="stable")]
+            twin = rows[1:, 0] == rows[:-1, 0]  # most keys stand alone: drop them before the finer sort
+            rows = rows[np.concatenate([[False], twin]) | np.concatenate([twin, [False]])] if len(rows) else rows
+            rows = np.unique(rows, axis=0)
+            if not len(rows):
+                continue
+            first = np.flatnonzero(np.concatenate([[True], rows[1:, 0] != rows[:-1, 0]]))
+            count = np.diff(np.append(first, len(rows)))
+            size = np.repeat(count, count)
+            rows, size = rows[size > 1].view(np.int64), size[size > 1]
+            for at in range(0, len(rows), 100_000):
+                part = rows[at : at + 100_000]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(part[:, 0]), pa.array(part[:, 1]), pa.array(size[at : at + 100_000].astype(np.int64))], ["key", "node", "size"]
+                )
 
     return packed.mapInArrow(group, "key bigint, node bigint, size bigint")
 

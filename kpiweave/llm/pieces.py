@@ -108,6 +108,25 @@ def decoder(model: bytes):
     return decode
 
 
+def checked_encoder(model: bytes):
+    """A column function: text to its ids and whether the library decodes them to the text; null is the empty text."""
+
+    @F.arrow_udf("ids array<int>, same boolean")
+    def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        sp = sentencepiece.SentencePieceProcessor(model_proto=model)
+        table = ChunkTable(sp)
+        for batch in batches:
+            packed, same = [], []
+            for run in slices(batch, RUN_BYTES):
+                texts = [(t or b"").decode() for t in run.to_pylist()]
+                found = table.encode(texts)
+                packed += found
+                same += [(sp.decode(array("i", ids).tolist()) if ids else "") == t for t, ids in zip(texts, found, strict=True)]
+            yield pa.StructArray.from_arrays([lists_of(packed), pa.array(same, pa.bool_())], ["ids", "same"])
+
+    return encode
+
+
 def model_bytes(path: str) -> bytes:
     """The vocabulary file as the driver has it; tasks get its bytes (under a megabyte)."""
     with open(path, "rb") as f:
@@ -128,6 +147,15 @@ def decode_ids(docs: DataFrame, model_path: str, ids: str = "ids", text: str = "
     return docs.withColumn(text, decoder(model_bytes(model_path))(F.col(ids)))
 
 
+def encode_checked(docs: DataFrame, model_path: str, text: str = "text", ids: str = "ids", same: str = "same") -> DataFrame:
+    """``docs`` with ``encode(text)`` of the library and whether ``decode`` of it is the text, in one pass.
+
+    As ``encode_texts`` and ``decode_ids``, but ids and decoded texts do not go to a second Python worker.
+    """
+    found = docs.withColumn("__found", checked_encoder(model_bytes(model_path))(whole_text(text)))
+    return found.withColumn(ids, F.col("__found.ids")).withColumn(same, F.col("__found.same")).drop("__found")
+
+
 def ids_digest(ids: Column) -> Column:
     """SHA-256 of the decimal ids, comma-joined."""
     return F.sha2(F.array_join(ids.cast("array<string>"), ","), 256)

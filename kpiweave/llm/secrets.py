@@ -140,6 +140,16 @@ def find_secrets(docs: DataFrame, text: str = "text", spans: str = "spans", rule
     return docs.withColumn(spans, F.coalesce(scanner_of(rules)(whole_text(text)), F.coalesce(none, F.array().cast(SPANS))))
 
 
+def with_kinds(text: str, spans: list[tuple[str, int, int]]) -> str:
+    """The text with each span replaced by its kind in brackets; spans that overlap become one."""
+    parts, behind = [], 0
+    for kind, start, end in sorted(spans, key=lambda s: (s[1], -s[2])):
+        if start >= behind:
+            parts += [text[behind:start], f"[{kind}]"]
+        behind = max(behind, end)
+    return "".join([*parts, text[behind:]])
+
+
 def masked(text: Column, spans: Column) -> Column:
     """The text with each span replaced by its kind in brackets; spans that overlap become one."""
 
@@ -147,19 +157,33 @@ def masked(text: Column, spans: Column) -> Column:
     def mask(texts: pa.Array, found: pa.Array) -> pa.Array:
         out = []
         for t, rows in zip(texts.to_pylist(), found.to_pylist(), strict=True):
-            if t is not None and rows:
-                parts, behind = [], 0
-                for row in sorted(rows, key=lambda r: (r["start"], -r["end"])):
-                    if row["start"] >= behind:
-                        parts += [t[behind : row["start"]], f"[{row['kind']}]"]
-                    behind = max(behind, row["end"])
-                t = "".join([*parts, t[behind:]])
-            out.append(t)
+            out.append(with_kinds(t, [(r["kind"], r["start"], r["end"]) for r in rows]) if t is not None and rows else t)
         return pa.array(out, pa.string())
 
     return mask(text, spans)
 
 
+def mask_secrets(docs: DataFrame, text: str = "text", changed: str = "changed", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """``docs`` with ``text`` masked as by ``masked``, and whether it has a secret; found and masked in one pass.
+
+    Only changed texts come back from the Python worker, of which a task needs one. Null texts stay null.
+    """
+    scan = Scan(rules)
+
+    @F.arrow_udf("string")
+    def mask(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            out: list[str | None] = []
+            for run in slices(batch, RUN_BYTES):
+                texts = [t or b"" for t in run.to_pylist()]
+                found = scan.texts(texts)
+                out += [with_kinds(t.decode(), found[i]) if i in found else None for i, t in enumerate(texts)]
+            yield pa.array(out, pa.string())
+
+    found = docs.withColumn("__masked", mask(whole_text(text))).withColumn(changed, F.col("__masked").isNotNull())
+    return found.withColumn(text, F.coalesce("__masked", text)).drop("__masked")
+
+
 def spelled(spans: Column) -> Column:
     """kind:start:end of the spans, comma-joined in their order."""
     return F.array_join(

@@ -10,7 +10,7 @@ import sentencepiece
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from kpiweave.llm import decontaminate
+from kpiweave.llm import decontaminate, near_copies, pieces, secrets
 from tests.llm.test_exact import plain_groups, plain_hits, plain_spans
 
 
@@ -65,3 +65,39 @@ def test_stages_on_odd_rows(spark, odd_docs, data):
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, data).count() >= 0
         assert stage(spark, docs.where("false"), data).count() == 0
+
+
+def test_one_python_worker_a_task(spark, data):
+    """Idle workers keep their memory, so a task of the last two stages starts one, not two."""
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    for stage in (corpus_pipeline.mask_secrets, corpus_pipeline.encode_pieces):
+        plan = stage(spark, docs, data)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("ArrowEvalPython") == 1
+
+
+def test_one_pass_like_two(odd_docs):
+    key = "password = 'abcdefgh12' token: zyxwvu9876 "
+    docs = odd_docs.withColumn("text", F.when(F.col("key") % 2 == 0, F.concat(F.lit("é "), F.lit(key), "text", F.lit(key))).otherwise(F.col("text")))
+    rows = lambda df: sorted(map(str, df.collect()))
+    found = secrets.find_secrets(docs, spans="spans")
+    two = found.select("doc_id", secrets.masked(F.col("text"), F.col("spans")).alias("text"), (F.size("spans") > 0).alias("changed"))
+    one = secrets.mask_secrets(docs).select("doc_id", "text", "changed")
+    assert rows(one) == rows(two) and one.where("changed").count() > 3
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    docs = docs.withColumn("text", F.when(F.col("key") == 3, F.lit("ﬁ ① \u2581 x\u0000")).otherwise(F.col("text")))
+    decoded = pieces.decode_ids(pieces.encode_texts(docs, model), model)
+    two = decoded.select("doc_id", "ids", (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("same"))
+    assert rows(pieces.encode_checked(docs, model).select("doc_id", "ids", "same")) == rows(two)
+
+
+def test_buckets_in_turns(spark, data, monkeypatch):
+    docs = spark.read.parquet(f"{data}/documents.parquet").select("text")
+
+    def found():
+        packed = near_copies._index(docs, near_copies.Bands(80, {}), 5, 3).repartition(3, "part")
+        return sorted(map(tuple, near_copies._buckets(packed).collect()))
+
+    whole = found()
+    assert whole and all(n > 1 for _, _, n in whole)
+    monkeypatch.setattr(near_copies, "SORTED_ENTRIES", 1000)
+    assert found() == whole
