@@ -31,6 +31,8 @@ from kpiweave.llm.common import slices, whole_text, written
 
 DEPTH, END_BYTE = 4, 255
 BLOCK_BYTES = 6 << 20
+#: Bits of a gram's place in a block, beside the 40 of the gram.
+PLACE_BITS = 23
 #: Bytes of text for each item of a block's list, about, and items that a part has, about.
 BYTES_PER_ITEM, PART_ITEMS = 30, 1_500_000
 WORDS, GRAMS = 0, 1
@@ -186,7 +188,33 @@ def grams_of(texts: list[bytes]) -> np.ndarray:
     return codes[real]
 
 
-def word_parts(words: Counter, parts: int) -> list[list[bytes]]:
+def ranked(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different codes (of 40 bits), sorted, and the place of each code among them; ``codes`` is overwritten."""
+    if len(codes) <= 1 << PLACE_BITS:  # code and place in one number: sorted faster than an order is found
+        codes <<= np.uint64(PLACE_BITS)
+        codes |= np.arange(len(codes), dtype=np.uint64)
+        codes.sort()
+        at = (codes & np.uint64((1 << PLACE_BITS) - 1)).astype(np.int32)
+        codes >>= np.uint64(PLACE_BITS)
+    else:
+        at = np.argsort(codes)
+        codes = codes[at]
+    first = np.concatenate([np.ones(min(1, len(codes)), bool), codes[1:] != codes[:-1]])
+    rank = np.empty(len(codes), np.int32)
+    rank[at] = np.cumsum(first, dtype=np.int32) - 1
+    return codes[first], rank
+
+
+def counted(codes: np.ndarray, learned: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different codes, sorted, and how many of each are learned from; ``codes`` is overwritten."""
+    codes <<= np.uint64(1)
+    codes |= learned.astype(np.uint64)
+    codes.sort()
+    first = np.flatnonzero(np.concatenate([np.ones(min(1, len(codes)), bool), codes[1:] >> np.uint64(1) != codes[:-1] >> np.uint64(1)]))
+    return codes[first] >> np.uint64(1), np.add.reduceat((codes & np.uint64(1)).astype(np.int64), first)
+
+
+def word_parts(words: set[bytes], parts: int) -> list[list[bytes]]:
     out: list[list[bytes]] = [[] for _ in range(parts)]
     for word in sorted(words):
         out[zlib.crc32(word) % parts].append(word)
@@ -200,28 +228,25 @@ def gram_parts(grams: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
     return order, np.searchsorted(part[order], np.arange(parts + 1, dtype=np.uint64))
 
 
-def block_lists(data: bytes) -> tuple[pa.Table, list[bytes], np.ndarray, list[list[bytes]], Counter, np.ndarray]:
-    """The rows of a block, its texts, training flags, words of each text, counts of words and sorted different grams."""
+def block_lists(data: bytes) -> tuple[pa.Table, list[bytes], np.ndarray, list[list[bytes]], set[bytes]]:
+    """The rows of a block, its texts, training flags, words of each text and different words."""
     rows = opened_batch(data)
     texts = [(t or "").encode().lower() for t in rows.column("text").to_pylist()]
     words = [t.split() for t in texts]
-    return rows, texts, rows.column("learn").to_numpy(), words, Counter(chain.from_iterable(words)), np.unique(grams_of(texts))
+    return rows, texts, rows.column("learn").to_numpy(), words, set(chain.from_iterable(words))
 
 
 def items_of(blocks: DataFrame, parts: int) -> DataFrame:
     def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, data in zip(batch.column("block").to_pylist(), batch.column("data").to_pylist(), strict=True):
-                _, texts, learn, words, every, grams = block_lists(data)
+                _, texts, learn, words, every = block_lists(data)
                 known = Counter(chain.from_iterable(w for w, yes in zip(words, learn, strict=True) if yes))
                 rows = []
                 for part, mine in enumerate(word_parts(every, parts)):
                     if mine:
                         rows.append((WORDS, part, b"\n".join(mine), np.array([known[w] for w in mine], np.int64).tobytes()))
-                counts = np.zeros(len(grams), np.int64)
-                if learned := [t for t, yes in zip(texts, learn, strict=True) if yes]:
-                    seen, n = np.unique(grams_of(learned), return_counts=True)
-                    counts[np.searchsorted(grams, seen)] = n
+                grams, counts = counted(grams_of(texts), np.repeat(learn, [len(t) + 1 for t in texts]))
                 order, cuts = gram_parts(grams, parts)
                 for part in np.flatnonzero(np.diff(cuts)).tolist():
                     mine = order[cuts[part] : cuts[part + 1]]
@@ -315,7 +340,8 @@ def score(docs: DataFrame, learn: Column, doc_id: str = "doc_id", text: str = "t
     )
 
     def scored(block: pa.Table, found: pa.Table) -> pa.Table:
-        rows, texts, _, words, every, grams = block_lists(block.column("data")[0].as_py())
+        rows, texts, _, words, every = block_lists(block.column("data")[0].as_py())
+        grams, rank = ranked(grams_of(texts))
         chances = np.zeros(len(grams))
         count: dict[bytes, int] = {}
         mine = word_parts(every, parts)
@@ -330,7 +356,7 @@ def score(docs: DataFrame, learn: Column, doc_id: str = "doc_id", text: str = "t
         total, at = np.zeros(len(texts)), 0
         while at < len(texts):  # some texts at a time
             to = max(at + 1, int(np.searchsorted(first, first[at] + (1 << 20))))
-            each = chances[np.searchsorted(grams, grams_of(texts[at:to]))]
+            each = chances[rank[first[at] : first[to - 1] + sizes[to - 1]]]
             total[at:to] = np.add.reduceat(each, first[at:to] - first[at])
             at = to
         known, plain = [], []

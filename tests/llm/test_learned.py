@@ -6,6 +6,7 @@ import collections
 import math
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from kpiweave.llm import context_tree, languages, quality, queries
@@ -148,3 +149,18 @@ def test_scores_against_a_plain_tree(odd_docs, no_docs):
     assert context_tree.score(no_docs, learn).count() == 0
     untrained = context_tree.score(docs.where("doc_id = 0"), F.lit(False)).collect()
     assert untrained[0]["score"] == 8 * math.log10(0.5) and untrained[0]["n_known"] == 0
+
+
+@pytest.mark.parametrize("bits", [23, 3])
+def test_grams_are_sorted_once(monkeypatch, bits):
+    """Ranks and training counts of a block come from one sort each, also where places need more bits than are left."""
+    monkeypatch.setattr(context_tree, "PLACE_BITS", bits)
+    dice = np.random.default_rng(bits)
+    for n in (1, 2, 8, 9, 1000):
+        codes = dice.integers(0, 1 << 40, max(1, n // 3)).astype(np.uint64)[dice.integers(0, max(1, n // 3), n)]
+        learned = dice.random(n) < 0.5
+        want, rank = np.unique(codes, return_inverse=True)
+        grams, counts = context_tree.counted(codes.copy(), learned)
+        assert grams.tolist() == want.tolist() and counts.tolist() == np.bincount(rank, learned, len(want)).tolist()
+        grams, found = context_tree.ranked(codes.copy())
+        assert grams.tolist() == want.tolist() and found.tolist() == rank.tolist()
