@@ -20,6 +20,7 @@ import uuid
 import zlib
 from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import chain, pairwise
 
 import numpy as np
@@ -39,7 +40,7 @@ CHECKED = 0x80  # descriptor: entries have checksums
 #: Plain bytes from which a frame is closed, text bytes of a file, and the id that ends a document.
 FRAME_BYTES, FILE_BYTES, END_ID = 128 << 10, 24 << 20, 0
 LEVEL = 3
-RUN_BYTES, TABLE_ROWS = 2 << 20, 500_000
+RUN_BYTES, TABLE_ROWS = 2 << 20, 1_000_000
 INDEX = np.dtype([("id", "<i8"), ("known", "u1"), ("frame", "<u4"), ("at", "<u4"), ("count", "<u8")])
 #: How a vocabulary of bytes spells a space, and the parts that are encoded in one text.
 SPACE, TOGETHER = "Ġ", 1000
@@ -126,6 +127,12 @@ class PieceTable:
         return b"".join(self._packed([start, *(" " + p for p in rest)]))
 
 
+@lru_cache(maxsize=1)
+def kept_table(tokenizer: str, kind: str, literal: bool) -> PieceTable:
+    """The table of a worker process, kept for its later tasks: their files share most parts."""
+    return PieceTable(tokenizer, kind, literal)
+
+
 class Writer:
     """Writes one file."""
 
@@ -223,7 +230,7 @@ def write_files(docs: DataFrame, tokenizer_path: str, folder: str, doc_id: str =
             ids, at = batch.column("id").to_pylist(), 0
             for run in slices(batch.column("text"), RUN_BYTES):
                 if writer is None:
-                    table = PieceTable(shipped.value, kind, literal=False)
+                    table = kept_table(shipped.value, kind, False)
                     store, path = opened(folder)
                     store.create_dir(path, recursive=True)
                     attempt = f"{path}/.{target}-{uuid.uuid4().hex}"

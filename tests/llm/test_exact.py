@@ -102,6 +102,18 @@ def test_token_parts_like_the_library():
     assert [np.frombuffer(x, "<u2").tolist() for x in table.encode(texts)] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_a_worker_keeps_its_table(monkeypatch):
+    monkeypatch.setattr(token_files, "TABLE_ROWS", 40)
+    tokenizer = Tokenizer.from_file(BYTES)
+    dice = random.Random(4)
+    for _ in range(4):  # files of one worker, with words that come again and a table that is emptied between
+        texts = [" ".join(dice.choice(["sol", "luna.", "x\ny", "año"]) + str(dice.randint(0, 20)) for _ in range(30)) for _ in range(5)]
+        table = token_files.kept_table("".join(list(tokenizer.to_str())), "H", False)
+        assert table is token_files.kept_table(tokenizer.to_str(), "H", False)
+        assert [np.frombuffer(x, "<u2").tolist() for x in table.encode(texts)] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+        assert table.after
+
+
 def test_added_tokens_like_the_library(spark, tmp_path):
     tokenizer = Tokenizer.from_file(BYTES)
     dice = random.Random(3)
