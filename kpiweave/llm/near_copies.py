@@ -7,6 +7,11 @@ d also allow for one difference: sets are indexed there by their shingles in the
 and with each one left out. If m + d > D, linked sets agree in a segment, so none is missed. For
 each band m and d are chosen by an estimate of rows and false candidates.
 
+Such an index takes several times the texts' bytes, so only texts that can have a link are in it.
+Of a text's set, at most ``100 - least`` percent may be missing in a linked one. A census of a part of
+the universe (of small sets: of all of it) finds the shingles that occur in one set only; a set
+with more of them than that has no link and is left out of the index.
+
 Groups of many near copies are not spelled out as pairs. In each bucket every set is compared with
 the bucket's most connected set only; then only pairs of sets that are still in different
 components, and whose bit sketches do not rule a link out, are compared. Comparisons are exact,
@@ -22,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -37,6 +42,10 @@ SEEN_ROWS = 200_000
 PART_ENTRIES, SORTED_ENTRIES, DEGREE = 2_000_000, 400_000, 400
 #: Share of shingles that unrelated texts are taken to have in common; an estimate for costs only.
 COMMON = 0.2
+#: Entries of the index that cost as much as one false meeting, about; an estimate too.
+MEETING = 8
+#: Largest set of which the census takes all shingles; what the shares of larger sets are out of.
+SMALL_SET, SHARES = 160, 4096
 #: Members of a bucket that are compared in a task; larger buckets are cut into blocks of about so many.
 MEMBERS = 8192
 #: Bytes of a key in the index, and texts whose entries are packed together (their places have two bytes).
@@ -121,7 +130,7 @@ class Bands:
             def cost(m: int) -> float:
                 d, load = need - m, 2 * (1 - COMMON) * size / m
                 meet = (m - d) * math.exp(-load) + d * math.exp(-load) * (1 + load)
-                return texts * (m + d * size / m) + texts * texts / 2 * meet
+                return texts * (m + d * size / m) + MEETING * texts * texts / 2 * meet
 
             low = -(-need // 2)
             tried = sorted({low + round(i * (need - low) / 16) for i in range(17)})
@@ -191,6 +200,19 @@ def linked(a: np.ndarray, b: np.ndarray, least: int) -> bool:
     return 100 * both >= least * (len(a) + len(b) - both)
 
 
+def share(least: int) -> int:
+    """Of SHARES parts of the universe, those in which the census counts sets of more than SMALL_SET shingles too.
+
+    Enough to find more than ``100 - least`` percent of a set there where most of its shingles are its own.
+    """
+    return min(SHARES, SHARES // 10 + SHARES * (100 - least) // 80)
+
+
+def shared_part(tokens: np.ndarray, least: int) -> np.ndarray:
+    """Marks the shingles in the part of the universe that is counted for sets of any size."""
+    return tokens % np.uint64(SHARES) < np.uint64(share(least))
+
+
 def _texts(docs: DataFrame, length: int) -> DataFrame:
     """(id, said, size, node, check, sketch) of each text: its own hash, its set's size, two hashes and bit sketch."""
     fields = (("said", T.LongType()), ("size", T.LongType()), ("node", T.LongType()), ("check", T.LongType()), ("sketch", T.BinaryType()))
@@ -216,16 +238,115 @@ def _texts(docs: DataFrame, length: int) -> DataFrame:
     return docs.select("id", "said", "text").mapInArrow(scan, schema)
 
 
-def _index(docs: DataFrame, bands: Bands, length: int, parts: int) -> DataFrame:
-    """Packed rows (part, entries) of the index keys and nodes of all texts; a task packs equal sets once.
+def two_of_each(keys: list[np.ndarray]) -> list[np.ndarray]:
+    """The keys of different sets, but of each key only those of the first two sets that have it."""
+    every = np.concatenate(keys)
+    order = np.argsort(every, kind="stable")
+    third = np.zeros(len(every), bool)
+    third[order[2:]] = every[order[2:]] == every[order[:-2]]
+    ends = np.cumsum([len(k) for k in keys])[:-1]
+    return [k[~t] for k, t in zip(keys, np.split(third, ends), strict=True)]
 
-    They go straight into the shuffle, as they are the bulk of what is kept on disk.
+
+def _census(docs: DataFrame, length: int, least: int, parts: int) -> DataFrame:
+    """Packed rows (part, entries) of the shingles that are counted, and the nodes of their sets.
+
+    Of the sets of a run two entries are enough to show that a shingle is in several: further ones are not
+    sent, so a shingle that all texts have is not many entries in one task.
     """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, seen = Words(), set()
         for batch in batches:
             for run in slices(batch.column("text"), RUN_BYTES):
+                if len(seen) > SEEN_ROWS:  # never within a run: its sets are different
+                    seen.clear()
+                keys, owner = [], []
+                for text in run.to_pylist():
+                    tokens = shingles(text or b"", words, length)
+                    node = int(mix(tokens, 5).sum(dtype=np.uint64))
+                    if len(tokens) and node not in seen:
+                        seen.add(node)
+                        keys.append(tokens if len(tokens) <= SMALL_SET else tokens[shared_part(tokens, least)])
+                        owner.append(node)
+                keys = two_of_each(keys) if keys else keys
+                for at in range(0, len(keys), PACKED_TEXTS):
+                    found, cuts = packed_parts(keys[at : at + PACKED_TEXTS], owner[at : at + PACKED_TEXTS], parts)
+                    yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), pa.array(cuts, pa.binary())], ["part", "entries"])
+
+    return docs.select("text").mapInArrow(scan, "part int, entries binary")
+
+
+def _singles(packed: DataFrame, least: int) -> DataFrame:
+    """(node, alone, alone_shared): how many of a set's counted shingles no other set has, and of these in the shared part."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.concatenate([unpacked(x) for x in b.column("entries").to_pylist()]) for b in batches if len(b)]
+        turns = np.uint64(max(1, -(-sum(map(len, held)) // SORTED_ENTRIES)))
+        for turn in range(int(turns) if held else 0):
+            rows = np.concatenate([x[x[:, 0] % turns == turn] for x in held])
+            order = np.argsort(rows[:, 0], kind="stable")
+            key, node = rows[order, 0], rows[order, 1]
+            if not len(key):
+                continue
+            first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            alone = np.minimum.reduceat(node, first) == np.maximum.reduceat(node, first)
+            key, node = key[first[alone]], node[first[alone]]
+            nodes, place = np.unique(node, return_inverse=True)
+            shared = np.bincount(place[shared_part(key, least)], minlength=len(nodes))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(nodes.view(np.int64)), pa.array(np.bincount(place, minlength=len(nodes)).astype(np.int32)), pa.array(shared.astype(np.int32))],
+                ["node", "alone", "alone_shared"],
+            )
+
+    found = packed.mapInArrow(count, "node bigint, alone int, alone_shared int")
+    return found.groupBy("node").agg(F.sum("alone").alias("alone"), F.sum("alone_shared").alias("alone_shared"))
+
+
+def _linkable(texts: DataFrame, singles: DataFrame, least: int) -> DataFrame:
+    """(node, said, size) of the sets that can have a link: at most ``100 - least`` percent of their shingles are known to be theirs alone.
+
+    Sets of which linked ones may be larger than SMALL_SET are judged by the shared part only, as those
+    are counted only there.
+    """
+    nodes = texts.where("size > 0").groupBy("node").agg(F.min("said").alias("said"), F.min("size").alias("size"))
+    alone = F.when(F.col("size") * 100 < (SMALL_SET + 1) * least, F.col("alone")).otherwise(F.col("alone_shared"))
+    kept = 100 * F.coalesce(alone, F.lit(0)) <= (100 - least) * F.col("size")
+    return nodes.join(singles, "node", "left").where(kept).select("node", "said", "size")
+
+
+def _bitmap(said: DataFrame) -> np.ndarray:
+    """A bitmap of fixed size of the hashes ``said``; it tells most others apart, not all."""
+    bits = said.select((_bit() / 64).cast("int").alias("slot"), F.expr("shiftleft(1L, cast(pmod(said, 64) as int))").alias("bit"))
+    slots = bits.groupBy("slot").agg(F.expr("bit_or(bit)").alias("bits")).toArrow()
+    table = np.zeros(1 << (BITMAP_BITS - 6), np.int64)
+    table[slots.column("slot").to_numpy()] = slots.column("bits").to_numpy()
+    return table
+
+
+def _bit() -> Column:
+    return F.pmod("said", F.lit(1 << BITMAP_BITS))
+
+
+def _marked(batch: pa.RecordBatch, bitmap: np.ndarray) -> pa.Array:
+    """The texts of a batch whose bit ``h`` is in the bitmap."""
+    h = batch.column("h").to_numpy()
+    return batch.filter(pa.array((bitmap[h >> 6] >> (h & 63)) & 1 == 1)).column("text")
+
+
+def _index(docs: DataFrame, bands: Bands, length: int, parts: int, only: DataFrame | None = None) -> DataFrame:
+    """Packed rows (part, entries) of the index keys and nodes of the texts; a task packs equal sets once.
+
+    With ``only`` (said): of the texts with these hashes, and a few more. They go straight into the shuffle,
+    as they are the bulk of what is kept on disk.
+    """
+    bitmap = docs.sparkSession.sparkContext.broadcast(None if only is None else _bitmap(only))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, seen = Words(), set()
+        for batch in batches:
+            wanted = batch.column("text") if bitmap.value is None else _marked(batch, bitmap.value)
+            for run in slices(wanted, RUN_BYTES):
                 keys, owner = [], []
                 for text in run.to_pylist():
                     tokens = shingles(text or b"", words, length)
@@ -241,7 +362,8 @@ def _index(docs: DataFrame, bands: Bands, length: int, parts: int) -> DataFrame:
                     found, cuts = packed_parts(keys[at : at + PACKED_TEXTS], owner[at : at + PACKED_TEXTS], parts)
                     yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), pa.array(cuts, pa.binary())], ["part", "entries"])
 
-    return docs.select("text").mapInArrow(scan, "part int, entries binary")
+    columns = ["text"] if only is None else ["text", _bit().alias("h")]
+    return docs.select(*columns).mapInArrow(scan, "part int, entries binary")
 
 
 def _buckets(packed: DataFrame) -> DataFrame:
@@ -301,20 +423,13 @@ def _verified(pairs: DataFrame, firsts: DataFrame, docs: DataFrame, length: int,
     centres = degree.select("b", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")).select(F.col("b").alias("node"), centre.alias("to"))
     targets = written(members.unionByName(centres).join(firsts, "node").select("said", "node", "to"), "targets")
 
-    # A bitmap of fixed size tells most texts apart that are not needed; it may let others through.
-    hashed = F.pmod("said", F.lit(1 << BITMAP_BITS))
-    bits = targets.select((hashed / 64).cast("int").alias("slot"), F.expr("shiftleft(1L, cast(pmod(said, 64) as int))").alias("bit"))
-    slots = bits.groupBy("slot").agg(F.expr("bit_or(bit)").alias("bits")).toArrow()
-    table = np.zeros(1 << (BITMAP_BITS - 6), np.int64)
-    table[slots.column("slot").to_numpy()] = slots.column("bits").to_numpy()
-    bitmap = docs.sparkSession.sparkContext.broadcast(table)
+    # Most texts that are not needed are left out; a few may get through.
+    bitmap = docs.sparkSession.sparkContext.broadcast(_bitmap(targets))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, seen = Words(), set()
         for batch in batches:
-            h = batch.column("h").to_numpy()
-            mine = (bitmap.value[h >> 6] >> (h & 63)) & 1 == 1
-            for run in slices(batch.filter(pa.array(mine)).column("text"), RUN_BYTES):
+            for run in slices(_marked(batch, bitmap.value), RUN_BYTES):
                 nodes, found = [], []
                 for text in run.to_pylist():
                     tokens = shingles(text or b"", words, length)
@@ -329,7 +444,7 @@ def _verified(pairs: DataFrame, firsts: DataFrame, docs: DataFrame, length: int,
                 if nodes:
                     yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(found, pa.binary())], ["node", "set"])
 
-    found = docs.select("text", hashed.alias("h")).mapInArrow(sets, "node bigint, set binary")
+    found = docs.select("text", _bit().alias("h")).mapInArrow(sets, "node bigint, set binary")
     rows = found.join(targets.select("node", "to"), "node").select("node", "to.*", "set").dropDuplicates(["node", "b", "salt", "is_b"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -433,19 +548,22 @@ def _groups(docs: DataFrame, doc_id: str, text: str, length: int, least: int) ->
     """(id, said, size, component_id, kept) of each row: ``said`` is its text's hash, ``kept`` marks its group's first (id, said)."""
     spark = docs.sparkSession
     base = docs.select(F.col(doc_id).alias("id"), whole_text(text).alias("text")).withColumn("said", F.xxhash64("text"))
+    parted = lambda entries: max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-2 * entries // PART_ENTRIES))
+    texts = written(_texts(base, length), "texts")
+    counted = F.when(F.col("size") <= SMALL_SET, F.col("size")).otherwise(F.col("size") * share(least) / SHARES)
+    parts = parted(int(texts.agg(F.sum(counted)).first()[0] or 0))
+    census = _census(base, length, least, parts).repartition(parts, "part")
+    linkable = written(_linkable(texts, _singles(census, least), least), "linkable")
+    # Sets by size band, for the choice of segments only.
     probe = Bands(least)
-    # Texts by size band as their characters suggest; for the choice of segments only.
-    guess = F.floor(F.log(F.greatest(F.lit(1.0), F.char_length("text") / 6)) * 10).cast("int").alias("g")
     counts: dict[int, int] = {}
-    for row in base.groupBy(guess).count().collect():
+    for row in linkable.groupBy(F.floor(F.log("size") * 10).cast("int").alias("g")).count().collect():
         band = probe.band(max(1, int(math.exp((row["g"] + 0.5) / 10))))
         for near in (band, band + 1):
-            counts[near] = counts.get(near, 0) + row["count"] // 2
+            counts[near] = counts.get(near, 0) + -(-row["count"] // 2)
     estimate = Bands(least, counts)
-    entries = sum(n * sum(estimate.plan(b)) for b, n in counts.items())
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-2 * entries // PART_ENTRIES))
-    texts = written(_texts(base, length), "texts")
-    packed = _index(base, Bands(least, counts), length, parts).repartition(parts, "part")
+    parts = parted(sum(n * sum(estimate.plan(b)) for b, n in counts.items()))
+    packed = _index(base, Bands(least, counts), length, parts, linkable.select("said")).repartition(parts, "part")
     buckets = written(_buckets(packed), "buckets")
     popular = buckets.groupBy("node").agg(F.sum("size").alias("weight"))
     classes = texts.where("size > 0").groupBy("node").agg(F.min("said").alias("said"), F.min("size").alias("size"), F.min("sketch").alias("sketch"))

@@ -304,6 +304,32 @@ def test_linked_sets_share_a_key(least):
                     assert len(np.intersect1d(*keys))
 
 
+@pytest.mark.parametrize(("length", "least"), [(3, 90), (5, 80), (2, 60)])
+def test_index_holds_texts_that_can_have_links(spark, monkeypatch, length, least):
+    """Texts whose shingles are all but their own stay out of the index; no link is lost."""
+    dice = random.Random(length)
+    rows = [(i, " ".join(f"{dice.randint(0, 400)}" for _ in range(dice.choice([30, 100, 165, 400])))) for i in range(300)]
+    line = " ".join(f"common{i}" for i in range(12))
+    rows += [(300 + i, f"{line} {t} {line}") for i, (_, t) in enumerate(rows[:100])]
+    for size in (30, 120, 140, 158, 162, 170, 200, 600):  # about the size from which a part of the universe is counted
+        words = [f"near{size}x{i}" for i in range(size)]
+        for cut in (0, 1, size * (100 - least) // 100, size * (100 - least) // 100 + 1):
+            rows.append((len(rows), " ".join(words[cut:])))
+    held, real = set(), near_copies._buckets
+
+    def counted(found):
+        for r in found.collect():
+            held.update(near_copies.unpacked(bytes(r["entries"]))[:, 1].tolist())
+        return real(found)
+
+    monkeypatch.setattr(near_copies, "_buckets", counted)
+    monkeypatch.setattr(near_copies, "RUN_BYTES", 20_000)
+    got = near_copies.find_groups(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3), length=length, least=least).collect()
+    assert sorted((False, r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == plain_groups(rows, length, least)
+    # Pairs of 400 words are shared by most texts, so there many stay.
+    assert length == 2 or 50 < len(held) < len(rows) * 3 // 4
+
+
 def test_groups_of_odd_rows(odd_docs, no_docs):
     rows = [(r["doc_id"], r["text"]) for r in odd_docs.collect()]
     got = near_copies.find_groups(odd_docs, length=3, least=90).collect()
